@@ -49,18 +49,19 @@ _MULTIPLIERS, _MASKS = _SEEDS[:HASHES] | np.uint64(1), _SEEDS[HASHES:]
 
 @dataclass(frozen=True)
 class Settings:
-    """Shingle size, similarity threshold, and miss probabilities of banding and of pruning."""
+    """Shingle size, threshold, miss probabilities of banding and of pruning, and signature length."""
 
     words: int = 5
     threshold: Fraction = Fraction(4, 5)
     band_miss: float = 1e-6
     miss: float = 1e-7
+    hashes: int = HASHES
 
     @property
     def rows(self) -> int:
         """The most rows a band can have with banding missing a link at the threshold rarely enough."""
         t = float(self.threshold)
-        return max([r for r in range(1, 17) if (1 - t**r) ** (HASHES // r) <= self.band_miss], default=1)
+        return max([r for r in range(1, 17) if (1 - t**r) ** (self.hashes // r) <= self.band_miss], default=1)
 
     def least_matches(self, batch: int = 32) -> list[tuple[int, int]]:
         """(hashes compared, fewest equal ones to go on), from the posterior under a uniform prior.
@@ -69,7 +70,7 @@ class Settings:
         it is at least t is that of at most m successes in n + 1 trials of probability t.
         """
         t, out = float(self.threshold), []
-        for n in range(batch, HASHES + 1, batch):
+        for n in sorted({*range(batch, self.hashes, batch), self.hashes}):
             total, m = 0.0, 0
             while m <= n:
                 total += comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
@@ -88,16 +89,16 @@ FIELDS = [
 ]
 
 
-def _signatures(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Low 16 bits of the minima, one row of HASHES for each non-empty set."""
+def _signatures(sets: np.ndarray, first: np.ndarray, hashes: int) -> np.ndarray:
+    """Low 16 bits of the minima, one row for each non-empty set."""
     full = np.flatnonzero(np.diff(first) > 0)
-    out = np.empty((len(full), HASHES), dtype=np.uint16)
+    out = np.empty((len(full), hashes), dtype=np.uint16)
     at = 0
     while at < len(full):  # some sets at a time, to stay in the cache
         end = max(at + 1, int(np.searchsorted(first[full], first[full[at]] + (1 << 14))))
         lo, hi = first[full[at]], first[full[min(end, len(full)) - 1] + 1]
         part, starts = sets[lo:hi], first[full[at:end]] - lo
-        for k in range(HASHES):
+        for k in range(hashes):
             hashed = ((part ^ _MASKS[k]) * _MULTIPLIERS[k]) >> np.uint64(32)
             out[at:end, k] = np.minimum.reduceat(hashed, starts) & np.uint64(0xFFFF)
         at = end
@@ -119,7 +120,7 @@ def sketch(docs: DataFrame, settings: Settings, *, text: str = "text") -> DataFr
             if len(full):
                 s1[full] = np.add.reduceat(mix(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first[full])
                 s2[full] = np.bitwise_xor.reduceat(mix(sets + np.uint64(0x5851F42D4C957F2D)), first[full])
-            signed = iter(_signatures(sets, first))
+            signed = iter(_signatures(sets, first, settings.hashes))
             counts.append(n.astype(np.int64)), f1.append(s1.view(np.int64)), f2.append(s2.view(np.int64))
             signatures += [next(signed).tobytes() if x else None for x in n.tolist()]
         none = np.zeros(0, dtype=np.int64)
@@ -130,7 +131,7 @@ def sketch(docs: DataFrame, settings: Settings, *, text: str = "text") -> DataFr
 
 def _bands(signature: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit value per band; equal values mean equal rows of the same band."""
-    n = HASHES // rows
+    n = signature.shape[1] // rows
     out = np.zeros((len(signature), n), dtype=np.uint64)
     out += np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for r in range(rows):
@@ -139,7 +140,9 @@ def _bands(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), HASHES)
+    if not len(column):
+        return np.zeros((0, 1), dtype=np.uint16)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), -1)
 
 
 def _buckets(reps: DataFrame, settings: Settings) -> DataFrame:
@@ -237,7 +240,7 @@ def _block_pairs(open_rows: DataFrame, signed: DataFrame, settings: Settings) ->
         found: list[np.ndarray] = []
         for x in left:
             y = right[(component[right] != component[x]) & ((rep[right] > rep[x]) if i == j else True)]
-            y = y[_survives(np.broadcast_to(signature[x], (len(y), HASHES)), signature[y], steps)]
+            y = y[_survives(np.broadcast_to(signature[x], (len(y), signature.shape[1])), signature[y], steps)]
             found.append(np.stack([np.full(len(y), rep[x]), rep[y]], axis=1))
         pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})

@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tessera.llm import decontam, isomedia, langid, neardup, packing, secrets, urls
+from tessera.llm import chat, decontam, isomedia, langid, neardup, packing, paragraphs, secrets, tokencount, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,15 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hit.n_hit, 0
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
 """
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.format_chats(_table(spark, sf_dir, "conversations"))
+    return turns.withColumnRenamed("conv", "conv_id")
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.find_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     media = isomedia.text_to_media(docs).drop("text")
@@ -66,6 +75,17 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after three edits: a word changed, some letters cut, a note added."""
+    n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    place = lambda x: F.floor(n * x / 3).cast("long")
+    edit = lambda a, b, new: F.struct(a.alias("start"), b.alias("end"), F.lit(new).alias("new"))
+    edits = F.array(edit(place(1), place(1) + 6, " revised"), edit(place(2), place(2) + 3, ""), edit(n, n, "\nSeen 2024."))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", edits)
+    counted = tokencount.count_edits(docs)
+    return counted.select("doc_id", "n_tokens", "n_tokens_after", "chars_encoded", F.length("text_after").cast("long").alias("chars_after"), F.sha2("text_after", 256).alias("after_sha256"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find_components(_table(spark, sf_dir, "documents"), neardup.Settings(words=3, threshold=Fraction(85, 100)))
 
@@ -107,7 +127,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_chat_format": op2_chat_format,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_media_columns": op4_media_columns,
+    "op5_token_counts": op5_token_counts,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
