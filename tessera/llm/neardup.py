@@ -6,7 +6,8 @@
 4. Of small buckets all pairs are candidates. Of a large one, the member that shares most bands with
    others (the hub) is paired with every other member; links found join components, and buckets whose
    other members still lie in several components go another round with another hub. What is left after
-   some rounds is compared signature by signature in blocks, without making a row per pair.
+   some rounds is compared in blocks, hub by hub: a task holds two blocks of texts, compares rows of
+   different components only, and gives one link for each two components it joins.
 5. A candidate's signatures are compared batch by batch; it is dropped once the posterior probability
    that its similarity reaches the threshold falls under ``miss``. Survivors are verified on full sets.
 6. Verified links make components; pairs within one component need no further check.
@@ -40,8 +41,8 @@ HASHES = 128
 #: Buckets of at most so many members give all their pairs.
 SMALL_BUCKET = 6
 #: Rounds of hubs before the rest is compared in blocks of so many members.
-HUB_ROUNDS = 4
-BLOCK = 256
+HUB_ROUNDS = 2
+BLOCK = 512
 
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MULTIPLIERS, _MASKS = _SEEDS[:HASHES] | np.uint64(1), _SEEDS[HASHES:]
@@ -191,61 +192,92 @@ def _prune(pairs: DataFrame, signed: DataFrame, settings: Settings) -> DataFrame
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
+def _sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Each text's distinct shingle hashes, ascending."""
+    data, offsets = utf8(texts)
+    out: list[np.ndarray] = []
+    for a, b in slices(offsets):
+        values, first = shingles(words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NON_SPACE), k)
+        out += [values[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
+    return out
+
+
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """The exact test on full sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return common * den >= num * (len(x) + len(y) - common)
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold."""
     k, num, den = settings.words, settings.threshold.numerator, settings.threshold.denominator
     one = texts.select(F.col("rep").alias("a"), F.col("text").alias("x"))
     other = texts.select(F.col("rep").alias("b"), F.col("text").alias("y"))
 
-    def sets(column: pa.Array):
-        """The distinct texts' sets, and each row's number among them."""
-        coded = column.dictionary_encode()
-        data, offsets = utf8(coded.dictionary)
-        out = []
-        for a, b in slices(offsets):
-            values, first = shingles(words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NON_SPACE), k)
-            out += [values[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
-        return out, coded.indices.to_numpy()
-
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                (xs, i), (ys, j) = sets(pc.fill_null(part.column(2), "")), sets(pc.fill_null(part.column(3), ""))
-                keep = []
-                for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                    x, y = (xs[p], ys[q]) if len(xs[p]) < len(ys[q]) else (ys[q], xs[p])
-                    place = np.searchsorted(y, x)
-                    common = int((y[np.minimum(place, len(y) - 1)] == x).sum()) if len(y) else 0
-                    keep.append(common > 0 and common * den >= num * (len(x) + len(y) - common))
+                xs, ys = (pc.fill_null(part.column(i), "").dictionary_encode() for i in (2, 3))
+                left, right = _sets(xs.dictionary, k), _sets(ys.dictionary, k)
+                keep = [_linked(left[p], right[q], num, den) for p, q in zip(xs.indices.to_pylist(), ys.indices.to_pylist(), strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(other, "b").join(one, "a").select("a", "b", "x", "y")
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def _block_pairs(open_rows: DataFrame, signed: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs of different components within buckets that pass the Bayesian test, found in blocks."""
-    steps = settings.least_matches()
-    sizes = open_rows.groupBy("bucket").agg(F.count("*").alias("left"))
-    rows = open_rows.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("left") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component").join(signed.select("rep", "signature"), "rep")
+def _block_links(groups: DataFrame, signed: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Verified links between components within groups, found block by block without a row per pair.
+
+    ``groups`` has (hub, rep, n_shingles, component). A group's rows are dealt to blocks: those of the
+    component that holds the hub (main) apart from the rest. Each task compares a block of rest rows
+    with another block of rest or main rows; main rows are linked with each other already.
+    """
+    steps, k, num, den = settings.least_matches(), settings.words, settings.threshold.numerator, settings.threshold.denominator
+    groups = groups.withColumn("main", F.col("component") == F.col("hub_c"))
+    blocks = lambda flag: F.ceil(F.sum(F.when(flag, 1).otherwise(0)) / BLOCK).cast("int")
+    sizes = groups.groupBy("hub").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("rests")).where("rests > 0")
+    rows = groups.join(sizes, "hub").withColumn("k", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    rows = rows.withColumn("place", F.when(F.col("main"), F.col("k")).otherwise(F.col("mains") + F.col("k")))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("main"), F.col("rests")).otherwise(F.col("mains") + F.col("rests")) - 1)))
+    partner = F.when(F.col("main"), F.col("mains") + F.col("o")).otherwise(F.col("o"))
+    rows = rows.select("hub", F.least("place", partner).alias("left"), F.greatest("place", partner).alias("right"), "place", "rep", "component")
+    rows = rows.join(signed.select("rep", "signature"), "rep").join(texts, "rep")
 
     def compare(table: pa.Table) -> pa.Table:
-        rep, component, block = (table.column(c).to_numpy() for c in ("rep", "component", "block"))
+        left, right = table.column("left")[0].as_py(), table.column("right")[0].as_py()
+        rep, component, place = (table.column(c).to_numpy() for c in ("rep", "component", "place"))
         signature = _matrix(table.column("signature").combine_chunks())
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found: list[np.ndarray] = []
-        for x in left:
-            y = right[(component[right] != component[x]) & ((rep[right] > rep[x]) if i == j else True)]
+        sets = _sets(table.column("text").combine_chunks(), k)
+        sizes = np.array([len(x) for x in sets])
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        found: list[tuple[int, int]] = []
+        others = np.flatnonzero(place == left)
+        for x in np.flatnonzero(place == right).tolist():
+            y = others[(rep[others] > rep[x]) if left == right else slice(None)]
+            y = y[(component[y] != component[x]) & (np.minimum(sizes[y], sizes[x]) * den >= np.maximum(sizes[y], sizes[x]) * num)]
             y = y[_survives(np.broadcast_to(signature[x], (len(y), signature.shape[1])), signature[y], steps)]
-            found.append(np.stack([np.full(len(y), rep[x]), rep[y]], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+            y = y[np.argsort(-(signature[y] == signature[x]).sum(axis=1), kind="stable")]
+            for z in y.tolist():  # the likeliest first: one link with a component is enough
+                a, b = find(component[x]), find(component[z])
+                if a != b and _linked(sets[x], sets[z], num, den):
+                    root[max(a, b)] = min(a, b)
+                    found.append((rep[x], rep[z]))
+        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return rows.groupBy("hub", "left", "right").applyInArrow(compare, "a bigint, b bigint")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -269,28 +301,39 @@ def find_components(docs: DataFrame, settings: Settings = Settings(), *, key: st
     small = small.where(_near("x.n_shingles", "y.n_shingles", settings)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     open_rows = buckets.where(F.col("size") > SMALL_BUCKET).join(signed.select("rep", "weight"), "rep").select("bucket", "rep", "n_shingles", "weight", F.col("rep").alias("component"))
     open_rows = stage(open_rows, "open")
-    links, extra = None, small
+    links, extra, first_hubs = None, small, None
     for _ in range(HUB_ROUNDS):
         hubs = open_rows.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"), "n_shingles", "component")).alias("h"))
         hubs = hubs.select("bucket", (-F.col("h.r")).alias("hub"), F.col("h.n_shingles").alias("hub_n"), F.col("h.component").alias("hub_c"))
         starred = open_rows.join(hubs, "bucket")
+        if first_hubs is None:
+            first_hubs = stage(starred.select("hub", "rep", "n_shingles").distinct(), "stars")
         pairs = starred.where("component <> hub_c").where(_near("n_shingles", "hub_n", settings)).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
         pairs = pairs if extra is None else pairs.unionByName(extra)
         extra = None
         found = stage(_verify(_prune(_ordered(pairs), signed, settings), texts, settings), "links")
-        links = components(found if links is None else found.unionByName(links.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        links = _joined(found, links)
         open_rows = _still_open(starred.where("rep <> hub").drop("hub", "hub_n", "hub_c"), links)
         if open_rows is None:
             break
     else:
-        found = stage(_verify(_ordered(_block_pairs(open_rows, signed, settings)), texts, settings), "links")
-        links = components(found.unionByName(links.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        at = lambda c: F.coalesce(f"{c}_to", c)
+        to = lambda c: links.select(F.col("node").alias(c), F.col("component").alias(f"{c}_to"))
+        groups = first_hubs.join(to("rep"), "rep", "left").join(to("hub"), "hub", "left").select("hub", "rep", "n_shingles", at("rep").alias("component"), at("hub").alias("hub_c"))
+        still = first_hubs.join(open_rows.select("rep").distinct(), "rep", "left_semi").select("hub").distinct()
+        groups = groups.join(still, "hub", "left_semi")
+        links = _joined(stage(_block_links(groups, signed, texts, settings), "links"), links)
     joined = reps.select("f1", "f2", "n_shingles", "rep").join(links.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
     out = sketches.drop("signature").join(joined, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _joined(found: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Components of new links and those known before."""
+    return components(found if links is None else found.unionByName(links.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
 def _still_open(rows: DataFrame, links: DataFrame) -> DataFrame | None:
     """Rows of buckets whose members lie in more than one component, with their components; None if none."""
     rows = rows.drop("component").join(links.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
