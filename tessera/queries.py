@@ -511,3 +511,78 @@ SELECT s, max(n) AS most FROM (SELECT o_custkey AS c, o_orderstatus AS s, count(
 def subquery_two_level(t: Tables) -> Query:
     inner = query().from_(o=t.orders).group_by(lambda r: [r.o.o_custkey, r.o.o_orderstatus]).select(lambda r: {"c": r.o.o_custkey, "s": r.o.o_orderstatus, "n": e.count()})
     return query().from_(x=table("live/counts", inner.run(), ["c", "s"])).group_by(lambda r: r.x.s).select(lambda r: {"s": r.x.s, "most": e.max_(r.x.n)})
+
+
+# --- writes and streams ----------------------------------------------------------------------------
+
+
+def _event_mutations(t: Tables) -> DataFrame:
+    """Events as mutations of their users: purchases put, views patch, every 97th event deletes."""
+    v = t.events.df
+    path = F.concat(F.lit("app/users/"), F.col("user_id").cast("string"))
+    op = F.when(F.col("event_id") % 97 == 0, "delete").when(F.col("event_id") % 5 == 0, "put").otherwise("patch")
+    attr = F.when(F.col("event_id") % 97 != 0, F.col("event_type"))
+    return v.select(path.alias("path"), F.col("event_id").alias("seq"), op.alias("op"), attr.alias("attr"), F.when(attr.isNotNull(), F.col("event_id").cast("string")).alias("text"))
+
+
+_STEPS = """
+WITH m AS (
+  SELECT concat('app/users/', CAST(user_id AS VARCHAR)) AS path, event_id AS seq, event_type AS attr,
+         CASE WHEN event_id % 97 = 0 THEN 'delete' WHEN event_id % 5 = 0 THEN 'put' ELSE 'patch' END AS op FROM events
+)"""
+
+
+@register(
+    _STEPS
+    + """, b AS (SELECT path, max(seq) AS barrier FROM m WHERE op IN ('put', 'delete') GROUP BY path),
+k AS (SELECT m.path, m.attr, max(m.seq) AS seq FROM m LEFT JOIN b ON m.path = b.path WHERE m.op <> 'delete' AND (b.barrier IS NULL OR m.seq >= b.barrier) GROUP BY m.path, m.attr)
+SELECT path, attr, CAST(seq AS VARCHAR) AS text FROM k"""
+)
+def store_fold(t: Tables) -> DataFrame:
+    from tessera.operators.mutations import fold_mutations
+
+    empty = t.spark.createDataFrame([], "path string, attr string, text string")
+    return fold_mutations(empty, _event_mutations(t))
+
+
+@register(
+    _STEPS
+    + """, c AS (SELECT path, max(seq) AS cut FROM m WHERE op = 'delete' GROUP BY path)
+SELECT m.path AS path, count(*) AS version FROM m LEFT JOIN c ON m.path = c.path WHERE c.cut IS NULL OR m.seq > c.cut GROUP BY m.path"""
+)
+def version_stamp(t: Tables) -> DataFrame:
+    from tessera.operators.mutations import fold_versions
+
+    empty = t.spark.createDataFrame([], "path string, version long")
+    return fold_versions(empty, _event_mutations(t))
+
+
+@register("SELECT o_custkey AS c, count(*) AS n FROM orders WHERE o_totalprice > 200000 GROUP BY 1 HAVING count(*) > 1")
+def live_materialized(t: Tables) -> DataFrame:
+    from tessera.streaming.live import LiveQuery
+
+    orders = t.orders
+    live = LiveQuery(lambda: query().from_(o=orders).where(lambda r: e.gt(r.o.o_totalprice, 200000)).select(lambda r: {"id": r.o.id, "c": r.o.o_custkey}))
+    return query().from_(x=live).group_by(lambda r: r.x.c).select(lambda r: {"c": r.x.c, "n": e.count()}).having(lambda r: e.gt(e.count(), 1)).run()
+
+
+@register("SELECT concat('app/users/', CAST(user_id AS VARCHAR)) AS path, arg_max(event_type, event_id) AS type, max(event_id) AS version, count(*) AS changes FROM events GROUP BY 1")
+def change_feed_replay(t: Tables) -> DataFrame:
+    """The events as a change feed, read as a stream and folded until it is exhausted."""
+    import uuid
+
+    from tessera.session import shared_dir
+    from tessera.streaming.feed import EVENTS, latest
+
+    folder = f"{shared_dir(t.spark)}/feed-{uuid.uuid4().hex}"
+    path = F.concat(F.lit("app/users/"), F.col("user_id").cast("string"))
+    log = t.events.df.select(F.col("event_id").alias("seq"), F.col("event_type").alias("type"), path.alias("path"), F.lit("app/users").alias("schema"), F.array("event_type").alias("attrs"), F.col("event_id").alias("version"))
+    log.write.parquet(f"{folder}/log")
+    stream = latest(t.spark.readStream.schema(EVENTS).parquet(f"{folder}/log"))
+
+    def keep(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/state")
+
+    run = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return t.spark.read.parquet(f"{folder}/state")
