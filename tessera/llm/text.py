@@ -16,6 +16,8 @@ from tessera.session import ship
 
 #: Bytes of text that are tokenised at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch that are turned to Python objects at once; one row may have more.
+PIECE_BYTES = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -76,6 +78,13 @@ def slices(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         at = end
 
 
+def pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about ``most`` bytes each."""
+    rows = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 @dataclass
 class Words:
     """Words of some documents: byte bounds, 64-bit hashes, and where each document's words begin."""
@@ -168,7 +177,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField], compute: Callable
 
         target = to_arrow_schema(schema)
         types = target.types
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             made = compute(batch)
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in out] + list(made)
             yield pa.RecordBatch.from_arrays([a.cast(t) if a.type != t else a for a, t in zip(arrays, types, strict=True)], names=target.names)
