@@ -65,13 +65,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unstage(df_paths: list[str], spark: SparkSession) -> None:
-    """Delete staged tables that no later plan reads."""
-    for path in df_paths:
-        _forget(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def unstage(*frames: DataFrame | None) -> None:
+    """Delete staged tables that no later plan reads. Other frames are left alone."""
+    for df in frames:
+        path = getattr(df, "_staged_path", None)
+        if path is not None:
+            entry = (df.sparkSession, path)
+            _forget(*entry)
+            if entry in _STAGED:
+                _STAGED.remove(entry)
 
 
 def ship(spark: SparkSession) -> None:
