@@ -20,6 +20,7 @@ which takes that many texts for a few turn numbers, is split by hash. Extra colu
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,6 +53,8 @@ _MARKER = re.compile(r"\s*(?:[#>*\-\[<|(]*\s*)(" + "|".join(sorted(MARKERS, key=
 CHUNK_TURNS = 64
 MOST_ROWS = 4096
 FAN = 64
+#: Characters from which a line is of some or of many characters.
+SIZES = (60, 160)
 NONE = len(ROLES)  # marker value of a line without one
 #: States: role r begins a turn (r), goes on with it (r + 3), or nothing was said yet (6).
 STATES = 2 * len(ROLES) + 1
@@ -66,19 +69,19 @@ class Model:
     follow: tuple = ((0.02, 0.93, 0.05), (0.02, 0.08, 0.90), (0.02, 0.93, 0.05))
     first: tuple = (0.35, 0.55, 0.10)
     #: Chance that a turn has a further line.
-    go_on: tuple = (0.5, 0.4, 0.6)
+    go_on: tuple = (0.3, 0.4, 0.75)
     #: Chance that a turn's first line bears its role's marker, another's, or none.
     marked: tuple = (0.70, 0.01, 0.29)
     #: Chance that a further line bears any marker.
     marked_on: float = 0.01
     #: Chance of a question mark, by role.
     asks: tuple = (0.05, 0.45, 0.10)
-    #: Chance of a long line (80 characters or more), by role.
-    long: tuple = (0.5, 0.4, 0.7)
+    #: Chances of a line of few, some and many characters, by role.
+    sizes: tuple = ((0.40, 0.35, 0.25), (0.30, 0.40, 0.30), (0.10, 0.30, 0.60))
     #: Chance that a line follows a blank line, for first and further lines.
     after_blank: tuple = (0.3, 0.1)
     #: Chance that a line begins a new row of the source table, for first and further lines.
-    new_row: tuple = (0.9, 0.02)
+    new_row: tuple = (0.9, 0.002)
 
     def transitions(self) -> np.ndarray:
         n = len(ROLES)
@@ -92,7 +95,7 @@ class Model:
         return out
 
     def emissions(self, lines: np.ndarray) -> np.ndarray:
-        """Log chances of lines (marker, asks, long, after blank, new row) in each state."""
+        """Log chances of lines (marker, asks, size, after blank, new row) in each state."""
         n, marker = len(ROLES), lines[:, 0]
         out = np.zeros((len(lines), STATES))
         out[:, OPENING] = -np.inf
@@ -103,20 +106,21 @@ class Model:
             else:
                 own, other, none = self.marked
                 out[:, s] += np.where(marker == NONE, np.log(none), np.where(marker == role, np.log(own), np.log(other / (n - 1))))
-            for k, p in ((1, self.asks[role]), (2, self.long[role]), (3, self.after_blank[further]), (4, self.new_row[further])):
+            out[:, s] += np.log(self.sizes[role])[lines[:, 2]]
+            for k, p in ((1, self.asks[role]), (3, self.after_blank[further]), (4, self.new_row[further])):
                 out[:, s] += np.where(lines[:, k] == 1, np.log(p), np.log(1 - p))
         return out
 
 
 def split_lines(text: str) -> list[tuple[str, tuple[int, int, int, int]]]:
-    """Non-blank lines with (marker, asks, long, after blank)."""
+    """Non-blank lines with (marker, asks, size, after blank)."""
     out, blank = [], 0
     for line in text.split("\n"):
         if not line.strip():
             blank = 1
             continue
         m = _MARKER.match(line)
-        out.append((line, (MARKERS[m.group(1).lower()] if m else NONE, int("?" in line), int(len(line) >= 80), blank)))
+        out.append((line, (MARKERS[m.group(1).lower()] if m else NONE, int("?" in line), bisect_right(SIZES, len(line)), blank)))
         blank = 0
     return out
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tessera.session import stage
+from tessera.session import stage, unstage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,9 +38,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = stage(edges, "edges")
     mark = _mark(edges)
     while mark[0]:
-        edges = stage(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, stage(_small_star(_large_star(edges)), "edges")
+        unstage(before)
         now = _mark(edges)
         if now == mark:
             break
         mark = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out._staged_path = edges._staged_path
+    return out

@@ -10,6 +10,7 @@ an output column is replaced. Repeated documents and repeated ids are judged row
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,7 +160,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
         own = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
         part = _pass(keyed.select("__row", "__key", F.col(text).alias("text")), "text", [(r.i, r.t) for r in own.collect()], window)
         parts = part if parts is None else parts.unionByName(part)
-    merge = F.udf(_merge_spans, T.ArrayType(SPAN))
+    merge = F.udf(_merge_spans, T.ArrayType(SPAN))  # on documents in spans only, after the search
     count = F.udf(_hit_words, T.LongType())
     merged = parts.groupBy("__key").agg(
         F.first("__row").alias("__row"),
@@ -169,16 +170,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.flatten(F.collect_list("spans")).alias("spans"),
     )
-    merged = merged.withColumn("spans", merge("spans")).withColumn("n_hit", count("__text", "spans"))
+    merged = merged.withColumn("spans", merge("__text", "spans")).withColumn("n_hit", count("__text", "spans"))
     merged = merged.withColumn("__copy", F.explode(F.sequence(F.lit(1), (F.col("__n") / blocks).cast("int"))))
     kept = [c for c in docs.columns if c.lower() not in {f.name for f in FIELDS}]
     return merged.select(*[F.col("__row").getField(c).alias(c) for c in kept], "n_words", "n_hit", "items", "spans")
 
 
-def _merge_spans(spans: list) -> list[dict]:
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def _merge_spans(text: str | None, spans: list) -> list[dict]:
+    """Spans of several passes as one: those that overlap, or have no word between them, are joined."""
     out: list[list[int]] = []
     for s, e in sorted((x["start"], x["end"]) for x in spans):
-        if out and s <= out[-1][1]:
+        if out and (s <= out[-1][1] or not _WORD.search(text, out[-1][1], s)):
             out[-1][1] = max(out[-1][1], e)
         else:
             out.append([s, e])
@@ -186,10 +191,7 @@ def _merge_spans(spans: list) -> list[dict]:
 
 
 def _hit_words(text: str | None, spans: list) -> int:
-    import re
-
-    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    return sum(len(word.findall(text[x["start"] : x["end"]])) for x in spans) if text else 0
+    return sum(len(_WORD.findall(text[x["start"] : x["end"]])) for x in spans) if text else 0
 
 
 def is_contaminated() -> Column:

@@ -28,7 +28,7 @@ SHORT_BYTES = 2000
 MIN_MARGIN = 0.0
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # also takes numbers that are no digits, such as superscripts
 _OTHER = re.compile(r"[\W\d_]+")
 
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
@@ -39,6 +39,10 @@ def normal(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).encode()
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary per language from at most ``rows`` texts and ``size`` bytes of each.
 
@@ -87,7 +91,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], *, text: str = "te
         langs, scores, rejects = [], [], []
         for value in batch.column(batch.schema.get_field_index(text)):
             x = value.as_py()
-            if x is None or not names or not _LETTER.search(x):
+            if x is None or not names or not has_letter(x):
                 langs.append(UNDETERMINED), scores.append(0.0), rejects.append(True)
                 continue
             data = normal(x)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tessera.llm.components import components
 from tessera.llm.text import NON_SPACE, append_columns, mix, shingles, slices, utf8, words
-from tessera.session import ship, stage
+from tessera.session import ship, stage, unstage
 
 HASHES = 128
 #: Buckets of at most so many members give all their pairs.
@@ -301,6 +301,7 @@ def find_components(docs: DataFrame, settings: Settings = Settings(), *, key: st
     small = small.where(_near("x.n_shingles", "y.n_shingles", settings)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     open_rows = buckets.where(F.col("size") > SMALL_BUCKET).join(signed.select("rep", "weight"), "rep").select("bucket", "rep", "n_shingles", "weight", F.col("rep").alias("component"))
     open_rows = stage(open_rows, "open")
+    passing = [buckets, signed, texts]
     links, extra, first_hubs = None, small, None
     for _ in range(HUB_ROUNDS):
         hubs = open_rows.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"), "n_shingles", "component")).alias("h"))
@@ -313,6 +314,7 @@ def find_components(docs: DataFrame, settings: Settings = Settings(), *, key: st
         extra = None
         found = stage(_verify(_prune(_ordered(pairs), signed, settings), texts, settings), "links")
         links = _joined(found, links)
+        passing.append(open_rows)
         open_rows = _still_open(starred.where("rep <> hub").drop("hub", "hub_n", "hub_c"), links)
         if open_rows is None:
             break
@@ -323,6 +325,7 @@ def find_components(docs: DataFrame, settings: Settings = Settings(), *, key: st
         still = first_hubs.join(open_rows.select("rep").distinct(), "rep", "left_semi").select("hub").distinct()
         groups = groups.join(still, "hub", "left_semi")
         links = _joined(stage(_block_links(groups, signed, texts, settings), "links"), links)
+    unstage(*passing, first_hubs, open_rows)  # all that follows reads reps, sketches and links
     joined = reps.select("f1", "f2", "n_shingles", "rep").join(links.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
     out = sketches.drop("signature").join(joined, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
@@ -331,7 +334,9 @@ def find_components(docs: DataFrame, settings: Settings = Settings(), *, key: st
 
 def _joined(found: DataFrame, links: DataFrame | None) -> DataFrame:
     """Components of new links and those known before."""
-    return components(found if links is None else found.unionByName(links.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    out = components(found if links is None else found.unionByName(links.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    unstage(found, links)
+    return out
 
 
 def _still_open(rows: DataFrame, links: DataFrame) -> DataFrame | None:

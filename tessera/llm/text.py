@@ -131,7 +131,7 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     roll = np.zeros(n, dtype=np.uint64)
     for i in range(k):
         roll *= np.uint64(0xD6E8FEB86659FD93)
-        roll[: n - i] += h[i:]
+        roll[: max(0, n - i)] += h[i:]
     doc = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(n) - w.first[doc] if n else np.zeros(0, dtype=np.int64)
     keep = (counts[doc] - place >= k) | ((counts[doc] < k) & (place == 0))

@@ -66,7 +66,8 @@ def _features(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray,
         left = offsets[1:][row] - np.arange(n)
         h = np.full(n, salt, dtype=np.uint64)
         for k in range(max(GRAMS)):
-            h[: n - k] = (h[: n - k] ^ data[k:].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            m = max(0, n - k)
+            h[:m] = (h[:m] ^ data[k:].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             if k + 1 in GRAMS:
                 whole = left > k
                 rows.append(row[whole])
