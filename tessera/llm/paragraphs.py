@@ -1,6 +1,6 @@
 """Substring dedup: repeated paragraphs are found by MinHash banding and cut, but for their first copy.
 
-Paragraphs are a text's lines; those of fewer than ``min_words`` white-space separated words are left
+Paragraphs are a text's lines; those of fewer than ``min_words`` words are left
 alone. The bands are tuned for recall: three rows each, so that ten bands find a pair at the threshold
 with probability 0.999 and one at 0.9 with probability 0.999998. Paragraphs that share a band value are
 joined, their exact Jaccard similarity on word shingles is verified, and the verified links make
@@ -35,7 +35,7 @@ def paragraphs(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_
             lines = body.as_py().split("\n")
             if not -(1 << 39) <= own < 1 << 39 or len(lines) > 1 << NUMBER_BITS:
                 raise ValueError(f"document {own}: ids need 39 bits, and paragraph numbers {NUMBER_BITS}")
-            rows.append([{"doc_id": (own << NUMBER_BITS) + i, "text": x} for i, x in enumerate(lines) if len(x.split(None, min_words)) >= min_words])
+            rows.append([{"doc_id": (own << NUMBER_BITS) + i, "text": x} for i, x in enumerate(lines) if len(x.encode().split(None, min_words)) >= min_words])
         return [pa.array(rows, pa.list_(pa.struct([("doc_id", pa.int64()), ("text", pa.string())])))]
 
     split = append_columns(source, [T.StructField("p", kind)], compute, needs=["own", "body"])

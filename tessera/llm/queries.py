@@ -125,6 +125,46 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+OP3_SQL = r"""
+WITH RECURSIVE lines AS (
+  SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l FROM (SELECT doc_id, string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+),
+d AS (SELECT * FROM (SELECT doc_id * 16777216 + i - 1 AS u, regexp_extract_all(l[i], '[^\x20\x09-\x0D]+') AS w FROM lines) WHERE len(w) >= 20),
+g AS (
+  SELECT DISTINCT u, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT u, w, unnest(range(1, len(w) - 3)) AS i FROM d)
+),
+n AS (SELECT u, count(*) AS n FROM g GROUP BY u),
+p AS (SELECT a.u AS a, b.u AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.u < b.u GROUP BY 1, 2),
+e AS (SELECT p.a AS a, p.b AS b FROM p JOIN n x ON x.u = p.a JOIN n y ON y.u = p.b WHERE 5 * p.c >= 4 * (x.n + y.n - p.c)),
+sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT DISTINCT a AS node, a AS seen FROM sym UNION SELECT r.node, sym.b FROM r JOIN sym ON r.seen = sym.a),
+c AS (SELECT node, min(seen) AS first FROM r GROUP BY node)
+SELECT node // 16777216 AS doc_id, CAST(node % 16777216 AS INTEGER) AS paragraph, first // 16777216 AS cluster_doc_id,
+       CAST(first % 16777216 AS INTEGER) AS cluster_paragraph, node <> first AS removed
+FROM c
+"""
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT p.a AS a, p.b AS b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b
+  WHERE 100 * p.c >= 85 * (x.n + y.n - p.c)
+),
+sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, sym.b FROM r JOIN sym ON r.seen = sym.a),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id AS component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
@@ -137,4 +177,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": OP1_SQL,
+    "op3_substring_dedup": OP3_SQL,
+    "op6_minhash_near_dedup": OP6_SQL,
+}
