@@ -9,9 +9,11 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tessera.errors import TesseraError
 from tessera.operators.query import Query
 from tessera.sources.tables import RecordTable
 
@@ -28,12 +30,16 @@ def _digest(rows: list[dict]) -> str:
 class LiveQuery:
     """Rows of a query, now and after changes."""
 
-    def __init__(self, build: Callable[[], Query], *, key: Callable[[dict], str] | None = None, detach: Callable[[LiveQuery], None] = lambda _: None):
+    _made = 0
+
+    def __init__(self, build: Callable[[], Query], *, key: Callable[[Any], Column] | None = None, detach: Callable[[LiveQuery], None] = lambda _: None):
         self._build, self._key, self._detach = build, key, detach
         self._subscribers: list[Callable[[list[dict]], None]] = []
         self._dirty = False
         self._last: tuple[str, list[dict]] | None = None
         self.runs = 0
+        LiveQuery._made += 1
+        self.path = f"_live/{LiveQuery._made}"
 
     def frame(self) -> DataFrame:
         """The query as it stands, as a frame."""
@@ -83,12 +89,61 @@ class LiveQuery:
         self._subscribers.clear()
         self._detach(self)
 
-    # a live query is a source of other queries, under the path _live/<id>
-    path = "_live/rows"
-
     def record_table(self) -> RecordTable:
-        """The rows as records: keyed by the given key, else by ``id``, else by position."""
+        """The rows as records of ``_live/<number>``: keyed by the given key, else by ``id``, else by position.
+
+        Of rows with one key one stays. Positions are stable only while the rows are.
+        """
+        from tessera.plans.builder import Row
+
         df = self.frame()
+        if self._key is not None:
+            own = self._key(Row({c: F.col(f"`{c}`") for c in df.columns}))
+            return RecordTable(self.path, df.withColumn("id", own.cast("string")).dropDuplicates(["id"]))
         if "id" in df.columns:
-            return RecordTable(self.path, df.withColumn("id", F.col("id").cast("string")))
+            return RecordTable(self.path, df.withColumn("id", F.col("id").cast("string")).dropDuplicates(["id"]))
         return RecordTable(self.path, df, F.monotonically_increasing_id().cast("string"))
+
+
+class LiveCollection:
+    """A live query's rows as a read-only collection."""
+
+    def __init__(self, live: LiveQuery):
+        self.live, self.path, self.status = live, live.path, "ready"
+
+    def record_table(self) -> RecordTable:
+        return self.live.record_table()
+
+    def items(self) -> list[dict]:
+        return [{k: v for k, v in r.asDict(True).items() if v is not None} for r in self.record_table().records().collect()]
+
+    def get(self, own: str) -> dict | None:
+        rows = self.record_table().records().where(F.col("id") == own).collect()
+        return {k: v for k, v in rows[0].asDict(True).items() if v is not None} if rows else None
+
+    def keys(self) -> list[str]:
+        return [r.id for r in self.record_table().records().select("id").collect()]
+
+    @property
+    def size(self) -> int:
+        return self.record_table().records().count()
+
+    def subscribe_changes(self, callback: Callable[[list[tuple[str, str, dict | None]]], None]) -> Callable[[], None]:
+        """Call back with (insert, update or delete, key, row) whenever rows change."""
+        known: dict[str, dict] = {}
+
+        def see(_: list[dict]) -> None:
+            now = {x["id"]: x for x in self.items()}
+            changes = [("update" if k in known else "insert", k, x) for k, x in now.items() if known.get(k) != x]
+            changes += [("delete", k, None) for k in known if k not in now]
+            known.clear()
+            known.update(now)
+            if changes:
+                callback(changes)
+
+        return self.live.subscribe(see)
+
+    def _refuse(self, *_: Any) -> None:
+        raise TesseraError("UNSUPPORTED", "the rows of a live query cannot be written")
+
+    insert = update = delete = _refuse
