@@ -10,16 +10,26 @@ from pyspark.sql import functions as F
 from tessera.session import stage, unstage
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """An inner join on a bigint key, with an exchange of its own on either side.
+
+    Were ``right`` an aggregate by the key, its partitioning would serve the join as well, and Spark could
+    not split the partition of a hot key. Joining on an image of the key keeps the two apart.
+    """
+    other = right.withColumnRenamed(key, f"__{key}")
+    return left.join(other, F.col(key).bitwiseXOR(F.lit(1)) == F.col(f"__{key}").bitwiseXOR(F.lit(1))).drop(f"__{key}")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = split_join(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u")
+    joined = split_join(edges, least, "u")
     out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 

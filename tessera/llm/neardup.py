@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tessera.llm.components import components
+from tessera.llm.components import components, split_join
 from tessera.llm.text import NON_SPACE, append_columns, mix, shingles, slices, utf8, words
 from tessera.session import ship, stage, unstage
 
@@ -157,7 +157,7 @@ def _buckets(reps: DataFrame, settings: Settings) -> DataFrame:
     banded = append_columns(reps, [T.StructField("bands", T.ArrayType(T.LongType()))], compute, needs=["signature"])
     each = banded.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     sizes = each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    return each.join(sizes, "bucket")
+    return split_join(each, sizes, "bucket")
 
 
 def _near(a: str, b: str, settings: Settings) -> Column:
@@ -242,7 +242,7 @@ def _block_links(groups: DataFrame, signed: DataFrame, texts: DataFrame, setting
     groups = groups.withColumn("main", F.col("component") == F.col("hub_c"))
     blocks = lambda flag: F.ceil(F.sum(F.when(flag, 1).otherwise(0)) / BLOCK).cast("int")
     sizes = groups.groupBy("hub").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("rests")).where("rests > 0")
-    rows = groups.join(sizes, "hub").withColumn("k", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    rows = split_join(groups, sizes, "hub").withColumn("k", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
     rows = rows.withColumn("place", F.when(F.col("main"), F.col("k")).otherwise(F.col("mains") + F.col("k")))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("main"), F.col("rests")).otherwise(F.col("mains") + F.col("rests")) - 1)))
     partner = F.when(F.col("main"), F.col("mains") + F.col("o")).otherwise(F.col("o"))
@@ -306,7 +306,7 @@ def find_components(docs: DataFrame, settings: Settings = Settings(), *, key: st
     for _ in range(HUB_ROUNDS):
         hubs = open_rows.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"), "n_shingles", "component")).alias("h"))
         hubs = hubs.select("bucket", (-F.col("h.r")).alias("hub"), F.col("h.n_shingles").alias("hub_n"), F.col("h.component").alias("hub_c"))
-        starred = open_rows.join(hubs, "bucket")
+        starred = split_join(open_rows, hubs, "bucket")
         if first_hubs is None:
             first_hubs = stage(starred.select("hub", "rep", "n_shingles").distinct(), "stars")
         pairs = starred.where("component <> hub_c").where(_near("n_shingles", "hub_n", settings)).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
@@ -343,5 +343,5 @@ def _still_open(rows: DataFrame, links: DataFrame) -> DataFrame | None:
     """Rows of buckets whose members lie in more than one component, with their components; None if none."""
     rows = rows.drop("component").join(links.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    rows = stage(rows.join(mixed, "bucket"), "open")
+    rows = stage(split_join(rows, mixed, "bucket"), "open")
     return None if rows.isEmpty() else rows
