@@ -6,21 +6,29 @@ with probability 0.999 and one at 0.9 with probability 0.999998. Paragraphs that
 joined, their exact Jaccard similarity on word shingles is verified, and the verified links make
 clusters, of which the paragraph of the smallest document id stays.
 
+A passage can also repeat inside paragraphs that differ. Such passages are found by winnowed fingerprints
+of PASSAGE_WORDS words: of every PASSAGE_WINDOW fingerprints in a row one is chosen by its value, so that
+two documents that share PASSAGE_WORDS + PASSAGE_WINDOW - 1 = 50 words in a row share a chosen one.
+
 Null texts have no paragraph. Rows with a null id are left alone. Rows that share an id are one document.
 Ids need 39 bits, paragraph numbers 24; others raise an error. Extra columns do not matter.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tessera.llm.components import split_join
 from tessera.llm.neardup import Settings, find_components
-from tessera.llm.text import append_columns
+from tessera.llm.text import NON_SPACE, append_columns, grams, slices, utf8, winnow, words
+from tessera.session import stage
 
 MIN_WORDS = 20
 NUMBER_BITS = 24
+PASSAGE_WORDS, PASSAGE_WINDOW = 24, 27
 SETTINGS = Settings(band_miss=1e-3, hashes=30)
 
 
@@ -56,8 +64,63 @@ def find_repeats(docs: DataFrame, settings: Settings = SETTINGS, *, key: str = "
     return rows.select(part("own")[0].alias("doc_id"), part("own")[1].alias("paragraph"), part("first")[0].alias("cluster_doc_id"), part("first")[1].alias("cluster_paragraph"), "removed")
 
 
+PRINTS = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_PRINTS = pa.list_(pa.struct([("h", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _prints(batch: pa.RecordBatch) -> list[pa.Array]:
+    """Chosen fingerprints of each text, with their places in code points."""
+    data, offsets = utf8(batch.column(batch.schema.get_field_index("body")))
+    counts, found = [], []
+    for a, b in slices(offsets):
+        own, first = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        w = words(own, first, NON_SPACE)
+        points = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
+        hashes = grams(w.hashes, PASSAGE_WORDS)
+        for d in range(b - a):
+            lo, hi = w.first[d], w.first[d + 1] - PASSAGE_WORDS + 1
+            at = winnow(hashes[lo:hi], PASSAGE_WINDOW) + lo if hi > lo else np.zeros(0, dtype=np.int64)
+            counts.append(len(at))
+            base = points[first[d]]
+            found.append((hashes[at].view(np.int64), points[w.starts[at]] - base, points[w.ends[at + PASSAGE_WORDS - 1]] - base))
+    edges = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)
+    columns = [np.concatenate([np.zeros(0, dtype=np.int64), *(f[i] for f in found)]) for i in range(3)]
+    return [pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["h", "start", "end"])).cast(_PRINTS)]
+
+
+def _joined_spans(batch: pa.RecordBatch) -> list[pa.Array]:
+    """Overlapping fingerprints of a document as spans, each with the first document that has some of it."""
+    out = []
+    for row in batch.column(batch.schema.get_field_index("prints")).to_pylist():
+        spans: list[dict] = []
+        for p in row:
+            if spans and p["start"] <= spans[-1]["end"]:
+                spans[-1]["end"] = max(spans[-1]["end"], p["end"])
+                spans[-1]["first"] = min(spans[-1]["first"], p["first"])
+            else:
+                spans.append({"first": p["first"], "start": p["start"], "end": p["end"]})
+        out.append(spans)
+    return [pa.array(out, _SPANS)]
+
+
+def find_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, start, end, cluster_doc_id, removed): passages that other documents have as well.
+
+    Every passage of 50 words or more that repeats is found, and none of fewer than PASSAGE_WORDS.
+    """
+    source = docs.select(F.col(key).cast("long").alias("own"), F.col(text).alias("body")).where("own is not null and body is not null")
+    each = append_columns(source, [T.StructField("p", PRINTS)], _prints, needs=["body"]).select("own", F.explode("p").alias("p")).select("own", "p.*")
+    each = stage(each, "prints")
+    shared = each.groupBy("h").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first < last").select("h", "first")
+    again = split_join(each, shared, "h").groupBy("own").agg(F.sort_array(F.collect_list(F.struct("start", "end", "first"))).alias("prints"))
+    spans = append_columns(again, [T.StructField("s", SPANS)], _joined_spans, needs=["prints"]).select("own", F.explode("s").alias("s"))
+    return spans.select(F.col("own").alias("doc_id"), "s.start", "s.end", F.col("s.first").alias("cluster_doc_id"), (F.col("own") != F.col("s.first")).alias("removed"))
+
+
 def remove_repeats(docs: DataFrame, found: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the paragraphs that ``found`` removes."""
+    """``docs`` without the paragraphs that ``found`` (of find_repeats) removes."""
     gone = found.where("removed").groupBy(F.col("doc_id").alias("__own")).agg(F.collect_set("paragraph").alias("__gone"))
     joined = docs.join(gone, F.col(key) == F.col("__own"), "left")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")

@@ -55,6 +55,14 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs, and passages that repeat inside paragraphs that differ (without a paragraph number)."""
+    docs = _table(spark, sf_dir, "documents")
+    passages = paragraphs.find_passages(docs).withColumn("kind", F.lit("passage"))
+    return paragraphs.find_repeats(docs).withColumn("kind", F.lit("paragraph")).unionByName(passages, allowMissingColumns=True)
+
+
+def paragraph_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraph part of op3_substring_dedup, which SQL can tell as well."""
     return paragraphs.find_repeats(_table(spark, sf_dir, "documents"))
 
 
@@ -176,9 +184,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
+    "paragraph_repeats": paragraph_repeats,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
-    "op3_substring_dedup": OP3_SQL,
+    "paragraph_repeats": OP3_SQL,
     "op6_minhash_near_dedup": OP6_SQL,
 }

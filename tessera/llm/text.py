@@ -159,6 +159,37 @@ def _by_doc(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words, one per first word."""
+    n = len(hashes)
+    if n < k:
+        return np.zeros(0, dtype=np.uint64)
+    power, inverse = _powers(max(n, CHUNK_BYTES))
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(hashes * power[:n], out=total[1:])
+    return mix((total[k:] - total[:-k]) * inverse[: n - k + 1])
+
+
+def _sliding(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
+    """Minima or maxima of all runs of ``width`` values, by doubling."""
+    m, s = x, 1
+    while 2 * s <= width:
+        m, s = least(m[:-s], m[s:]), 2 * s
+    return least(m[: len(x) - width + 1], m[width - s :])
+
+
+def winnow(x: np.ndarray, width: int) -> np.ndarray:
+    """Places of values that are the least of some run of ``width`` values (of all, if there are fewer).
+
+    Two sequences that share ``width`` values in a row share a place chosen in both.
+    """
+    if len(x) <= width:
+        return np.flatnonzero(x == x.min()) if len(x) else np.zeros(0, dtype=np.int64)
+    low = _sliding(x, width, np.minimum)
+    edge = np.zeros(width - 1, dtype=x.dtype)
+    return np.flatnonzero(x == _sliding(np.concatenate([edge, low, edge]), width, np.maximum))
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list[pa.Array]], *, needs: list[str]) -> DataFrame:
     """``df`` with the columns ``fields``, computed batch by batch on executors, without a shuffle.
 

@@ -11,6 +11,7 @@ import pytest
 from tessera.llm import neardup, paragraphs, queries
 from tessera.llm.components import components
 from tessera.llm.neardup import Settings
+from tessera.llm.text import winnow
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 UPPER = {i: i + 32 for i in range(65, 91)}
@@ -144,6 +145,43 @@ def test_paragraph_query_against_brute_force(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     units = [((d << 24) + i, x) for d, t in docs for i, x in enumerate(t.split("\n"))]
     want, _ = brute(units, 5, Fraction(4, 5))
-    got = {(r.doc_id << 24) + r.paragraph: (r.cluster_doc_id << 24) + r.cluster_paragraph for r in queries.op3_substring_dedup(spark, str(tmp_path)).collect()}
+    rows = queries.op3_substring_dedup(spark, str(tmp_path)).where("kind = 'paragraph'").collect()
+    got = {(r.doc_id << 24) + r.paragraph: (r.cluster_doc_id << 24) + r.cluster_paragraph for r in rows}
     groups = {c for u, c in want.items() if u != c}
     assert got == {u: c for u, c in want.items() if c in groups}
+
+
+def test_repeated_passages(spark, tmp_path):
+    rng = random.Random(11)
+    line = lambda n: " ".join("wé%d" % rng.randrange(10**6) for _ in range(n))
+    passages = [line(rng.randrange(50, 90)) for _ in range(12)]
+    docs, homes = [], {}
+    for i in range(60):
+        own = line(rng.randrange(30, 200)).split(" ")
+        p = rng.choice(passages) if i % 2 else None
+        if p:
+            own.insert(rng.randrange(len(own)), p.translate({i: i - 32 for i in range(97, 123)}) if i % 3 else p.replace(" ", "\n", 3))
+            homes.setdefault(p, []).append(i)
+        docs.append((i, " ".join(own)))
+    docs += [(70, None), (71, ""), (72, "short"), (73, line(24)), (74, " ".join(docs[0][1].split(" ")[:20]))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [r for r in queries.op3_substring_dedup(spark, str(tmp_path)).collect() if r.kind == "passage"]
+    want = {i: min(own) for own in homes.values() if len(own) > 1 for i in own}
+    assert {r.doc_id: r.cluster_doc_id for r in rows} == want
+    assert all(r.removed == (r.doc_id != want[r.doc_id]) for r in rows)
+    texts = dict(docs)
+    for r in rows:
+        span = texts[r.doc_id][r.start : r.end].lower().split()
+        assert 24 <= len(span) <= 90 and " ".join(span) in " ".join(texts[want[r.doc_id]].lower().split())
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert paragraphs.find_passages(empty).count() == 0
+
+
+def test_winnowing_keeps_its_promise():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        shared = rng.integers(0, 1 << 60, 27).astype(np.uint64)
+        x, y = (np.concatenate([rng.integers(0, 1 << 60, rng.integers(0, 60)).astype(np.uint64), shared, rng.integers(0, 1 << 60, rng.integers(0, 60)).astype(np.uint64)]) for _ in range(2))
+        assert {*x[winnow(x, 27)].tolist()} & {*y[winnow(y, 27)].tolist()} & {*shared.tolist()}
+        low = [min(x[i : i + 27].tolist()) for i in range(len(x) - 26)]
+        assert {*x[winnow(x, 27)].tolist()} == set(low)
