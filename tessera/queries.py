@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import expr as e
 from tessera.operators.query import Query, query
 from tessera.plans.patterns import Engine
+from tessera.sources.index import TupleIndex
 from tessera.sources.tables import RecordTable, load, table, tuples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -506,6 +507,26 @@ def tuples_scan(t: Tables) -> DataFrame:
     return tuples(t.nation, system=False).select("path", "attr", "text")
 
 
+@register("SELECT concat('data/nation/', CAST(n_nationkey AS VARCHAR)) AS path, attr FROM (SELECT n_nationkey, unnest(['_id', 'n_name', 'n_nationkey', 'n_regionkey']) AS attr FROM nation WHERE n_nationkey = 4)")
+def index_attrs(t: Tables) -> DataFrame:
+    return TupleIndex([t.nation]).attrs("data/nation/4").select("path", "attr")
+
+
+@register("SELECT concat('data/orders/', CAST(o_orderkey AS VARCHAR)) AS path, o_orderstatus AS text FROM orders")
+def index_by_schema_attr(t: Tables) -> DataFrame:
+    return TupleIndex([t.orders]).by_schema_attr("data/orders", "o_orderstatus").select("path", "text")
+
+
+@register("SELECT concat('data/customer/', CAST(c_custkey AS VARCHAR)) AS path, 'c_nationkey' AS attr FROM customer WHERE c_nationkey = 3 UNION ALL SELECT concat('data/customer/', CAST(c_custkey AS VARCHAR)), 'c_custkey' FROM customer WHERE c_custkey = 3")
+def index_by_value(t: Tables) -> DataFrame:
+    return TupleIndex([t.customer]).by_value(3).select("path", "attr")
+
+
+@register("SELECT concat('data/region/', CAST(r_regionkey AS VARCHAR)) AS path FROM region UNION ALL SELECT concat('data/nation/', CAST(n_nationkey AS VARCHAR)) FROM nation")
+def index_paths(t: Tables) -> DataFrame:
+    return TupleIndex([t.region, t.nation]).paths("data")
+
+
 @register("""
 SELECT s, max(n) AS most FROM (SELECT o_custkey AS c, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1""")
 def subquery_two_level(t: Tables) -> Query:

@@ -105,6 +105,25 @@ class LiveQuery:
         return RecordTable(self.path, df, F.monotonically_increasing_id().cast("string"))
 
 
+class LiveHandle:
+    """What a user interface needs of a live query: its rows, and whether they are there."""
+
+    def __init__(self, live: LiveQuery):
+        self.rows: list[dict] = []
+        self.status, self.error = "loading", None
+        try:
+            self._stop = live.subscribe(self._see)
+        except Exception as e:
+            self.status, self.error, self._stop = "error", e, lambda: None
+
+    def _see(self, rows: list[dict]) -> None:
+        self.rows, self.status = rows, "ready"
+
+    def close(self) -> None:
+        self._stop()
+        self.status = "cleaned-up"
+
+
 class LiveCollection:
     """A live query's rows as a read-only collection."""
 

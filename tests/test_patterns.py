@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tessera.errors import TesseraError
 from tessera.plans.patterns import Engine
+from tessera.sources.index import TupleIndex
 from tessera.sources.tables import table
 
 
@@ -73,3 +74,19 @@ def test_errors(engine):
             engine.query(["?t"], where)
     with pytest.raises(Exception, match="not bound"):
         engine.query(["?t"], [TITLE, {"opt": ("app/posts/?p", "views", "?w")}, "?w > 3"]).collect()
+
+
+def test_index_reads(engine):
+    index = TupleIndex(engine.tables.values())
+    pairs = lambda df: sorted((r.path, r.attr, r.text) for r in df.collect())
+    assert pairs(index.get("app/users/1", "name")) == [("app/users/1", "name", "Ada")]
+    assert len(pairs(index.attrs("app/posts/3"))) == 2 and index.has("app/posts/3") and not index.has("app/posts/9")
+    assert [p for p, _, _ in pairs(index.by_schema_attr("app/posts", "views"))] == ["app/posts/1", "app/posts/2"]
+    assert pairs(index.by_schema_attr("app/posts", "nothing")) == []
+    assert pairs(index.by_value(150)) == [("app/posts/1", "views", "150")]
+    assert index.by_schema("app/users").count() == 4 and index.scan("app/users/1").count() == 2
+    assert index.scan("app").count() == index.all().count() == 4 + 10 + 8
+    assert [r.path for r in index.paths("app/users").orderBy("path").collect()] == ["app/users/1", "app/users/2"]
+    assert index.paths("app").count() == 7 and index.paths("app/users/2").count() == 1
+    with pytest.raises(TesseraError):
+        index.scan("none")
