@@ -25,6 +25,8 @@ from tessera.llm.text import ALNUM_WORD, append_columns, slices, utf8, words
 WINDOW = 13
 #: Test phrases of more bytes than this are searched block by block.
 BLOCK_BYTES = 32 << 20
+#: Bytes of text in a shard; a longer document is a shard of its own, or several.
+SHARD_BYTES = 2 << 20
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 FIELDS = [
@@ -87,7 +89,7 @@ def _occurrences(symbols: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.
 def search(texts: pa.Array, phrases: Phrases) -> Iterator[tuple[int, int, list[str], list[dict]]]:
     """For each text: words, hit words, ids of items that occur, merged hit spans in code points."""
     data, offsets = utf8(texts)
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, SHARD_BYTES):
         own = data[offsets[a] : offsets[b]]
         w = words(own, offsets[a : b + 1] - offsets[a], ALNUM_WORD)
         counts = np.diff(w.first)

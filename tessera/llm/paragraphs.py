@@ -35,19 +35,10 @@ SETTINGS = Settings(band_miss=1e-3, hashes=30)
 def paragraphs(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (doc_id, text): every paragraph that counts, with a number that tells document and place."""
     source = docs.select(F.col(key).cast("long").alias("own"), F.col(text).alias("body")).where("own is not null and body is not null")
-    kind = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]))
-
-    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        rows = []
-        for own, body in zip(batch.column(batch.schema.get_field_index("own")).to_pylist(), batch.column(batch.schema.get_field_index("body")), strict=True):
-            lines = body.as_py().split("\n")
-            if not -(1 << 39) <= own < 1 << 39 or len(lines) > 1 << NUMBER_BITS:
-                raise ValueError(f"document {own}: ids need 39 bits, and paragraph numbers {NUMBER_BITS}")
-            rows.append([{"doc_id": (own << NUMBER_BITS) + i, "text": x} for i, x in enumerate(lines) if len(x.encode().split(None, min_words)) >= min_words])
-        return [pa.array(rows, pa.list_(pa.struct([("doc_id", pa.int64()), ("text", pa.string())])))]
-
-    split = append_columns(source, [T.StructField("p", kind)], compute, needs=["own", "body"])
-    return split.select(F.explode("p").alias("p")).select("p.*")
+    lines = source.select("own", F.posexplode(F.split("body", "\n", -1)).alias("i", "text")).where(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= min_words)
+    fits = F.col("own").between(-(1 << 39), (1 << 39) - 1) & (F.col("i") < 1 << NUMBER_BITS)
+    refused = F.raise_error(F.concat(F.lit("document "), F.col("own").cast("string"), F.lit(f": ids need 39 bits, and paragraph numbers {NUMBER_BITS}"))).cast("long")
+    return lines.select(F.when(fits, F.shiftleft("own", NUMBER_BITS) + F.col("i")).otherwise(refused).alias("doc_id"), "text")
 
 
 def find_repeats(docs: DataFrame, settings: Settings = SETTINGS, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tessera.session import ship
 
 #: Bytes of text that are tokenised at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes of an Arrow batch that are turned to Python objects at once; one row may have more.
 PIECE_BYTES = 4 << 20
 
