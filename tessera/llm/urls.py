@@ -1,8 +1,8 @@
 """URL filters: host and path rules first, then logistic regression on hashed character n-grams.
 
 Null URLs, and URLs without ``://``, have an empty host and path; no rule fits them and the model judges
-them by its bias. With no labelled URL, or labels of one kind only, the model allows everything that no
-rule decides. Repeated rows are judged alike. A column of the input that bears the name of an output
+them by its bias. With an empty labelled table, or labels of one kind only, the model allows everything that
+no rule decides. Repeated rows are judged alike. A column of the input that bears the name of an output
 column is replaced.
 """
 
@@ -20,10 +20,29 @@ from tessera.llm.text import append_columns, utf8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GRAMS = (3, 4, 5)
 FEATURES = 1 << 16
-#: Bound of the labelled sample: hash buckets per label, one URL each.
+#: Bound of a sample of a larger labelled table: hash buckets per label, one URL each.
 SAMPLE_URLS = 1024
 
 
+#: A URL is blocked above this score. Hosts of words that the table does not know score about one half.
+BLOCK_ABOVE = 0.7
+#: Words of hosts in the labelled table.
+BLOCKED_WORDS = ("casino", "poker", "bets", "jackpot", "lottery", "pills", "pharmacy", "meds", "adult", "porn", "xxx", "escorts", "spam", "ads", "adserver", "tracker", "clicks", "loans", "payday", "replica", "torrents", "warez", "crack", "hack")
+ALLOWED_WORDS = ("news", "wiki", "library", "school", "museum", "weather", "recipes", "science", "travel", "garden", "music", "history", "city", "health", "books", "maps", "sports", "forum", "docs", "theatre", "family", "mail", "radio", "law")
+
+
+def labelled_urls() -> list[tuple[str, bool]]:
+    """The small labelled table: each word in four hosts; everything else is alike for both labels."""
+    out = []
+    for i in range(len(BLOCKED_WORDS)):
+        for word, blocked in ((BLOCKED_WORDS[i], True), (ALLOWED_WORDS[i], False)):
+            for k, host in enumerate((word, f"www.{word}-online", f"blog.free-{word}.example", f"m.{word}-world.example")):
+                place = i + k
+                path = ("/", "/en/12", "/de/345.html", "/fr/6?page=2", "/es/78/")[place % 5]
+                out.append((f"https://{host}.{('com', 'org', 'net')[place % 3]}{path}", blocked))
+    return out
+
+
 @dataclass(frozen=True)
 class Rule:
     """A verdict for a host with its subdomains, and paths that begin with ``path``."""
@@ -117,11 +136,11 @@ def sample(labelled: DataFrame, *, buckets: int = SAMPLE_URLS) -> list[tuple[str
     return sorted((r.x.host, r.x.path, r.verdict == "block") for r in least.collect())
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, *, url: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, *, url: str = "url", block_above: float = BLOCK_ABOVE) -> DataFrame:
     """``pages`` with host, path, rule, block_score and verdict.
 
-    ``labelled`` has url and verdict (allow or block). Without it the model learns from the URLs that
-    the rules decide. Either way it is fit on a bounded sample.
+    ``labelled`` has url and verdict (allow or block); the model is fit on a bounded sample of it. By
+    default it is fit on the small table of this module.
     """
     host, path = split(F.col(url))
     taken = {"host", "path", "rule", "verdict", "block_score"}
@@ -129,11 +148,9 @@ def filter_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None
     rule, verdict = match(F.col("host"), F.col("path"), rules)
     judged = split_up.withColumn("rule", rule).withColumn("verdict", verdict)
     if labelled is None:
-        rows = judged.where("rule is not null").select("host", "path", "verdict")
-    else:
-        h, p = split(F.col("url"))
-        rows = labelled.where("verdict in ('allow', 'block')").select(h.alias("host"), p.alias("path"), "verdict")
-    known = sample(rows)
+        labelled = pages.sparkSession.createDataFrame([(u, "block" if b else "allow") for u, b in labelled_urls()], "url string, verdict string")
+    h, p = split(F.col("url"))
+    known = sample(labelled.where("verdict in ('allow', 'block')").select(h.alias("host"), p.alias("path"), "verdict"))
     model = fit(*(list(x) for x in zip(*known, strict=True))) if known else fit([], [], [])
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
@@ -142,4 +159,4 @@ def filter_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None
         return [pa.array(shared.value.scores(host, path), pa.float64())]
 
     scored = append_columns(judged, [T.StructField("block_score", T.DoubleType())], compute, needs=["host", "path"])
-    return scored.withColumn("verdict", F.coalesce("verdict", F.when(F.col("block_score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))))
+    return scored.withColumn("verdict", F.coalesce("verdict", F.when(F.col("block_score") > block_above, F.lit("block")).otherwise(F.lit("allow"))))

@@ -73,5 +73,16 @@ def test_model_learns_a_labelled_table(spark):
 
 def test_nothing_to_learn_from(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x"), (2, None)], "page_id long, url string")
-    assert {r.verdict for r in urls.filter_urls(pages, []).collect()} == {"allow"}
+    labelled = spark.createDataFrame([], "url string, verdict string")
+    assert {r.verdict for r in urls.filter_urls(pages, [], labelled).collect()} == {"allow"}
     assert urls.filter_urls(pages.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_the_small_table(spark):
+    table = urls.labelled_urls()
+    assert len(table) < 200 and sum(b for _, b in table) * 2 == len(table)
+    seen = ["http://a.casino-win.org/x", "https://blog.cheap-pills.net/en/1", "http://free-bets.info/", "http://adult-x.org/de/2"]
+    clean = ["https://ththnd.example.net/de/39486.html", "http://city-library.org/en/", "https://www.uni-museum.net/", "http://qwrtz.example.org/fr/1"]
+    pages = spark.createDataFrame(list(enumerate(seen + clean)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.filter_urls(pages, []).collect()}
+    assert [got[i] for i in range(8)] == ["block"] * 4 + ["allow"] * 4
