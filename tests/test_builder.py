@@ -169,3 +169,15 @@ def test_against_the_nested_loop_model(spark, kind):
                 shape = lambda r: tuple(tuple(sorted(r[s].items())) if r[s] else None for s in ("a", "b"))
                 got = [{s: {k: v for k, v in row[s].asDict().items() if v is not None} if row[s] else None for s in ("a", "b")} for row in q.run().collect()]
                 assert Counter(map(shape, got)) == Counter(map(shape, want)), (seed, key, extra)
+
+
+@pytest.mark.parametrize("kinds", [("left", "left"), ("inner", "left"), ("left", "inner")])
+def test_chains_against_the_nested_loop_model(spark, kinds):
+    for seed in (5, 6):
+        data = [*_random_tables(seed), _random_tables(seed + 100)[0]]
+        tables = [table(f"t/{n}", spark.createDataFrame([(r["id"], r.get("x"), r.get("y")) for r in rows], "id string, x long, y long")) for n, rows in zip("abc", data, strict=True)]
+        q = query().from_(a=tables[0]).join(lambda r: e.eq(r.a.x, r.b.x), kinds[0], b=tables[1]).join(lambda r: e.eq(r.b.y, r.c.y), kinds[1], c=tables[2])
+        want = model([("a", data[0], "from"), ("b", data[1], kinds[0]), ("c", data[2], kinds[1])], list(q.conditions))
+        shape = lambda r: tuple(r[s]["id"] if r[s] else None for s in "abc")
+        got = q.run().collect()
+        assert Counter(map(shape, got)) == Counter(map(shape, want)), seed
