@@ -1,7 +1,8 @@
 """Substring dedup: repeated paragraphs are found by MinHash banding and cut, but for their first copy.
 
 Paragraphs are a text's lines; those of fewer than ``min_words`` words are left
-alone. The bands are tuned for recall: three rows each, so that ten bands find a pair at the threshold
+alone (with 1, blank lines only). A paragraph of fewer words than a shingle has one shingle, all of it,
+so that it repeats by exact equality. Equal paragraphs collapse to one before banding. The bands are tuned for recall: three rows each, so that ten bands find a pair at the threshold
 with probability 0.999 and one at 0.9 with probability 0.999998. Paragraphs that share a band value are
 joined, their exact Jaccard similarity on word shingles is verified, and the verified links make
 clusters, of which the paragraph of the smallest document id stays.

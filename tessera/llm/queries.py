@@ -55,14 +55,14 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated paragraphs, and passages that repeat inside paragraphs that differ (without a paragraph number)."""
+    """Repeated paragraphs of any length, and passages that repeat inside paragraphs that differ (without a paragraph number)."""
     docs = _table(spark, sf_dir, "documents")
     passages = paragraphs.find_passages(docs).withColumn("kind", F.lit("passage"))
-    return paragraphs.find_repeats(docs).withColumn("kind", F.lit("paragraph")).unionByName(passages, allowMissingColumns=True)
+    return paragraphs.find_repeats(docs, min_words=1).withColumn("kind", F.lit("paragraph")).unionByName(passages, allowMissingColumns=True)
 
 
 def paragraph_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The paragraph part of op3_substring_dedup, which SQL can tell as well."""
+    """Paragraphs of MIN_WORDS words or more alone, for the SQL that has the same limit; op3_substring_dedup has none."""
     return paragraphs.find_repeats(_table(spark, sf_dir, "documents"))
 
 

@@ -151,6 +151,22 @@ def test_paragraph_query_against_brute_force(spark, tmp_path):
     assert got == {u: c for u, c in want.items() if c in groups}
 
 
+def test_short_paragraphs_against_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    pool = [" ".join("w%d" % rng.randrange(300) for _ in range(n)) for n in range(1, 25) for _ in range(2)]
+    pool += ["Licensed under the terms of the licence above.", "See also", "See also:"]
+    docs = [(i, "\n".join(rng.choice([*near_copies(rng, rng.choice(pool), 2, 2), "", "See  ALSO"]) for _ in range(6))) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    units = [((d << 24) + i, x) for d, t in docs for i, x in enumerate(t.split("\n"))]
+    want, sets = brute(units, 5, Fraction(4, 5))
+    groups = {c for u, c in want.items() if u != c}
+    want = {u: c for u, c in want.items() if c in groups}
+    rows = queries.op3_substring_dedup(spark, str(tmp_path)).where("kind = 'paragraph'").collect()
+    assert {(r.doc_id << 24) + r.paragraph: (r.cluster_doc_id << 24) + r.cluster_paragraph for r in rows} == want
+    n_words = {len(WORD.findall(x)) for u, x in units if u in want}
+    assert n_words >= {1, 2, 5, 8, 15, 20} and sum(len(sets[u]) > 0 for u in want) == len(want)
+
+
 def test_repeated_passages(spark, tmp_path):
     rng = random.Random(11)
     line = lambda n: " ".join("wé%d" % rng.randrange(10**6) for _ in range(n))
