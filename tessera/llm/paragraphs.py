@@ -9,7 +9,10 @@ clusters, of which the paragraph of the smallest document id stays.
 
 A passage can also repeat inside paragraphs that differ. Such passages are found by winnowed fingerprints
 of PASSAGE_WORDS words: of every PASSAGE_WINDOW fingerprints in a row one is chosen by its value, so that
-two documents that share PASSAGE_WORDS + PASSAGE_WINDOW - 1 = 50 words in a row share a chosen one.
+two documents that share PASSAGE_WORDS + PASSAGE_WINDOW - 1 = 50 words in a row share a chosen one, and
+each fingerprint of these words lies less than PASSAGE_WINDOW words from a shared chosen one (an anchor).
+All fingerprints that near to anchors are compared, so that spans cover all words that agree. Fingerprints
+have 64 bits; words are not compared beyond them.
 
 Null texts have no paragraph. Rows with a null id are left alone. Rows that share an id are one document.
 Ids need 39 bits, paragraph numbers 24; others raise an error. Extra columns do not matter.
@@ -56,15 +59,42 @@ def find_repeats(docs: DataFrame, settings: Settings = SETTINGS, *, key: str = "
     return rows.select(part("own")[0].alias("doc_id"), part("own")[1].alias("paragraph"), part("first")[0].alias("cluster_doc_id"), part("first")[1].alias("cluster_paragraph"), "removed")
 
 
-PRINTS = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-_PRINTS = pa.list_(pa.struct([("h", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+def _list_of(*names: str) -> tuple[T.ArrayType, pa.DataType]:
+    """A list of structs of longs, for Spark and for Arrow."""
+    return T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in names])), pa.list_(pa.struct([(n, pa.int64()) for n in names]))
+
+
+PRINTS, _PRINTS = _list_of("h", "at")
+GRAMS, _GRAMS = _list_of("h", "at", "start", "end")
+SPANS, _SPANS = _list_of("first", "start", "end")
+
+
+def _lists(counts: list[int], found: list[tuple[np.ndarray, ...]], kind: pa.DataType) -> pa.Array:
+    names = [f.name for f in kind.value_type]
+    edges = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)
+    columns = [np.concatenate([np.zeros(0, dtype=np.int64), *(f[i] for f in found)]) for i in range(len(names))]
+    return pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays([pa.array(c) for c in columns], names=names)).cast(kind)
 
 
 def _prints(batch: pa.RecordBatch) -> list[pa.Array]:
-    """Chosen fingerprints of each text, with their places in code points."""
+    """Chosen fingerprints of each text, with the numbers of their first words."""
+    data, offsets = utf8(batch.column(batch.schema.get_field_index("body")))
+    counts, found = [], []
+    for a, b in slices(offsets):
+        w = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NON_SPACE)
+        hashes = grams(w.hashes, PASSAGE_WORDS)
+        for d in range(b - a):
+            lo, hi = w.first[d], w.first[d + 1] - PASSAGE_WORDS + 1
+            at = winnow(hashes[lo:hi], PASSAGE_WINDOW) if hi > lo else np.zeros(0, dtype=np.int64)
+            counts.append(len(at))
+            found.append((hashes[at + lo].view(np.int64), at))
+    return [_lists(counts, found, _PRINTS)]
+
+
+def _near_anchors(batch: pa.RecordBatch) -> list[pa.Array]:
+    """All fingerprints that lie less than PASSAGE_WINDOW words from an anchor, with their places in code points."""
     data, offsets = utf8(batch.column(batch.schema.get_field_index("body")))
+    anchors = batch.column(batch.schema.get_field_index("anchors"))
     counts, found = [], []
     for a, b in slices(offsets):
         own, first = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -72,42 +102,50 @@ def _prints(batch: pa.RecordBatch) -> list[pa.Array]:
         points = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
         hashes = grams(w.hashes, PASSAGE_WORDS)
         for d in range(b - a):
-            lo, hi = w.first[d], w.first[d + 1] - PASSAGE_WORDS + 1
-            at = winnow(hashes[lo:hi], PASSAGE_WINDOW) + lo if hi > lo else np.zeros(0, dtype=np.int64)
+            lo, n = w.first[d], w.first[d + 1] - w.first[d] - PASSAGE_WORDS + 1
+            places = anchors[a + d].values.to_numpy(zero_copy_only=False)
+            change = np.zeros(n + 1, dtype=np.int64)
+            np.add.at(change, np.maximum(places - PASSAGE_WINDOW + 1, 0), 1)
+            np.add.at(change, np.minimum(places + PASSAGE_WINDOW, n), -1)
+            at = np.flatnonzero(np.cumsum(change)[:n])
             counts.append(len(at))
             base = points[first[d]]
-            found.append((hashes[at].view(np.int64), points[w.starts[at]] - base, points[w.ends[at + PASSAGE_WORDS - 1]] - base))
-    edges = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)
-    columns = [np.concatenate([np.zeros(0, dtype=np.int64), *(f[i] for f in found)]) for i in range(3)]
-    return [pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["h", "start", "end"])).cast(_PRINTS)]
+            found.append((hashes[at + lo].view(np.int64), at, points[w.starts[at + lo]] - base, points[w.ends[at + lo + PASSAGE_WORDS - 1]] - base))
+    return [_lists(counts, found, _GRAMS)]
 
 
 def _joined_spans(batch: pa.RecordBatch) -> list[pa.Array]:
-    """Overlapping fingerprints of a document as spans, each with the first document that has some of it."""
+    """Runs of fingerprints of a text that follow each other in their first document as well, as spans."""
     out = []
-    for row in batch.column(batch.schema.get_field_index("prints")).to_pylist():
-        spans: list[dict] = []
-        for p in row:
-            if spans and p["start"] <= spans[-1]["end"]:
-                spans[-1]["end"] = max(spans[-1]["end"], p["end"])
-                spans[-1]["first"] = min(spans[-1]["first"], p["first"])
-            else:
-                spans.append({"first": p["first"], "start": p["start"], "end": p["end"]})
-        out.append(spans)
-    return [pa.array(out, _SPANS)]
+    for row in batch.column(batch.schema.get_field_index("grams")):
+        g = row.values
+        at, start, end, first, first_at = (g.field(n).to_numpy(zero_copy_only=False) for n in ("at", "start", "end", "first", "first_at"))
+        cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(first) != 0) | (np.diff(first_at) != 1))
+        heads, tails = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(at) - 1]])
+        out.append((first[heads], start[heads], end[tails]))
+    return [_lists([len(x[0]) for x in out], out, _SPANS)]
 
 
 def find_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, start, end, cluster_doc_id, removed): passages that other documents have as well.
 
-    Every passage of 50 words or more that repeats is found, and none of fewer than PASSAGE_WORDS.
+    Every passage of 50 words or more that repeats is covered whole, and none of fewer than PASSAGE_WORDS
+    is found. A span is a run of words that stands in the cluster's document as it is, which is the first
+    that has its fingerprints; where that document or the place in it changes, another span begins,
+    which overlaps the last one by up to PASSAGE_WORDS - 1 words.
     """
     source = docs.select(F.col(key).cast("long").alias("own"), F.col(text).alias("body")).where("own is not null and body is not null")
-    each = append_columns(source, [T.StructField("p", PRINTS)], _prints, needs=["body"]).select("own", F.explode("p").alias("p")).select("own", "p.*")
+    source = source.withColumn("t", F.xxhash64("body"))  # rows that share an id have places of their own
+    each = append_columns(source, [T.StructField("p", PRINTS)], _prints, needs=["body"]).select("own", "t", F.explode("p").alias("p")).select("own", "t", "p.*")
     each = stage(each, "prints")
-    shared = each.groupBy("h").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first < last").select("h", "first")
-    again = split_join(each, shared, "h").groupBy("own").agg(F.sort_array(F.collect_list(F.struct("start", "end", "first"))).alias("prints"))
-    spans = append_columns(again, [T.StructField("s", SPANS)], _joined_spans, needs=["prints"]).select("own", F.explode("s").alias("s"))
+    shared = each.groupBy("h").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first < last").select("h")
+    anchors = split_join(each, shared, "h").groupBy("own", "t").agg(F.collect_set("at").alias("anchors"))
+    near = append_columns(source.join(anchors, ["own", "t"]), [T.StructField("g", GRAMS)], _near_anchors, needs=["body", "anchors"])
+    near = stage(near.select("own", "t", F.explode("g").alias("g")).select("own", "t", "g.*"), "grams")
+    firsts = near.groupBy("h").agg(F.min(F.struct("own", "at")).alias("f"), F.max("own").alias("last")).where("f.own < last")
+    again = split_join(near, firsts.select("h", F.col("f.own").alias("first"), F.col("f.at").alias("first_at")), "h")
+    again = again.groupBy("own", "t").agg(F.sort_array(F.collect_set(F.struct("at", "start", "end", "first", "first_at"))).alias("grams"))
+    spans = append_columns(again, [T.StructField("s", SPANS)], _joined_spans, needs=["grams"]).select("own", F.explode("s").alias("s"))
     return spans.select(F.col("own").alias("doc_id"), "s.start", "s.end", F.col("s.first").alias("cluster_doc_id"), (F.col("own") != F.col("s.first")).alias("removed"))
 
 

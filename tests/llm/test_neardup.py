@@ -193,6 +193,34 @@ def test_repeated_passages(spark, tmp_path):
     assert paragraphs.find_passages(empty).count() == 0
 
 
+def test_passages_are_covered_whole_and_one_copy_stays(spark):
+    rng = random.Random(13)
+    some = lambda n: ["wé%d" % rng.randrange(10**6) for _ in range(n)]
+    passages = [some(n) for n in (50, 51, 60, 80, 120, 200, 400)]
+    docs, want = [], {}
+    for i in range(40):
+        left, p = some(rng.randrange(40)), passages[i % 7]
+        docs.append((i, " ".join(left + p + some(rng.randrange(40)))))
+        want[i] = set(range(len(left), len(left) + len(p)))
+    # 60 has 80 words of 51, of which 50 has the middle ones only
+    long = some(80)
+    for i, own in ((50, long[25:55]), (51, long), (60, long)):
+        left = some(10)
+        docs.append((i, " ".join(left + own + some(10))))
+        want[i] = set(range(10, 10 + len(own)))
+    texts, covered, gone = dict(docs), {}, {}
+    for r in paragraphs.find_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        span = texts[r.doc_id][r.start : r.end]
+        assert f" {span} " in f" {texts[r.cluster_doc_id]} " and len(span.split()) >= 24
+        at = len(texts[r.doc_id][: r.start].split())
+        for seen in (covered, gone) if r.removed else (covered,):
+            seen.setdefault(r.doc_id, set()).update(range(at, at + len(span.split())))
+    assert {i: c for i, c in covered.items() if i != 50} == {i: c for i, c in want.items() if i != 50}
+    assert {i: c for i, c in gone.items() if i < 50} == {i: want[i] for i in range(7, 40)} and gone[60] == want[60]
+    kept = {w for i, t in docs for k, w in enumerate(t.split()) if k not in gone.get(i, ())}
+    assert kept == {w for _, t in docs for w in t.split()}
+
+
 def test_winnowing_keeps_its_promise():
     rng = np.random.default_rng(1)
     for _ in range(50):
