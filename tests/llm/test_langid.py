@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 from tessera.llm import langid, queries
@@ -17,6 +18,22 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows) and sum(r.rejected for r in rows) < 0.01 * len(rows)
 
 
+def test_languages_that_were_not_learned(spark):
+    texts = [
+        "La pioggia cadeva lenta sulla città mentre le persone correvano verso casa con gli ombrelli aperti. Nessuno sapeva perché il vecchio orologio della piazza si fosse fermato quella mattina.",
+        "Sade putosi hitaasti kaupungin ylle, kun ihmiset juoksivat koteihinsa sateenvarjot auki. Kukaan ei tiennyt, miksi torin vanha kello oli pysähtynyt sinä aamuna.",
+        "Дождь медленно падал на город, пока люди бежали домой с открытыми зонтами. Никто не знал, почему старые часы на площади остановились тем утром.",
+    ]
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(t.split()) for _ in range(800)) for t in texts]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = langid.learn(docs.where(~langid.held_out()))
+    foreign = langid.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), known)
+    assert all(r.rejected for r in foreign.collect())
+    clean = docs.where(langid.held_out()).where("length(text) >= 200")
+    assert langid.classify(clean, known).where("rejected").count() == 0
+
+
 def test_edge_cases(spark):
     rows = [(i, t, lang, None, "mine") for i, (t, lang) in enumerate([("the cat and the dog of the house", "en"), ("der Hund und die Katze im Haus", "de"), (None, "en"), ("the", None)] * 5)]
     labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score string")
