@@ -13,7 +13,8 @@ however long a conversation is.
 Null texts count as empty and have no lines; a row without lines gives no turn. Rows without a
 conversation id or turn are dropped. Repeated rows (same id, turn and text) are one row with ``copies``;
 different texts of one turn follow in the order of their hash. A chunk of more than MOST_ROWS rows,
-which takes that many texts for a few turn numbers, is split by hash. Extra columns are not read.
+which takes that many texts for a few turn numbers, is split by ranges of turn and hash, so that the order
+is the same at every size. Extra columns are not read.
 """
 
 
@@ -199,8 +200,12 @@ def _chunks(turns: DataFrame, conversation: str, turn: str, text: str, size: int
     source = turns.select(F.col(conversation).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(text).alias("text")).where("conv is not null and turn is not null")
     rows = source.groupBy("conv", "turn", "text").agg(F.count("*").alias("copies")).withColumn("block", F.floor(F.col("turn") / size) + (1 << 40))  # not negative, so that blocks meet at the root
     rows = rows.withColumn("h", F.xxhash64("text"))
-    large = rows.groupBy("conv", "block").agg(F.count("*").alias("c")).where(F.col("c") > MOST_ROWS).withColumn("parts", F.ceil(F.col("c") * 2 / MOST_ROWS))
-    rows = rows.join(large.drop("c"), ["conv", "block"], "left").withColumn("sub", F.coalesce(F.pmod("h", F.col("parts")), F.lit(0)))
+    each = rows.groupBy("conv", "block", "turn").agg(F.count("*").alias("c"))
+    large = each.groupBy("conv", "block").agg(F.sum("c").alias("all")).where(F.col("all") > MOST_ROWS).select("conv", "block")
+    parts = each.join(large, ["conv", "block"], "left_semi").select("conv", "block", "turn", F.ceil(F.col("c") * 2 / MOST_ROWS).alias("parts"))
+    prefix = F.floor((F.col("h") / float(1 << 64) + 0.5) * F.col("parts"))  # grows with the hash
+    sub = F.shiftleft(F.pmod("turn", F.lit(size)).cast("long"), 40) + prefix
+    rows = rows.join(parts, ["conv", "block", "turn"], "left").withColumn("sub", F.coalesce(sub, F.lit(0).cast("long")))
     grouped = rows.groupBy("conv", "block", "sub").agg(F.sort_array(F.collect_list(F.struct("turn", "h", "text", "copies"))).alias("rows"))
     return grouped
 

@@ -52,6 +52,20 @@ def test_chunks_agree_with_whole_conversations(spark):
     assert {r.conv for r in whole} == {1, 2}
 
 
+def test_large_blocks_agree_with_whole_ones(spark, monkeypatch):
+    rng = random.Random(4)
+    text = lambda: rng.choice(["", "User: ", "Assistant: ", "System: "]) + "x" * rng.randrange(1, 200) + rng.choice(["", "?", "\nmore", "\n\nBot: yes"]) + str(rng.random())
+    rows = [(1, i, text()) for i in range(-20, 30) for _ in range(rng.randrange(1, 5))] + [(1, 3, text()) for _ in range(60)] + [(2, 0, text()) for _ in range(5)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    key = lambda r: (r.conv, r.turn, r.line, r.text)
+    whole = sorted(chat.format_chats(turns).collect(), key=key)
+    monkeypatch.setattr(chat, "MOST_ROWS", 8)
+    assert sorted(chat.format_chats(turns, fan=4).collect(), key=key) == whole
+    subs = chat._chunks(turns, "conv_id", "turn", "text", chat.CHUNK_TURNS).collect()
+    order = [(r.turn, r.h) for c in sorted((c for c in subs if c.conv == 1), key=lambda c: (c.block, c.sub)) for r in c.rows]
+    assert order == sorted(order) and max(len(c.rows) for c in subs) <= 16
+
+
 def test_query_and_empty_table(spark, tmp_path):
     spark.createDataFrame(conversation(4), "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert queries.op2_chat_format(spark, str(tmp_path)).count() == 4
