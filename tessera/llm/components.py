@@ -5,55 +5,73 @@ Only sums are collected: neither links nor components ever reach the driver.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tessera.session import stage, unstage
 
+#: A key of at least HOT_ROWS rows may be joined by broadcast, and of such keys the MOST_HOT largest are. Any
+#: other key has at most a share of 1 / MOST_HOT of all rows, so one task can take it.
+HOT_ROWS = 256
+MOST_HOT = 1000
+
 
-def split_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """An inner join on a bigint key, with an exchange of its own on either side.
+def split_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], weight: str, how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row per key and in ``weight`` how many rows it meets.
 
-    Were ``right`` an aggregate by the key, its partitioning would serve the join as well, and Spark could
-    not split the partition of a hot key. Joining on an image of the key keeps the two apart.
+    Rows of the largest keys are joined by broadcasting those few rows of ``right``, and dealt evenly instead
+    of by their key; the others are joined by key, with an exchange of their own on either side. So no task
+    gets a hot key's rows, whatever share of all rows they are. ``weight`` is not passed on.
     """
-    other = right.withColumnRenamed(key, f"__{key}")
-    return left.join(other, F.col(key).bitwiseXOR(F.lit(1)) == F.col(f"__{key}").bitwiseXOR(F.lit(1))).drop(f"__{key}")
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    columns = [c for c in right.columns if c not in (*keys, weight)]
+    value = F.struct(F.lit(True).alias("__there"), *[F.col(c) for c in columns])
+    hot = right.where(F.col(weight) >= HOT_ROWS).orderBy(F.desc(weight)).limit(MOST_HOT)
+    hot = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys], value.alias("__hot"))
+    marked = left.join(F.broadcast(hot), [F.col(k) == F.col(f"__hot_{k}") for k in keys], "left").drop(*[f"__hot_{k}" for k in keys])
+    own = F.xxhash64(*keys).bitwiseXOR(F.lit(1))
+    spread = F.xxhash64(*[c for c, kind in left.dtypes if not kind.startswith("map")], F.lit(7))
+    marked = marked.withColumn("__deal", F.when(F.col("__hot").isNull(), own).otherwise(spread))
+    cold = right.select(own.alias("__own"), *[F.col(k).alias(f"__cold_{k}") for k in keys], value.alias("__cold"))
+    same = [F.col("__deal") == F.col("__own"), *[F.col(k) == F.col(f"__cold_{k}") for k in keys]]
+    out = marked.join(cold, same, "left").withColumn("__right", F.coalesce("__hot", "__cold"))
+    if how == "inner":
+        out = out.where("__right is not null")
+    return out.select(*left.columns, *[F.col(f"__right.{c}").alias(c) for c in columns])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    out = split_join(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("w"))
+    out = split_join(both.where("v > u"), least, "u", "w").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = split_join(edges, least, "u")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w"))
+    joined = split_join(edges, least, "u", "w")
     out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row.n, row.x
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: no node has two smaller ends, or both a smaller and a larger one."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up")))
+    return ends.groupBy("n").agg(F.sum("up").alias("ups"), F.count("*").alias("c")).where("ups > 1 or (ups > 0 and c > ups)").isEmpty()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``links`` (pairs of bigint ids) as rows (node, component), the component's smallest id.
 
-    Nodes that are their component's smallest id, and nodes without links, have no row.
+    Nodes that are their component's smallest id, and nodes without links, have no row. Repeated links and
+    links of a node with itself do not matter; no links give no rows.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = stage(edges, "edges")
-    mark = _mark(edges)
-    while mark[0]:
+    while not _settled(edges):
         before, edges = edges, stage(_small_star(_large_star(edges)), "edges")
         unstage(before)
-        now = _mark(edges)
-        if now == mark:
-            break
-        mark = now
     out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out._staged_path = edges._staged_path
     return out

@@ -1,16 +1,17 @@
 """Benchmark decontamination: one FM-index per training shard, searched for all test phrases.
 
 A shard is the words of some consecutive documents of one Arrow batch. Words that no test phrase has
-are separators of the index; since a phrase cannot cross them, search stays exact. Documents never
-move: a task indexes and searches what it reads.
+are separators of the index; since a phrase cannot cross them, search stays exact. Words are compared
+as words (their bytes; beyond 16 bytes a 128-bit digest), not by a 64-bit hash. Documents never move: a
+task indexes and searches what it reads.
 
-Null texts have no words. Empty tables give empty results. A column of ``docs`` that bears the name of
-an output column is replaced. Repeated documents and repeated ids are judged row by row.
+Null texts have no words. A test item without an id counts under the id ``null``. Empty tables give empty
+results. A column of ``docs`` that bears the name of an output column is replaced. Repeated documents and
+repeated ids are judged row by row. A very long text makes shards of its own, which overlap by a window.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tessera.llm.fm import FMIndex
-from tessera.llm.text import ALNUM_WORD, append_columns, slices, utf8, words
+from tessera.llm.text import ALNUM_WORD, Words, append_columns, slices, utf8, words
+from tessera.session import stage
 
 #: Words of a window; a shorter test item is one window.
 WINDOW = 13
-#: Test phrases of more bytes than this are searched block by block.
-BLOCK_BYTES = 32 << 20
+#: Test phrases of more bytes than this are searched block by block. A Python worker needs about 40 times a
+#: block's bytes to hold its phrases.
+BLOCK_BYTES = 8 << 20
+#: Windows that are searched at a time.
+SEARCHED = 1 << 15
 #: Bytes of text in a shard; a longer document is a shard of its own, or several.
 SHARD_BYTES = 2 << 20
 
@@ -38,28 +43,77 @@ FIELDS = [
 
 
 class Phrases:
-    """All windows of some test items as symbol patterns, and the items of each window."""
+    """All distinct windows of some test items, and the items of each window.
+
+    A window is a place in the items' symbol sequence and a length; its symbols are only laid out when it is
+    searched, so that memory stays in proportion to the items.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        names = sorted({i for i, _ in items})
-        number = {x: k for k, x in enumerate(names)}
+        self.names = sorted({i for i, _ in items})
+        number = {x: k for k, x in enumerate(self.names)}
         data, offsets = utf8(pa.array([t for _, t in items], pa.large_string()))
         w = words(data, offsets, ALNUM_WORD)
-        self.names = names
-        self.vocabulary = np.unique(w.hashes)
-        symbols = np.searchsorted(self.vocabulary, w.hashes) + 1
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for k, (name, _) in enumerate(items):
-            own = symbols[w.first[k] : w.first[k + 1]].tolist()
-            for i in range(max(1, len(own) - window + 1) if own else 0):
-                owners.setdefault(tuple(own[i : i + window]), set()).add(number[name])
-        self.lengths = np.array([len(p) for p in owners], dtype=np.int64)
-        self.width = int(self.lengths.max(initial=1))
-        self.patterns = np.zeros((len(owners), self.width), dtype=np.int64)
-        for k, p in enumerate(owners):
-            self.patterns[k, self.width - len(p) :] = p
-        self.item = np.array([i for s in owners.values() for i in sorted(s)], dtype=np.int64)
-        self.item_first = np.concatenate([[0], np.cumsum([len(s) for s in owners.values()])]).astype(np.int64)
+        length = (w.ends - w.starts).astype(np.int64)
+        # the vocabulary, in the order of hashes; different words of one hash lie next to each other
+        order = np.lexsort((length, w.high, w.low, w.hashes))
+        same = np.zeros(len(order), dtype=bool)
+        for x in (w.hashes, w.low, w.high, length):
+            same[1:] |= x[order][1:] != x[order][:-1]
+        same[:1] = True
+        kind = np.cumsum(same) - 1
+        firsts = order[same]
+        self.vocabulary = (w.hashes[firsts], w.low[firsts], w.high[firsts], length[firsts])
+        self.most_alike = int(np.unique(self.vocabulary[0], return_counts=True)[1].max(initial=1))
+        self.symbols = np.empty(len(order), dtype=np.int32)
+        self.symbols[order] = kind + 1
+        counts = np.diff(w.first)
+        per = np.where(counts >= window, counts - window + 1, np.minimum(counts, 1))
+        item = np.repeat(np.arange(len(items)), per)
+        starts = w.first[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(per) - per, per)
+        lengths = np.minimum(counts, window)[item]
+        self.width = window
+        # equal windows are one: sorted by what they contain, last symbol first
+        keys = self._matrix(starts, lengths)
+        order = np.lexsort((*keys.T, lengths)) if len(starts) else np.zeros(0, dtype=np.int64)
+        fresh = np.ones(len(order), dtype=bool)
+        if len(order):
+            fresh[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+        del keys
+        which = np.cumsum(fresh) - 1
+        self.starts, self.lengths = starts[order[fresh]], lengths[order[fresh]]
+        owner = np.array([number[i] for i, _ in items], dtype=np.int64)[item][order]
+        pairs = np.unique(which * (len(self.names) + 1) + owner)
+        self.item = pairs % (len(self.names) + 1)
+        self.item_first = np.searchsorted(pairs // (len(self.names) + 1), np.arange(len(self.starts) + 1))
+
+    def _matrix(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Symbols of windows, right-aligned, 0 before them."""
+        out = np.zeros((len(starts), self.width), dtype=np.int32)
+        for k in range(self.width):
+            own = lengths > k
+            out[own, self.width - 1 - k] = self.symbols[starts[own] + lengths[own] - 1 - k]
+        return out
+
+    def translate(self, w: Words) -> np.ndarray:
+        """The symbols of a text's words; 0 for words that no item has."""
+        hashes, low, high, length = self.vocabulary
+        out = np.zeros(len(w.hashes), dtype=np.int64)
+        if not len(hashes):
+            return out
+        at = np.searchsorted(hashes, w.hashes)
+        for _ in range(self.most_alike):
+            here = np.minimum(at, len(hashes) - 1)
+            alike = (hashes[here] == w.hashes) & (low[here] == w.low) & (high[here] == w.high) & (length[here] == w.ends - w.starts)
+            out[alike] = here[alike] + 1
+            at = at + 1
+        return out
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Windows some at a time: the first one's number, their symbols and their lengths."""
+        for a in range(0, len(self.starts), SEARCHED):
+            own = slice(a, a + SEARCHED)
+            yield a, self._matrix(self.starts[own], self.lengths[own]).astype(np.int64), self.lengths[own]
 
 
 def _occurrences(symbols: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
@@ -72,22 +126,26 @@ def _occurrences(symbols: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.
         keep = np.ones(len(text), dtype=bool)
         keep[1:] = (text[1:] != 0) | (text[:-1] != 0)  # a run of foreign words is one separator
         place = np.flatnonzero(keep)
-        index = FMIndex(text[keep], len(phrases.vocabulary) + 1)
-        which, low, high = index.search(phrases.patterns, phrases.lengths)
-        count = high - low
-        rows = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
-        where = place[index.locate(rows)]
-        which = np.repeat(which, count)
-        own = where < step  # what begins in the overlap belongs to the next shard
-        starts.append(where[own] + at)
-        found.append(which[own])
+        index = FMIndex(text[keep], len(phrases.vocabulary[0]) + 1)
+        for base, patterns, lengths in phrases.blocks():
+            which, low, high = index.search(patterns, lengths)
+            count = high - low
+            rows = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
+            where = place[index.locate(rows)]
+            which = np.repeat(which + base, count)
+            own = where < step  # what begins in the overlap belongs to the next shard
+            starts.append(where[own] + at)
+            found.append(which[own])
     if not starts:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     return np.concatenate(starts), np.concatenate(found)
 
 
-def search(texts: pa.Array, phrases: Phrases) -> Iterator[tuple[int, int, list[str], list[dict]]]:
-    """For each text: words, hit words, ids of items that occur, merged hit spans in code points."""
+def search(texts: pa.Array, phrases: Phrases) -> Iterator[tuple[int, list[str], list[dict]]]:
+    """For each text: words, ids of items that occur, and merged hit spans.
+
+    A span has its first and last word's bounds in code points (start, end) and in words (first, past).
+    """
     data, offsets = utf8(texts)
     for a, b in slices(offsets, SHARD_BYTES):
         own = data[offsets[a] : offsets[b]]
@@ -95,10 +153,9 @@ def search(texts: pa.Array, phrases: Phrases) -> Iterator[tuple[int, int, list[s
         counts = np.diff(w.first)
         n = len(w.hashes)
         if not n or not len(phrases.lengths):
-            yield from ((int(c), 0, [], []) for c in counts)
+            yield from ((int(c), [], []) for c in counts)
             continue
-        at = np.minimum(np.searchsorted(phrases.vocabulary, w.hashes), len(phrases.vocabulary) - 1)
-        symbols = np.where(phrases.vocabulary[at] == w.hashes, at + 1, 0)
+        symbols = phrases.translate(w)
         # a separator between documents keeps windows inside them
         word = np.arange(n) + np.repeat(np.arange(b - a), counts)
         spread = np.zeros(n + b - a, dtype=np.int64)
@@ -117,21 +174,27 @@ def search(texts: pa.Array, phrases: Phrases) -> Iterator[tuple[int, int, list[s
         bounds = np.searchsorted(pairs[:, 0], np.arange(b - a + 1))
         for d in range(b - a):
             if not n_hit[d]:
-                yield int(counts[d]), 0, [], []
+                yield int(counts[d]), [], []
                 continue
             items: set[int] = set()
             for p in np.unique(pairs[bounds[d] : bounds[d + 1], 1]).tolist():
                 items.update(phrases.item[phrases.item_first[p] : phrases.item_first[p + 1]].tolist())
             lo, hi = w.first[d], w.first[d + 1]
             edge = np.diff(np.concatenate([[0], hit[lo:hi].astype(np.int8), [0]]))
-            begin, end = w.starts[lo + np.flatnonzero(edge == 1)], w.ends[lo + np.flatnonzero(edge == -1) - 1]
+            first, past = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
             base = offsets[a + d] - offsets[a]
             points = np.cumsum((own[base : offsets[a + d + 1] - offsets[a]] & 0xC0) != 0x80)
-            spans = [{"start": int(points[x - base]) - 1, "end": int(points[y - 1 - base])} for x, y in zip(begin, end, strict=True)]
-            yield int(counts[d]), int(n_hit[d]), sorted(phrases.names[i] for i in items), spans
+            places = zip((points[w.starts[lo + first] - base] - 1).tolist(), points[w.ends[lo + past - 1] - 1 - base].tolist(), first.tolist(), past.tolist(), strict=True)
+            yield int(counts[d]), sorted(phrases.names[i] for i in items), [dict(zip(("start", "end", "first", "past"), x, strict=True)) for x in places]
+
+
+_RUN = T.ArrayType(T.StructType([T.StructField(x, T.LongType()) for x in ("start", "end", "first", "past")]))
+_FOUND = [T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("runs", _RUN)]
+_ARROW = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "first", "past")])))
 
 
 def _pass(docs: DataFrame, text: str, items: list[tuple[str, str]], window: int) -> DataFrame:
+    """``docs`` with n_words, items and runs (spans of hit words) of some items."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     built: list[Phrases] = []
 
@@ -139,61 +202,56 @@ def _pass(docs: DataFrame, text: str, items: list[tuple[str, str]], window: int)
         if not built:
             built.append(Phrases(shared.value, window))
         rows = list(search(batch.column(batch.schema.get_field_index(text)), built[0]))
-        return [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))]
+        return [pa.array([r[i] for r in rows], t) for i, t in enumerate(_ARROW)]
+
+    return append_columns(docs, _FOUND, compute, needs=[text])
 
-    return append_columns(docs, FIELDS, compute, needs=[text])
+
+def _results(n_hit: Column) -> list[Column]:
+    spans = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
+    return [F.col("n_words"), n_hit.alias("n_hit"), F.col("items"), spans.alias("spans")]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit, items (ids, sorted) and spans (removal spans in code points).
 
     The benchmark's size is measured first. Up to ``block_bytes`` it is broadcast and searched in one
-    pass over ``docs``; a larger one is split by id into blocks of about that size, one pass each, and
-    the passes are merged by document text.
+    pass over ``docs``. A larger one is split by id into blocks of about that size: the documents get
+    row numbers in a staged table, each block leaves only what it finds, by row number, and the runs
+    found are merged, so that the result is the same.
     """
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).where("i is not null")
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
+    total = items.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
     blocks = 1 + int(total) // block_bytes
+    taken = {f.name for f in FIELDS}
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]
+    length = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["past"] - r["first"])
     if blocks == 1:
-        return _pass(docs, text, [(r.i, r.t) for r in items.collect()], window)
-    keyed = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).withColumn("__key", F.xxhash64(F.to_json("__row")))
+        source = docs.select(*kept, F.col(f"`{text}`").alias("__text"))
+        return _pass(source, "__text", [(r.i, r.t) for r in items.collect()], window).select(*kept, *_results(length))
+    numbered = stage(docs.select(*kept, F.col(f"`{text}`").alias("__text"), F.monotonically_increasing_id().alias("__row")), "numbered")
     parts = None
     for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        part = _pass(keyed.select("__row", "__key", F.col(text).alias("text")), "text", [(r.i, r.t) for r in own.collect()], window)
+        own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
+        part = _pass(numbered.select("__row", "__text"), "__text", [(r.i, r.t) for r in own.collect()], window)
+        part = stage(part.select("__row", "items", "runs").where("size(runs) > 0"), "hits")
         parts = part if parts is None else parts.unionByName(part)
-    merge = F.udf(_merge_spans, T.ArrayType(SPAN))  # on documents in spans only, after the search
-    count = F.udf(_hit_words, T.LongType())
-    merged = parts.groupBy("__key").agg(
-        F.first("__row").alias("__row"),
-        F.first("text").alias("__text"),
-        F.count("*").alias("__n"),
-        F.max("n_words").alias("n_words"),
+    merged = parts.groupBy("__row").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.flatten(F.collect_list("runs")), lambda x, y: F.when(x["first"] < y["first"], -1).when(x["first"] > y["first"], 1).otherwise(0)).alias("runs"),
     )
-    merged = merged.withColumn("spans", merge("__text", "spans")).withColumn("n_hit", count("__text", "spans"))
-    merged = merged.withColumn("__copy", F.explode(F.sequence(F.lit(1), (F.col("__n") / blocks).cast("int"))))
-    kept = [c for c in docs.columns if c.lower() not in {f.name for f in FIELDS}]
-    return merged.select(*[F.col("__row").getField(c).alias(c) for c in kept], "n_words", "n_hit", "items", "spans")
-
-
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-
-
-def _merge_spans(text: str | None, spans: list) -> list[dict]:
-    """Spans of several passes as one: those that overlap, or have no word between them, are joined."""
-    out: list[list[int]] = []
-    for s, e in sorted((x["start"], x["end"]) for x in spans):
-        if out and (s <= out[-1][1] or not _WORD.search(text, out[-1][1], s)):
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [{"start": s, "end": e} for s, e in out]
-
-
-def _hit_words(text: str | None, spans: list) -> int:
-    return sum(len(_WORD.findall(text[x["start"] : x["end"]])) for x in spans) if text else 0
+    merged = merged.withColumn("runs", F.expr(_MERGE))
+    counted = _pass(numbered, "__text", [], window).drop("items", "runs")
+    joined = counted.join(merged, "__row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("runs", F.coalesce("runs", F.array().cast(_RUN)))
+    return joined.select(*kept, *_results(length))
+
+
+#: Runs in order, those that touch or overlap joined.
+_MERGE = """aggregate(runs, cast(array() AS array<struct<start:bigint,end:bigint,first:bigint,past:bigint>>), (out, r) ->
+  IF(size(out) > 0 AND r.first <= element_at(out, -1).past,
+     concat(slice(out, 1, size(out) - 1), array(named_struct('start', element_at(out, -1).start, 'end', greatest(element_at(out, -1).end, r.end),
+       'first', element_at(out, -1).first, 'past', greatest(element_at(out, -1).past, r.past)))),
+     concat(out, array(r))))"""
 
 
 def is_contaminated() -> Column:

@@ -1,15 +1,17 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 1. Each text becomes a set of hashed word shingles, a fingerprint of the set, and a MinHash signature.
-2. Texts of equal sets collapse to one representative (the smallest id).
+2. Texts of equal sets collapse to one representative (the smallest row number).
 3. Signatures are cut into bands; representatives that share a band value form a bucket.
 4. Of small buckets all pairs are candidates. Of a large one, the member that shares most bands with
    others (the hub) is paired with every other member; links found join components, and buckets whose
    other members still lie in several components go another round with another hub. What is left after
-   some rounds is compared in blocks, hub by hub: a task holds two blocks of texts, compares rows of
-   different components only, and gives one link for each two components it joins.
+   some rounds is compared in blocks, hub by hub: a task holds two blocks of signatures, and passes on the
+   rows that have a partner in another component. Only their texts are fetched, for a second task that
+   gives one link for each two components it joins.
 5. A candidate's signatures are compared batch by batch; it is dropped once the posterior probability
-   that its similarity reaches the threshold falls under ``miss``. Survivors are verified on full sets.
+   that its similarity reaches the threshold falls under ``miss``. Survivors are verified on full sets, and
+   what passes is confirmed on the shingles' words themselves.
 6. Verified links make components; pairs within one component need no further check.
 
 Skipped pairs are only those whose ends are already linked through others, so components are those of
@@ -18,7 +20,8 @@ threshold itself, and far less above it).
 
 Null, empty and wordless texts have an empty set and link with nothing. A row with a null id links with
 nothing and is kept, with a null component. Rows that share an id are one document: it has the links of
-each of its texts. Clashing extra columns do not matter, since only id and text are read.
+each of its texts. Very long texts are hashed whole, one at a time. An empty table gives no rows. Extra
+columns do not matter, whatever their names, since only id and text are read.
 """
 
 from __future__ import annotations
@@ -88,6 +91,7 @@ FIELDS = [
     T.StructField("f2", T.LongType()),
     T.StructField("signature", T.BinaryType()),
 ]
+SET = ["f1", "f2", "n_shingles"]
 
 
 def _signatures(sets: np.ndarray, first: np.ndarray, hashes: int) -> np.ndarray:
@@ -107,20 +111,23 @@ def _signatures(sets: np.ndarray, first: np.ndarray, hashes: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, settings: Settings, *, text: str = "text") -> DataFrame:
-    """``docs`` with n_shingles, a 128-bit fingerprint of the shingle set, and its signature."""
+    """``docs`` with n_shingles, a 128-bit fingerprint of the shingle set, and its signature.
+
+    The fingerprint's halves come from two hashes of the words, mixed apart.
+    """
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         data, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
         counts, f1, f2, signatures = [], [], [], []
         for a, b in slices(offsets):
             w = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NON_SPACE)
-            sets, first = shingles(w, settings.words)
+            sets, others, first = shingles(w, settings.words)
             n = np.diff(first)
             full = np.flatnonzero(n > 0)
             s1, s2 = np.zeros(b - a, dtype=np.uint64), np.zeros(b - a, dtype=np.uint64)
             if len(full):
                 s1[full] = np.add.reduceat(mix(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first[full])
-                s2[full] = np.bitwise_xor.reduceat(mix(sets + np.uint64(0x5851F42D4C957F2D)), first[full])
+                s2[full] = np.add.reduceat(mix(others + np.uint64(0x5851F42D4C957F2D)), first[full])
             signed = iter(_signatures(sets, first, settings.hashes))
             counts.append(n.astype(np.int64)), f1.append(s1.view(np.int64)), f2.append(s2.view(np.int64))
             signatures += [next(signed).tobytes() if x else None for x in n.tolist()]
@@ -156,8 +163,8 @@ def _buckets(reps: DataFrame, settings: Settings) -> DataFrame:
 
     banded = append_columns(reps, [T.StructField("bands", T.ArrayType(T.LongType()))], compute, needs=["signature"])
     each = banded.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    sizes = each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    return split_join(each, sizes, "bucket")
+    sizes = each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").withColumn("w", F.col("size"))
+    return split_join(each, sizes, "bucket", "w")
 
 
 def _near(a: str, b: str, settings: Settings) -> Column:
@@ -197,24 +204,53 @@ def _sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     data, offsets = utf8(texts)
     out: list[np.ndarray] = []
     for a, b in slices(offsets):
-        values, first = shingles(words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NON_SPACE), k)
+        values, _, first = shingles(words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NON_SPACE), k)
         out += [values[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
     return out
 
 
-def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    """The exact test on full sets."""
-    if len(x) > len(y):
-        x, y = y, x
-    if not len(x):
-        return False
-    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-    return common * den >= num * (len(x) + len(y) - common)
+_SPACES = bytes([0x20, *range(0x09, 0x0E)])
+_LOWERED = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
+
+
+def _tokens(text: str) -> list[bytes]:
+    """A text's words as bytes, A-Z lower-cased."""
+    plain = text.encode().translate(_LOWERED)
+    return plain.translate(bytes.maketrans(_SPACES, b" " * len(_SPACES))).split(b" ")
+
+
+class Verifier:
+    """The exact test of pairs: on hashed full sets first, then on the words of what passes."""
+
+    def __init__(self, texts: pa.Array, settings: Settings):
+        self.texts, self.sets = texts, _sets(texts, settings.words)
+        self.k, self.num, self.den = settings.words, settings.threshold.numerator, settings.threshold.denominator
+        self._known: dict[int, frozenset] = {}
+
+    def _words(self, i: int) -> frozenset:
+        if i not in self._known:
+            if len(self._known) >= 256:
+                self._known.clear()
+            w = [x for x in _tokens(self.texts[i].as_py() or "") if x]
+            self._known[i] = frozenset(tuple(w[j : j + self.k]) for j in range(max(1, len(w) - self.k + 1))) if w else frozenset()
+        return self._known[i]
+
+    def linked(self, i: int, j: int) -> bool:
+        x, y = self.sets[i], self.sets[j]
+        if len(x) > len(y):
+            x, y = y, x
+        if not len(x):
+            return False
+        common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        if common * self.den < self.num * (len(x) + len(y) - common):
+            return False
+        own, other = self._words(i), self._words(j)
+        common = len(own & other)
+        return common * self.den >= self.num * (len(own) + len(other) - common)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold."""
-    k, num, den = settings.words, settings.threshold.numerator, settings.threshold.denominator
     one = texts.select(F.col("rep").alias("a"), F.col("text").alias("x"))
     other = texts.select(F.col("rep").alias("b"), F.col("text").alias("y"))
 
@@ -222,39 +258,63 @@ def _verify(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                xs, ys = (pc.fill_null(part.column(i), "").dictionary_encode() for i in (2, 3))
-                left, right = _sets(xs.dictionary, k), _sets(ys.dictionary, k)
-                keep = [_linked(left[p], right[q], num, den) for p, q in zip(xs.indices.to_pylist(), ys.indices.to_pylist(), strict=True)]
+                both = pa.concat_arrays([pc.fill_null(part.column(i), "") for i in (2, 3)]).dictionary_encode()
+                test, place = Verifier(both.dictionary, settings), both.indices.to_pylist()
+                keep = [test.linked(p, q) for p, q in zip(place[: part.num_rows], place[part.num_rows :], strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(other, "b").join(one, "a").select("a", "b", "x", "y")
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def _block_links(groups: DataFrame, signed: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """Verified links between components within groups, found block by block without a row per pair.
+def _block_pairs(groups: DataFrame) -> DataFrame:
+    """Rows (hub, left, right, place, rep, component): what each pair of blocks holds.
 
-    ``groups`` has (hub, rep, n_shingles, component). A group's rows are dealt to blocks: those of the
+    ``groups`` has (hub, rep, n_shingles, component, hub_c). A group's rows are dealt to blocks: those of the
     component that holds the hub (main) apart from the rest. Each task compares a block of rest rows
     with another block of rest or main rows; main rows are linked with each other already.
     """
-    steps, k, num, den = settings.least_matches(), settings.words, settings.threshold.numerator, settings.threshold.denominator
     groups = groups.withColumn("main", F.col("component") == F.col("hub_c"))
     blocks = lambda flag: F.ceil(F.sum(F.when(flag, 1).otherwise(0)) / BLOCK).cast("int")
-    sizes = groups.groupBy("hub").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("rests")).where("rests > 0")
-    rows = split_join(groups, sizes, "hub").withColumn("k", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    sizes = groups.groupBy("hub").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("rests"), F.count("*").alias("w")).where("rests > 0")
+    rows = split_join(groups, sizes, "hub", "w").withColumn("k", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
     rows = rows.withColumn("place", F.when(F.col("main"), F.col("k")).otherwise(F.col("mains") + F.col("k")))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("main"), F.col("rests")).otherwise(F.col("mains") + F.col("rests")) - 1)))
     partner = F.when(F.col("main"), F.col("mains") + F.col("o")).otherwise(F.col("o"))
-    rows = rows.select("hub", F.least("place", partner).alias("left"), F.greatest("place", partner).alias("right"), "place", "rep", "component")
-    rows = rows.join(signed.select("rep", "signature"), "rep").join(texts, "rep")
+    return rows.select("hub", F.least("place", partner).alias("left"), F.greatest("place", partner).alias("right"), "place", "rep", "n_shingles", "component")
+
+
+def _partners(table: pa.Table, settings: Settings):
+    """For the rows of the right block: the row, and rows of the left one that may link with it, the likeliest first."""
+    left, right = table.column("left")[0].as_py(), table.column("right")[0].as_py()
+    rep, component, place, sizes = (table.column(c).to_numpy() for c in ("rep", "component", "place", "n_shingles"))
+    signature, steps = _matrix(table.column("signature").combine_chunks()), settings.least_matches()
+    num, den = settings.threshold.numerator, settings.threshold.denominator
+    others = np.flatnonzero(place == left)
+    for x in np.flatnonzero(place == right).tolist():
+        y = others[(rep[others] > rep[x]) if left == right else slice(None)]
+        y = y[(component[y] != component[x]) & (np.minimum(sizes[y], sizes[x]) * den >= np.maximum(sizes[y], sizes[x]) * num)]
+        y = y[_survives(np.broadcast_to(signature[x], (len(y), signature.shape[1])), signature[y], steps)]
+        if len(y):
+            yield x, y[np.argsort(-(signature[y] == signature[x]).sum(axis=1), kind="stable")]
+
+
+_PAIR = "hub bigint, left int, right int, place int, rep bigint, n_shingles bigint, component bigint"
+
+
+def _block_links(groups: DataFrame, signed: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Verified links between components within groups, found block by block without a row per pair."""
+    names = [x.split()[0] for x in _PAIR.split(",")]
+
+    def with_partners(table: pa.Table) -> pa.Table:
+        keep = np.zeros(table.num_rows, dtype=bool)
+        for x, y in _partners(table, settings):
+            keep[x], keep[y] = True, True
+        return table.select(names).filter(pa.array(keep))
 
     def compare(table: pa.Table) -> pa.Table:
-        left, right = table.column("left")[0].as_py(), table.column("right")[0].as_py()
-        rep, component, place = (table.column(c).to_numpy() for c in ("rep", "component", "place"))
-        signature = _matrix(table.column("signature").combine_chunks())
-        sets = _sets(table.column("text").combine_chunks(), k)
-        sizes = np.array([len(x) for x in sets])
+        rep, component = (table.column(c).to_numpy() for c in ("rep", "component"))
+        test = Verifier(table.column("text").combine_chunks(), settings)
         root: dict[int, int] = {}
 
         def find(c: int) -> int:
@@ -263,37 +323,35 @@ def _block_links(groups: DataFrame, signed: DataFrame, texts: DataFrame, setting
             return c
 
         found: list[tuple[int, int]] = []
-        others = np.flatnonzero(place == left)
-        for x in np.flatnonzero(place == right).tolist():
-            y = others[(rep[others] > rep[x]) if left == right else slice(None)]
-            y = y[(component[y] != component[x]) & (np.minimum(sizes[y], sizes[x]) * den >= np.maximum(sizes[y], sizes[x]) * num)]
-            y = y[_survives(np.broadcast_to(signature[x], (len(y), signature.shape[1])), signature[y], steps)]
-            y = y[np.argsort(-(signature[y] == signature[x]).sum(axis=1), kind="stable")]
-            for z in y.tolist():  # the likeliest first: one link with a component is enough
+        for x, y in _partners(table, settings):
+            for z in y.tolist():  # one link with a component is enough
                 a, b = find(component[x]), find(component[z])
-                if a != b and _linked(sets[x], sets[z], num, den):
+                if a != b and test.linked(x, z):
                     root[max(a, b)] = min(a, b)
                     found.append((rep[x], rep[z]))
         pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return rows.groupBy("hub", "left", "right").applyInArrow(compare, "a bigint, b bigint")
+    signatures = signed.select("rep", "signature")
+    rows = stage(_block_pairs(groups).join(signatures, "rep").groupBy("hub", "left", "right").applyInArrow(with_partners, _PAIR), "partners")
+    return rows.join(signatures, "rep").join(texts, "rep").groupBy("hub", "left", "right").applyInArrow(compare, "a bigint, b bigint")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def find_components(docs: DataFrame, settings: Settings = Settings(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one per row of ``docs``."""
-    ship(docs.sparkSession)
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = stage(sketch(docs, settings).drop("text"), "sketches")
-    reps = stage(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "reps")
+def number_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` in a staged table, with a number of each row (``__row``), which no later plan can change."""
+    return stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
+def _links(rows: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
+    """Components (node, component) of the representatives' links."""
     buckets = stage(_buckets(reps, settings), "buckets")
     members = buckets.groupBy("rep").agg(F.sum("size").alias("weight"))
     signed = stage(reps.join(members, "rep").select("rep", "signature", "weight"), "signed")
-    texts = stage(docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("rep"), "text"), "texts")
+    texts = stage(rows.join(signed.select(F.col("rep").alias("__row")), "__row").select(F.col("__row").alias("rep"), "text"), "texts")
 
     # all pairs of small buckets, hubs of large ones
     small = buckets.where(F.col("size") <= SMALL_BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("rep", "n_shingles"))).alias("m"))
@@ -304,9 +362,9 @@ def find_components(docs: DataFrame, settings: Settings = Settings(), *, key: st
     passing = [buckets, signed, texts]
     links, extra, first_hubs = None, small, None
     for _ in range(HUB_ROUNDS):
-        hubs = open_rows.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"), "n_shingles", "component")).alias("h"))
-        hubs = hubs.select("bucket", (-F.col("h.r")).alias("hub"), F.col("h.n_shingles").alias("hub_n"), F.col("h.component").alias("hub_c"))
-        starred = split_join(open_rows, hubs, "bucket")
+        hubs = open_rows.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"), "n_shingles", "component")).alias("h"), F.count("*").alias("w"))
+        hubs = hubs.select("bucket", "w", (-F.col("h.r")).alias("hub"), F.col("h.n_shingles").alias("hub_n"), F.col("h.component").alias("hub_c"))
+        starred = split_join(open_rows, hubs, "bucket", "w")
         if first_hubs is None:
             first_hubs = stage(starred.select("hub", "rep", "n_shingles").distinct(), "stars")
         pairs = starred.where("component <> hub_c").where(_near("n_shingles", "hub_n", settings)).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
@@ -325,11 +383,58 @@ def find_components(docs: DataFrame, settings: Settings = Settings(), *, key: st
         still = first_hubs.join(open_rows.select("rep").distinct(), "rep", "left_semi").select("hub").distinct()
         groups = groups.join(still, "hub", "left_semi")
         links = _joined(stage(_block_links(groups, signed, texts, settings), "links"), links)
-    unstage(*passing, first_hubs, open_rows)  # all that follows reads reps, sketches and links
-    joined = reps.select("f1", "f2", "n_shingles", "rep").join(links.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
-    out = sketches.drop("signature").join(joined, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    unstage(*passing, first_hubs, open_rows)  # what follows reads reps, sketches and links
+    return links
+
+
+def cluster_rows(rows: DataFrame, settings: Settings, *, order: Column, same: str | None = None) -> DataFrame:
+    """Rows (__row, n_shingles, order, first): for each numbered row, its ``order`` and the least one of its component.
+
+    ``rows`` comes from number_rows and has ``text``, and ``same``, if given: rows of one such value are one
+    document. Rows without words are components of their own, unless ``same`` joins them to others.
+    """
+    ship(rows.sparkSession)
+    plain = rows.select("__row", "text", order.alias("order"), *([F.col(same).alias("same")] if same else []))
+    sketches = stage(sketch(plain, settings).drop("text"), "sketches")
+    sets = sketches.where("n_shingles > 0").groupBy(*SET).agg(F.min("__row").alias("rep"), F.first("signature").alias("signature"), F.count("*").alias("w"))
+    reps = stage(sets, "reps")
+    links = _links(rows, reps, settings)
+    told = split_join(sketches.drop("signature"), reps.select(*SET, "rep", "w"), SET, "w", "left").withColumn("rep", F.coalesce("rep", "__row"))
+    told = stage(told, "told")
+    if same:  # the texts of one document are linked
+        pairs = told.select("same", "rep").distinct()
+        least = pairs.groupBy("same").agg(F.min("rep").alias("least"), F.count("*").alias("w")).where("w > 1")
+        more = stage(split_join(pairs, least, "same", "w").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")), "shared")
+        if not more.isEmpty():
+            links = _joined(more, links)
+    sizes = told.groupBy("rep").agg(F.min("order").alias("order"), F.count("*").alias("w"))
+    least = sizes.join(links.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = stage(least, "least")
+    firsts = least.groupBy("component").agg(F.min("order").alias("first"), F.count("*").alias("w"))
+    by_rep = split_join(least.select("rep", "component", F.col("w").alias("rows")), firsts, "component", "w").select("rep", "first", F.col("rows").alias("w"))
+    return split_join(told.select("__row", "n_shingles", "order", "rep"), by_rep, "rep", "w").select("__row", "n_shingles", "order", "first")
+
+
+def find_components(docs: DataFrame, settings: Settings = Settings(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, kept), one per row of ``docs``."""
+    rows = number_rows(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
+    judged = cluster_rows(rows.where("doc_id is not null"), settings, order=F.col("doc_id"), same="doc_id")
+    nameless = rows.where("doc_id is null").select("doc_id", "__row", "text")
+    nameless = sketch(nameless, settings).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = judged.select(F.col("order").alias("doc_id"), "n_shingles", F.col("first").alias("component_id"))
+    return out.unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_copies(docs: DataFrame, settings: Settings = Settings(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the least id's, and of its rows one.
+
+    Rows are judged one by one: repeated rows go, and so do copies without an id, which come last in order.
+    """
+    rows = number_rows(docs)
+    source = rows.select("__row", F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("key"))
+    judged = cluster_rows(source, settings, order=F.struct(F.col("key").isNull(), "key", "__row"))
+    gone = judged.where("first.`__row` <> __row").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def _joined(found: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -342,6 +447,6 @@ def _joined(found: DataFrame, links: DataFrame | None) -> DataFrame:
 def _still_open(rows: DataFrame, links: DataFrame) -> DataFrame | None:
     """Rows of buckets whose members lie in more than one component, with their components; None if none."""
     rows = rows.drop("component").join(links.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    rows = stage(split_join(rows, mixed, "bucket"), "open")
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("w")).where("lo <> hi").select("bucket", "w")
+    rows = stage(split_join(rows, mixed, "bucket", "w"), "open")
     return None if rows.isEmpty() else rows

@@ -1,62 +1,72 @@
 """Substring dedup: repeated paragraphs are found by MinHash banding and cut, but for their first copy.
 
-Paragraphs are a text's lines; those of fewer than ``min_words`` words are left
-alone (with 1, blank lines only). A paragraph of fewer words than a shingle has one shingle, all of it,
-so that it repeats by exact equality. Equal paragraphs collapse to one before banding. The bands are tuned for recall: three rows each, so that ten bands find a pair at the threshold
-with probability 0.999 and one at 0.9 with probability 0.999998. Paragraphs that share a band value are
-joined, their exact Jaccard similarity on word shingles is verified, and the verified links make
-clusters, of which the paragraph of the smallest document id stays.
+Paragraphs are a text's lines; those of fewer than ``min_words`` words are left alone (with 1, the default,
+blank lines only). A paragraph of fewer words than a shingle has one shingle, all of it, so that it repeats
+by exact equality. Equal paragraphs collapse to one before banding. The bands are tuned for recall: three
+rows each, so that ten bands find a pair at the threshold with probability 0.999 and one at 0.9 with
+probability 0.999998. Paragraphs that share a band value are joined, their exact Jaccard similarity on word
+shingles is verified, and the verified links make clusters, of which the paragraph of the smallest document
+id stays (of one document, the first).
 
 A passage can also repeat inside paragraphs that differ. Such passages are found by winnowed fingerprints
 of PASSAGE_WORDS words: of every PASSAGE_WINDOW fingerprints in a row one is chosen by its value, so that
 two documents that share PASSAGE_WORDS + PASSAGE_WINDOW - 1 = 50 words in a row share a chosen one, and
-each fingerprint of these words lies less than PASSAGE_WINDOW words from a shared chosen one (an anchor).
-All fingerprints that near to anchors are compared, so that spans cover all words that agree. Fingerprints
-have 64 bits; words are not compared beyond them.
+each run of PASSAGE_WORDS of these words begins less than PASSAGE_WINDOW words from a shared chosen one (an
+anchor). All runs that near to anchors are compared by a 128-bit BLAKE2b digest of their words, so that spans
+cover all words that agree, and no others. Of each run the smallest id's first one stays.
 
-Null texts have no paragraph. Rows with a null id are left alone. Rows that share an id are one document.
-Ids need 39 bits, paragraph numbers 24; others raise an error. Extra columns do not matter.
+Null texts have no paragraph. Rows with a null id are left alone. Rows that share an id and differ in text
+are documents of their own, told apart by ``text_hash``; repeated rows share what is decided for them. Ids are any
+64-bit numbers. Very long texts are read whole. An empty table gives no rows. Extra columns do not matter.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tessera.llm.components import split_join
-from tessera.llm.neardup import Settings, find_components
-from tessera.llm.text import NON_SPACE, append_columns, grams, slices, utf8, winnow, words
+from tessera.llm.neardup import Settings, cluster_rows, number_rows
+from tessera.llm.text import NON_SPACE, append_columns, grams, lowered, slices, utf8, winnow, words
 from tessera.session import stage
 
-MIN_WORDS = 20
-NUMBER_BITS = 24
 PASSAGE_WORDS, PASSAGE_WINDOW = 24, 27
 SETTINGS = Settings(band_miss=1e-3, hashes=30)
 
 
-def paragraphs(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc_id, text): every paragraph that counts, with a number that tells document and place."""
-    source = docs.select(F.col(key).cast("long").alias("own"), F.col(text).alias("body")).where("own is not null and body is not null")
-    lines = source.select("own", F.posexplode(F.split("body", "\n", -1)).alias("i", "text")).where(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= min_words)
-    fits = F.col("own").between(-(1 << 39), (1 << 39) - 1) & (F.col("i") < 1 << NUMBER_BITS)
-    refused = F.raise_error(F.concat(F.lit("document "), F.col("own").cast("string"), F.lit(f": ids need 39 bits, and paragraph numbers {NUMBER_BITS}"))).cast("long")
-    return lines.select(F.when(fits, F.shiftleft("own", NUMBER_BITS) + F.col("i")).otherwise(refused).alias("doc_id"), "text")
+def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (own, t, body): id, hash of the text, and text of each document; repeated rows are one."""
+    return docs.select(F.col(f"`{key}`").cast("long").alias("own"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("body")).where("own is not null and body is not null")
+
+
+def paragraphs(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 1) -> DataFrame:
+    """Rows (own, t, i, text): every paragraph that counts, with its document and its line's number."""
+    lines = _source(docs, key, text).select("own", "t", F.posexplode(F.split("body", "\n", -1)).alias("i", "text"))
+    return lines.where(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= min_words)
 
 
-def find_repeats(docs: DataFrame, settings: Settings = SETTINGS, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc_id, paragraph, cluster_doc_id, cluster_paragraph, removed).
+def find_repeats(docs: DataFrame, settings: Settings = SETTINGS, *, key: str = "doc_id", text: str = "text", min_words: int = 1) -> DataFrame:
+    """Rows (doc_id, text_hash, paragraph, cluster_doc_id, cluster_paragraph, removed).
 
     One row for each paragraph that repeats; the cluster's columns name its first copy, which stays.
     """
-    found = find_components(paragraphs(docs, key=key, text=text, min_words=min_words), settings)
-    again = found.where("not kept").select(F.col("doc_id").alias("own"), F.col("component_id").alias("first"), F.lit(True).alias("removed"))
-    firsts = again.select("first").distinct()
-    rows = again.unionByName(firsts.select(F.col("first").alias("own"), "first", F.lit(False).alias("removed")))
-    mask = (1 << NUMBER_BITS) - 1
-    part = lambda c: (F.shiftright(c, NUMBER_BITS), F.col(c).bitwiseAND(F.lit(mask)).cast("int"))
-    return rows.select(part("own")[0].alias("doc_id"), part("own")[1].alias("paragraph"), part("first")[0].alias("cluster_doc_id"), part("first")[1].alias("cluster_paragraph"), "removed")
+    rows = number_rows(paragraphs(docs, key=key, text=text, min_words=min_words))
+    judged = cluster_rows(rows, settings, order=F.struct("own", "i", "t"))
+    judged = stage(judged.select("order", "first").where("order <> first"), "repeats").distinct()
+    firsts = judged.select(F.col("first").alias("order"), "first").distinct()
+    shown = judged.unionByName(firsts)
+    return shown.select(
+        F.col("order.own").alias("doc_id"),
+        F.col("order.t").alias("text_hash"),
+        F.col("order.i").alias("paragraph"),
+        F.col("first.own").alias("cluster_doc_id"),
+        F.col("first.i").alias("cluster_paragraph"),
+        (F.col("order") != F.col("first")).alias("removed"),
+    )
 
 
 def _list_of(*names: str) -> tuple[T.ArrayType, pa.DataType]:
@@ -65,7 +75,7 @@ def _list_of(*names: str) -> tuple[T.ArrayType, pa.DataType]:
 
 
 PRINTS, _PRINTS = _list_of("h", "at")
-GRAMS, _GRAMS = _list_of("h", "at", "start", "end")
+GRAMS, _GRAMS = _list_of("h", "h2", "at", "start", "end")
 SPANS, _SPANS = _list_of("first", "start", "end")
 
 
@@ -92,7 +102,10 @@ def _prints(batch: pa.RecordBatch) -> list[pa.Array]:
 
 
 def _near_anchors(batch: pa.RecordBatch) -> list[pa.Array]:
-    """All fingerprints that lie less than PASSAGE_WINDOW words from an anchor, with their places in code points."""
+    """All runs of PASSAGE_WORDS words that begin less than PASSAGE_WINDOW words from an anchor.
+
+    Each has the digest of its words (lower-cased, one space between them) and its place in code points.
+    """
     data, offsets = utf8(batch.column(batch.schema.get_field_index("body")))
     anchors = batch.column(batch.schema.get_field_index("anchors"))
     counts, found = [], []
@@ -100,7 +113,7 @@ def _near_anchors(batch: pa.RecordBatch) -> list[pa.Array]:
         own, first = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         w = words(own, first, NON_SPACE)
         points = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
-        hashes = grams(w.hashes, PASSAGE_WORDS)
+        plain, begin, end = lowered(own, w)
         for d in range(b - a):
             lo, n = w.first[d], w.first[d + 1] - w.first[d] - PASSAGE_WORDS + 1
             places = anchors[a + d].values.to_numpy(zero_copy_only=False)
@@ -110,48 +123,65 @@ def _near_anchors(batch: pa.RecordBatch) -> list[pa.Array]:
             at = np.flatnonzero(np.cumsum(change)[:n])
             counts.append(len(at))
             base = points[first[d]]
-            found.append((hashes[at + lo].view(np.int64), at, points[w.starts[at + lo]] - base, points[w.ends[at + lo + PASSAGE_WORDS - 1]] - base))
+            runs = zip(begin[at + lo].tolist(), end[at + lo + PASSAGE_WORDS - 1].tolist(), strict=True)
+            digests = np.frombuffer(b"".join(blake2b(plain[x:y], digest_size=16).digest() for x, y in runs), dtype="<i8").reshape(-1, 2)
+            found.append((digests[:, 0], digests[:, 1], at, points[w.starts[at + lo]] - base, points[w.ends[at + lo + PASSAGE_WORDS - 1]] - base))
     return [_lists(counts, found, _GRAMS)]
 
 
 def _joined_spans(batch: pa.RecordBatch) -> list[pa.Array]:
-    """Runs of fingerprints of a text that follow each other in their first document as well, as spans."""
+    """Runs of a text that follow each other in their first document as well, as spans."""
     out = []
     for row in batch.column(batch.schema.get_field_index("grams")):
         g = row.values
-        at, start, end, first, first_at = (g.field(n).to_numpy(zero_copy_only=False) for n in ("at", "start", "end", "first", "first_at"))
-        cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(first) != 0) | (np.diff(first_at) != 1))
+        at, start, end, first, first_t, first_at = (g.field(n).to_numpy(zero_copy_only=False) for n in ("at", "start", "end", "first", "first_t", "first_at"))
+        cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(first) != 0) | (np.diff(first_t) != 0) | (np.diff(first_at) != 1))
         heads, tails = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(at) - 1]])
         out.append((first[heads], start[heads], end[tails]))
     return [_lists([len(x[0]) for x in out], out, _SPANS)]
 
 
 def find_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, start, end, cluster_doc_id, removed): passages that other documents have as well.
+    """Rows (doc_id, text_hash, start, end, cluster_doc_id, removed): passages that other documents have as well.
 
     Every passage of 50 words or more that repeats is covered whole, and none of fewer than PASSAGE_WORDS
     is found. A span is a run of words that stands in the cluster's document as it is, which is the first
-    that has its fingerprints; where that document or the place in it changes, another span begins,
-    which overlaps the last one by up to PASSAGE_WORDS - 1 words.
+    that has its runs of PASSAGE_WORDS words; where that document or the place in it changes, another span
+    begins, which overlaps the last one by up to PASSAGE_WORDS - 1 words. Since a word is only removed where
+    a smaller document has the run it belongs to, each word that is removed is left in some document.
     """
-    source = docs.select(F.col(key).cast("long").alias("own"), F.col(text).alias("body")).where("own is not null and body is not null")
-    source = source.withColumn("t", F.xxhash64("body"))  # rows that share an id have places of their own
+    source = _source(docs, key, text)
     each = append_columns(source, [T.StructField("p", PRINTS)], _prints, needs=["body"]).select("own", "t", F.explode("p").alias("p")).select("own", "t", "p.*")
     each = stage(each, "prints")
-    shared = each.groupBy("h").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first < last").select("h")
-    anchors = split_join(each, shared, "h").groupBy("own", "t").agg(F.collect_set("at").alias("anchors"))
+    shared = each.groupBy("h").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("w")).where("lo < hi").select("h", "w")
+    anchors = split_join(each, shared, "h", "w").groupBy("own", "t").agg(F.collect_set("at").alias("anchors"))
     near = append_columns(source.join(anchors, ["own", "t"]), [T.StructField("g", GRAMS)], _near_anchors, needs=["body", "anchors"])
     near = stage(near.select("own", "t", F.explode("g").alias("g")).select("own", "t", "g.*"), "grams")
-    firsts = near.groupBy("h").agg(F.min(F.struct("own", "at")).alias("f"), F.max("own").alias("last")).where("f.own < last")
-    again = split_join(near, firsts.select("h", F.col("f.own").alias("first"), F.col("f.at").alias("first_at")), "h")
-    again = again.groupBy("own", "t").agg(F.sort_array(F.collect_set(F.struct("at", "start", "end", "first", "first_at"))).alias("grams"))
-    spans = append_columns(again, [T.StructField("s", SPANS)], _joined_spans, needs=["grams"]).select("own", F.explode("s").alias("s"))
-    return spans.select(F.col("own").alias("doc_id"), "s.start", "s.end", F.col("s.first").alias("cluster_doc_id"), (F.col("own") != F.col("s.first")).alias("removed"))
+    firsts = near.groupBy("h", "h2").agg(F.min(F.struct("own", "t", "at")).alias("f"), F.max("own").alias("hi"), F.count("*").alias("w")).where("f.own < hi")
+    firsts = firsts.select("h", "h2", "w", F.col("f.own").alias("first"), F.col("f.t").alias("first_t"), F.col("f.at").alias("first_at"))
+    again = split_join(near, firsts, ["h", "h2"], "w")
+    again = again.groupBy("own", "t").agg(F.sort_array(F.collect_set(F.struct("at", "start", "end", "first", "first_t", "first_at"))).alias("grams"))
+    spans = append_columns(again, [T.StructField("s", SPANS)], _joined_spans, needs=["grams"]).select("own", "t", F.explode("s").alias("s"))
+    return spans.select(F.col("own").alias("doc_id"), F.col("t").alias("text_hash"), "s.start", "s.end", F.col("s.first").alias("cluster_doc_id"), (F.col("own") != F.col("s.first")).alias("removed"))
 
 
 def remove_repeats(docs: DataFrame, found: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the paragraphs that ``found`` (of find_repeats) removes."""
-    gone = found.where("removed").groupBy(F.col("doc_id").alias("__own")).agg(F.collect_set("paragraph").alias("__gone"))
-    joined = docs.join(gone, F.col(key) == F.col("__own"), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)).select(*[f"`{c}`" for c in docs.columns])
+    gone = found.where("removed").groupBy(F.col("doc_id").alias("__own"), F.col("text_hash").alias("__t")).agg(F.collect_set("paragraph").alias("__gone"))
+    joined = docs.join(gone, (F.col(f"`{key}`") == F.col("__own")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__t")), "left")
+    kept = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(kept)).select(*[f"`{c}`" for c in docs.columns])
+
+
+def remove_passages(docs: DataFrame, found: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the passages that ``found`` (of find_passages) removes; spans that overlap are cut once."""
+    spans = F.array_sort(F.collect_set(F.struct("start", "end")))
+    gone = found.where("removed").groupBy(F.col("doc_id").alias("__own"), F.col("text_hash").alias("__t")).agg(spans.alias("__gone"))
+    joined = docs.join(gone, (F.col(f"`{key}`") == F.col("__own")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__t")), "left")
+    # what lies before each span, from where the furthest one before it ends
+    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+    piece = lambda acc, s: F.substring(F.col(f"`{text}`"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+    step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["parts"], piece(acc, s)).alias("parts"))
+    rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col(f"`{text}`"), (acc["at"] + 1).cast("int"), F.length(F.col(f"`{text}`"))))
+    kept = F.aggregate("__gone", state, step, rest)
+    return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(kept)).select(*[f"`{c}`" for c in docs.columns])

@@ -30,7 +30,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH upper_lower AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents, upper_lower),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), u, l), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark, upper_lower),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), u, l), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark, upper_lower),
 win AS (
   SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS g
   FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)
@@ -58,12 +58,43 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated paragraphs of any length, and passages that repeat inside paragraphs that differ (without a paragraph number)."""
     docs = _table(spark, sf_dir, "documents")
     passages = paragraphs.find_passages(docs).withColumn("kind", F.lit("passage"))
-    return paragraphs.find_repeats(docs, min_words=1).withColumn("kind", F.lit("paragraph")).unionByName(passages, allowMissingColumns=True)
+    return paragraphs.find_repeats(docs).withColumn("kind", F.lit("paragraph")).unionByName(passages, allowMissingColumns=True)
 
 
 def paragraph_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs of MIN_WORDS words or more alone, for the SQL that has the same limit; op3_substring_dedup has none."""
-    return paragraphs.find_repeats(_table(spark, sf_dir, "documents"))
+    """The paragraphs of op3_substring_dedup alone, of any length, for the SQL."""
+    return paragraphs.find_repeats(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+#: Words of a passage that op3_substring_dedup covers for certain.
+PASSAGE = paragraphs.PASSAGE_WORDS + paragraphs.PASSAGE_WINDOW - 1
+
+
+def passage_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of what op3_substring_dedup's passages cover: places where 50 words begin that another document has as well, per document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = paragraphs.find_passages(docs).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    merged = F.expr("""aggregate(spans, cast(array() AS array<struct<start:bigint,end:bigint>>), (out, s) -> IF(size(out) > 0 AND s.start <= element_at(out, -1).end,
+      concat(slice(out, 1, size(out) - 1), array(named_struct('start', element_at(out, -1).start, 'end', greatest(element_at(out, -1).end, s.end)))), concat(out, array(s))))""")
+    parts = spans.select("doc_id", "text_hash", F.explode(merged).alias("s")).join(docs.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"])
+    part = F.translate(F.substring("text", (F.col("s.start") + 1).cast("int"), (F.col("s.end") - F.col("s.start")).cast("int")), urls.UPPER, urls.LOWER)
+    cut = parts.select("doc_id", F.regexp_extract_all(part, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)).alias("w")).where(F.size("w") >= PASSAGE)
+    runs = cut.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - PASSAGE + 1), lambda i: F.array_join(F.slice("w", i, F.lit(PASSAGE)), " "))).alias("run"))
+    runs = runs.select("doc_id", F.sha2("run", 256).alias("run"))
+    shared = runs.groupBy("run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("run")
+    return runs.join(shared, "run", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_shared"))
+
+
+PASSAGE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL
+),
+g AS (
+  SELECT doc_id, sha256(array_to_string(w[i:i + 49], ' ')) AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+),
+s AS (SELECT run FROM g GROUP BY run HAVING min(doc_id) < max(doc_id))
+SELECT doc_id, count(*) AS n_shared FROM g WHERE run IN (SELECT run FROM s) GROUP BY doc_id
+"""
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,19 +168,23 @@ OP3_SQL = r"""
 WITH RECURSIVE lines AS (
   SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l FROM (SELECT doc_id, string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS l FROM documents WHERE text IS NOT NULL)
 ),
-d AS (SELECT * FROM (SELECT doc_id * 16777216 + i - 1 AS u, regexp_extract_all(l[i], '[^\x20\x09-\x0D]+') AS w FROM lines) WHERE len(w) >= 20),
+d AS (SELECT * FROM (SELECT doc_id * 16777216 + i - 1 AS u, regexp_extract_all(l[i], '[^\x20\x09-\x0D]+') AS w FROM lines) WHERE len(w) > 0),
+k AS (SELECT u, w, array_to_string(w, ' ') AS t FROM d),
+one AS (SELECT t, min(u) AS u, any_value(w) AS w FROM k GROUP BY t),
 g AS (
-  SELECT DISTINCT u, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT u, w, unnest(range(1, len(w) - 3)) AS i FROM d)
+  SELECT DISTINCT u, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT u, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM one)
 ),
 n AS (SELECT u, count(*) AS n FROM g GROUP BY u),
 p AS (SELECT a.u AS a, b.u AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.u < b.u GROUP BY 1, 2),
 e AS (SELECT p.a AS a, p.b AS b FROM p JOIN n x ON x.u = p.a JOIN n y ON y.u = p.b WHERE 5 * p.c >= 4 * (x.n + y.n - p.c)),
 sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT DISTINCT a AS node, a AS seen FROM sym UNION SELECT r.node, sym.b FROM r JOIN sym ON r.seen = sym.a),
-c AS (SELECT node, min(seen) AS first FROM r GROUP BY node)
-SELECT node // 16777216 AS doc_id, CAST(node % 16777216 AS INTEGER) AS paragraph, first // 16777216 AS cluster_doc_id,
-       CAST(first % 16777216 AS INTEGER) AS cluster_paragraph, node <> first AS removed
-FROM c
+c AS (SELECT node, min(seen) AS first FROM r GROUP BY node),
+a AS (SELECT k.u AS u, coalesce(c.first, one.u) AS first FROM k JOIN one ON one.t = k.t LEFT JOIN c ON c.node = one.u),
+f AS (SELECT first FROM a GROUP BY first HAVING count(*) > 1)
+SELECT u // 16777216 AS doc_id, CAST(u % 16777216 AS INTEGER) AS paragraph, a.first // 16777216 AS cluster_doc_id,
+       CAST(a.first % 16777216 AS INTEGER) AS cluster_paragraph, u <> a.first AS removed
+FROM a JOIN f ON f.first = a.first
 """
 
 OP6_SQL = r"""
@@ -185,9 +220,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
     "paragraph_repeats": paragraph_repeats,
+    "passage_repeats": passage_repeats,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
     "paragraph_repeats": OP3_SQL,
+    "passage_repeats": PASSAGE_SQL,
     "op6_minhash_near_dedup": OP6_SQL,
 }

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -87,20 +88,33 @@ def pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES) -> Iterator[pa.Record
 
 @dataclass
 class Words:
-    """Words of some documents: byte bounds, 64-bit hashes, and where each document's words begin."""
+    """Words of some documents: byte bounds, identities, two 64-bit hashes, and where each document's words begin.
+
+    ``low`` and ``high`` with the length tell words apart: they are the bytes of words of up to 16, and a
+    128-bit BLAKE2b digest of longer ones. ``hashes`` and ``checks`` are mixed from them independently.
+    """
 
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
+    checks: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
     first: np.ndarray  # n + 1 word offsets
 
 
+#: The low bytes of a 64-bit number, by how many of them count.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_BY_VALUE = 16
+
+
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Words:
-    """Maximal runs of ``is_word`` bytes within documents, hashed with A-Z lower-cased."""
+    """Maximal runs of ``is_word`` bytes within documents, identified with A-Z lower-cased."""
     n = len(data)
     if not n:
         none = np.zeros(0, dtype=np.int64)
-        return Words(none, none, none.astype(np.uint64), np.zeros(len(offsets), dtype=np.int64))
+        same = none.astype(np.uint64)
+        return Words(none, none, same, same, same, same, np.zeros(len(offsets), dtype=np.int64))
     inside = is_word[data]
     begin, end = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
@@ -109,45 +123,66 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Words:
     begin[edges] = inside[edges]
     end[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    power, inverse = _powers(max(n, CHUNK_BYTES))
-    total = _LOWER[data].astype(np.uint64)
-    total += np.uint64(1)
-    total *= power[:n]
-    np.cumsum(total, out=total)
-    hashes = total[ends - 1]
-    hashes[starts > 0] -= total[starts[starts > 0] - 1]
-    hashes *= inverse[starts]
-    hashes ^= (ends - starts).astype(np.uint64) << np.uint64(56)
-    return Words(starts, ends, mix(hashes), np.searchsorted(starts, offsets))
-
-
-def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed k-word shingles of each document, ascending, and n + 1 offsets.
+    lower = np.zeros(n + _BY_VALUE, dtype=np.uint8)
+    lower[:n] = _LOWER[data]
+    eight = np.ndarray((n + 9,), dtype="<u8", buffer=lower, strides=(1,))  # eight bytes from each place
+    size = ends - starts
+    low = eight[starts] & _LOW_BYTES[np.minimum(size, 8)]
+    high = eight[np.minimum(starts + 8, n + 8)] & _LOW_BYTES[np.clip(size - 8, 0, 8)]
+    long = np.flatnonzero(size > _BY_VALUE)
+    if len(long):
+        view = memoryview(lower)
+        digests = b"".join(blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        low[long], high[long] = np.frombuffer(digests, dtype="<u8").reshape(-1, 2).T
+    length = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    hashes = mix(low ^ mix(high ^ length))
+    checks = mix(high ^ mix(low + length + np.uint64(0xA24BAED4963EE407)))
+    return Words(starts, ends, hashes, checks, low, high, np.searchsorted(starts, offsets))
+
+
+def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct k-word shingles of each document as hashes, ascending, second hashes of them, and n + 1 offsets.
 
     A document of fewer than k words, but not none, has one shingle: its whole word sequence.
     """
     counts = np.diff(w.first)
-    h, n = w.hashes, len(w.hashes)
-    roll = np.zeros(n, dtype=np.uint64)
-    for i in range(k):
-        roll *= np.uint64(0xD6E8FEB86659FD93)
-        roll[: max(0, n - i)] += h[i:]
+    n = len(w.hashes)
     doc = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(n) - w.first[doc] if n else np.zeros(0, dtype=np.int64)
     keep = (counts[doc] - place >= k) | ((counts[doc] < k) & (place == 0))
     short = np.flatnonzero((counts > 0) & (counts < k))
-    for d in short:  # the tail beyond the document must not leak in
-        value = 0x51ED270B
-        for x in h[w.first[d] : w.first[d + 1]].tolist():
-            value = ((value * 0xD6E8FEB86659FD93) + x) & 0xFFFFFFFFFFFFFFFF
-        roll[w.first[d]] = value
-    roll, doc = mix(roll[keep]), doc[keep]
-    order = np.lexsort((roll, doc)) if len(roll) < 64 else _by_doc(roll, doc, len(counts))
-    roll, doc = roll[order], doc[order]
-    fresh = np.ones(len(roll), dtype=bool)
-    fresh[1:] = (roll[1:] != roll[:-1]) | (doc[1:] != doc[:-1])
-    roll, doc = roll[fresh], doc[fresh]
-    return roll, np.searchsorted(doc, np.arange(len(counts) + 1))
+    rolled = []
+    for h in (w.hashes, w.checks):
+        roll = np.zeros(n, dtype=np.uint64)
+        for i in range(min(k, n)):
+            roll[: n - i] = mix(roll[: n - i] ^ h[i:])
+        part = np.zeros(len(short), dtype=np.uint64)
+        for i in range(k - 1):  # shorter documents end before what follows them
+            more = counts[short] > i
+            part[more] = mix(part[more] ^ h[w.first[short[more]] + i])
+        roll[w.first[short]] = part
+        rolled.append(roll[keep])
+    one, other = rolled
+    doc = doc[keep]
+    order = np.lexsort((one, doc)) if len(one) < 64 else _by_doc(one, doc, len(counts))
+    one, other, doc = one[order], other[order], doc[order]
+    fresh = np.ones(len(one), dtype=bool)
+    fresh[1:] = (one[1:] != one[:-1]) | (doc[1:] != doc[:-1])
+    doc = doc[fresh]
+    return one[fresh], other[fresh], np.searchsorted(doc, np.arange(len(counts) + 1))
+
+
+def lowered(data: np.ndarray, w: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All words with A-Z lower-cased and a space after each, as bytes, and where each begins and ends in them."""
+    size = w.ends - w.starts
+    end = np.cumsum(size + 1) - 1
+    begin = end - size
+    out = np.full(int(end[-1]) + 1 if len(end) else 0, 0x20, dtype=np.uint8)
+    inside = np.ones(len(out), dtype=bool)
+    inside[end] = False
+    source = np.arange(len(out)) + np.repeat(w.starts - begin, size + 1)
+    out[inside] = _LOWER[data[source[inside]]]
+    return out.tobytes(), begin, end
 
 
 def _by_doc(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:

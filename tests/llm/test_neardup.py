@@ -12,6 +12,7 @@ from tessera.llm import neardup, paragraphs, queries
 from tessera.llm.components import components
 from tessera.llm.neardup import Settings
 from tessera.llm.text import winnow
+from test_text import alike_under_powers
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 UPPER = {i: i + 32 for i in range(65, 91)}
@@ -88,10 +89,10 @@ def test_blocks_find_what_hubs_leave(spark, documents, monkeypatch):
 def test_defaults_null_ids_and_shared_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
     other = " ".join(f"v{i}" for i in range(40))
-    rows = [(5, text, 1), (3, text, 1), (None, text, 1), (7, other, 1), (3, other, 1), (9, None, 1), (9, None, 1)]
+    rows = [(5, text, 1), (3, text, 1), (None, text, 1), (7, other, 1), (5, other, 1), (9, None, 1), (9, None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.find_components(docs).collect()), key=str)
-    assert got == sorted([(5, 3, False), (3, 3, True), (None, None, True), (7, 3, False), (3, 3, True), (9, 9, True), (9, 9, True)], key=str)
+    assert got == sorted([(5, 3, False), (3, 3, True), (None, None, True), (7, 3, False), (5, 3, False), (9, 9, True), (9, 9, True)], key=str)
     assert neardup.find_components(docs.limit(0)).count() == 0
     assert Settings().words == 5 and Settings().threshold == Fraction(4, 5)
 
@@ -127,15 +128,23 @@ def test_repeated_paragraphs(spark):
     near[50] = "changed"
     docs = [(1, f"{line(30)}\n{shared}\n{line(25)}"), (2, f"{shared}\n{line(40)}"), (3, f"{line(22)}\n{long}"), (4, " ".join(near)), (5, f"short line\n{line(30)}"), (6, "short line"), (7, None), (8, ""), (None, shared), (2, line(50))]
     frame = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, removed string")
-    found = paragraphs.find_repeats(frame)
+    found = paragraphs.find_repeats(frame, min_words=20)
     got = sorted((r.doc_id, r.paragraph, r.cluster_doc_id, r.cluster_paragraph, r.removed) for r in found.collect())
     assert got == [(1, 1, 1, 1, False), (2, 0, 1, 1, True), (3, 1, 3, 1, False), (4, 0, 3, 1, True)]
     clean = paragraphs.remove_repeats(spark.createDataFrame(docs[:9], "doc_id long, text string"), found)
     after = {r.doc_id: r.text for r in clean.collect()}
     assert after[1] == docs[0][1] and after[2] == docs[1][1].split("\n")[1] and after[4] == "" and after[7] is None and after[None] == shared
     assert paragraphs.find_repeats(frame.limit(0)).count() == 0
-    with pytest.raises(Exception, match="39 bits"):
-        paragraphs.find_repeats(spark.createDataFrame([(1 << 40, line(30))], "doc_id long, text string")).count()
+    far = [((1 << 62) + 5, line(30)), (-(1 << 63), shared), ((1 << 63) - 1, shared)]  # any 64-bit ids
+    got = paragraphs.find_repeats(spark.createDataFrame(far, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.cluster_doc_id, r.removed) for r in got) == [(-(1 << 63), -(1 << 63), False), ((1 << 63) - 1, -(1 << 63), True)]
+
+
+def test_rows_of_one_id_keep_their_own_paragraphs(spark):
+    docs = spark.createDataFrame([(1, "the same line"), (2, "the same line\nfirst of two"), (2, "another line\nthe same line"), (2, "another line\nthe same line")], "doc_id long, text string")
+    found = paragraphs.find_repeats(docs)
+    clean = sorted(r.text for r in paragraphs.remove_repeats(docs, found).collect())
+    assert clean == ["another line", "another line", "first of two", "the same line"]
 
 
 def test_paragraph_query_against_brute_force(spark, tmp_path):
@@ -191,6 +200,15 @@ def test_repeated_passages(spark, tmp_path):
         assert 24 <= len(span) <= 90 and " ".join(span) in " ".join(texts[want[r.doc_id]].lower().split())
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert paragraphs.find_passages(empty).count() == 0
+    assert paragraphs.find_repeats(empty).count() == 0
+    got = {r.doc_id: r.n_shared for r in queries.passage_repeats(spark, str(tmp_path)).collect()}
+    runs = {}
+    for i, t in docs:
+        w = (t or "").lower().split()
+        for j in range(len(w) - 49):
+            runs.setdefault(" ".join(w[j : j + 50]), []).append(i)
+    shared = [i for own in runs.values() if len(set(own)) > 1 for i in own]
+    assert got == {i: shared.count(i) for i in set(shared)} and got
 
 
 def test_passages_are_covered_whole_and_one_copy_stays(spark):
@@ -219,6 +237,49 @@ def test_passages_are_covered_whole_and_one_copy_stays(spark):
     assert {i: c for i, c in gone.items() if i < 50} == {i: want[i] for i in range(7, 40)} and gone[60] == want[60]
     kept = {w for i, t in docs for k, w in enumerate(t.split()) if k not in gone.get(i, ())}
     assert kept == {w for _, t in docs for w in t.split()}
+    frame = spark.createDataFrame([*docs, (90, None), (None, docs[0][1])], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in paragraphs.remove_passages(frame, paragraphs.find_passages(frame)).collect()}
+    for i, t in docs:
+        assert clean[i].split() == [w for k, w in enumerate(t.split()) if k not in gone.get(i, ())]
+    assert clean[90] is None and clean[None] == docs[0][1]
+
+
+def test_no_word_is_lost_where_first_documents_change(spark):
+    """5 = "B C", 10 = "A B C", 20 = "A B": what is cut from one stands in another."""
+    rng = random.Random(17)
+    a, b, c = (" ".join("w%d" % rng.randrange(10**6) for _ in range(60)) for _ in range(3))
+    docs = {5: f"{b} {c}", 10: f"{a} {b} {c}", 20: f"{a} {b}"}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in paragraphs.remove_passages(frame, paragraphs.find_passages(frame)).collect()}
+    assert clean[5] == docs[5] and clean[10].split() == a.split() and clean[20].split() == []
+
+
+def test_words_are_compared_as_words(spark):
+    """Words whose polynomial hashes agree are still different words: no link and no passage."""
+    one, other = alike_under_powers()
+    docs = [(i, " ".join([*(f"{x}{j}" for j in range(3)), *([w] * 30), f"{x}end"])) for i, (x, w) in enumerate([("p", one), ("q", other)])]
+    docs += [(2, one), (3, other), (4, one)]
+    got = {r.doc_id: r.component_id for r in neardup.find_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2}
+    assert paragraphs.find_passages(spark.createDataFrame(docs[:2], "doc_id long, text string")).count() == 0
+
+
+def test_confirmation_is_on_words():
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(40))
+    test = neardup.Verifier(pa.array([text, text.upper().replace(" ", "\n\t"), text + " more", "x y", None]), Settings())
+    test.sets = [test.sets[0]] * 5  # were the hashes to collide
+    assert [test.linked(0, i) for i in range(5)] == [True, True, True, False, False]
+
+
+def test_pipeline_form_judges_rows(spark):
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(5, text, "a"), (3, text, "b"), (3, text, "b"), (None, text, "c"), (None, other, "d"), (None, other, "e"), (7, None, "f"), (7, "", "g"), (3, other + " x", "h")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __hot string")
+    got = sorted(((r.doc_id, r.text) for r in neardup.drop_near_copies(frame).collect()), key=str)
+    assert got == sorted([(3, text), (7, None), (7, ""), (3, other + " x")], key=str)
+    assert neardup.drop_near_copies(frame.limit(0)).columns == ["doc_id", "text", "__hot"]
 
 
 def test_winnowing_keeps_its_promise():
