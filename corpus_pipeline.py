@@ -3,8 +3,8 @@
 language id (what it rejects goes), near-dedup (one document of each group stays), benchmark
 decontamination (contaminated documents go), secret scan (secrets are replaced in the texts), packing.
 
-Every stage but the last returns the columns of ``documents``. Documents without an id go through
-near-dedup unjudged. Rows that share an id share what is decided for it.
+Every stage but the last returns the columns of ``documents``. Rows are judged one by one, so that of repeated
+rows, and of copies without an id, one stays as well.
 """
 
 from __future__ import annotations
@@ -23,8 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = neardup.find_components(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return neardup.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
