@@ -121,7 +121,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edit = lambda a, b, new: F.struct(a.alias("start"), b.alias("end"), F.lit(new).alias("new"))
     edits = F.array(edit(place(1), place(1) + 6, " revised"), edit(place(2), place(2) + 3, ""), edit(n, n, "\nSeen 2024."))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", edits)
-    counted = tokencount.count_edits(docs)
+    counted = tokencount.apply_edits(tokencount.build_trees(docs))
     return counted.select("doc_id", "n_tokens", "n_tokens_after", "chars_encoded", F.length("text_after").cast("long").alias("chars_after"), F.sha2("text_after", 256).alias("after_sha256"))
 
 

@@ -1,15 +1,19 @@
-"""Edit-aware token counts: a segment tree of pre-token counts per document, updated where edits touch.
+"""Edit-aware token counts: a segment tree of pre-token counts per document, kept and updated where edits touch.
 
 A document's text is cut into segments that end where the pre-tokeniser certainly cuts: before a space
 that follows a non-space and precedes a letter, digit or mark. Encoding segments apart therefore gives
-the tokens of the whole. Leaves hold the segments' token counts, inner nodes the sums. An edit re-encodes
-the segments it touches, with the neighbours on both sides as context, and adds the differences to the
-sums on the paths to the root.
+the tokens of the whole. Leaves hold the segments' characters and token counts, inner nodes the sums; the
+tree is a column beside the text (``build_trees``). An edit (``apply_edits``) re-encodes the segments it
+touches, with the neighbours on both sides as context, puts what comes of them into the same leaves, and adds
+the differences to the sums on the paths to the root. Leaves may be empty, or hold several segments; only an
+edit that makes far more segments than it touched builds the sums anew, from counts that are known.
 
 Null texts count as empty and have no tokens; edits of them insert only. Edit positions are code points
 of the original text, ends exclusive; positions beyond the end are cut to it, and overlapping edits are
-applied in order, the later one to what the earlier left. A document without edits keeps its count. A
-column of the input that bears the name of an output column is replaced.
+applied in order, the later one to what the earlier left. A document without edits keeps its count; a null
+tree is built first. Repeated rows are counted each on its own, an empty table gives no rows, and very long
+texts have deeper trees: an edit of one costs no more than its segments and the tree's depth. A column of
+the input that bears the name of an output column is replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from tessera.llm.packing import load_encoder
+from tessera.llm.packing import encode, load_encoder
 from tessera.llm.text import append_columns
 
 #: A cut before one space between a letter or digit and a letter; the pre-tokeniser always cuts there.
@@ -46,12 +50,23 @@ def segments(text: str, least: int = SEGMENT) -> list[str]:
 
 
 class CountTree:
-    """Token counts of one text's segments, with sums over blocks of segments in a binary tree."""
+    """Token and character counts of one text's segments, with sums over blocks of segments in a binary tree.
 
-    def __init__(self, text: str, count: Callable[[list[str]], list[int]], least: int = SEGMENT):
+    ``sums`` are the two trees as arrays: node k has the children 2k and 2k + 1, and the leaves come last.
+    """
+
+    def __init__(self, text: str, count: Callable[[list[str]], list[int]], sums: tuple[np.ndarray, np.ndarray] | None = None, least: int = SEGMENT):
         self.count, self.least, self.encoded = count, least, 0
-        self.parts = segments(text, least)
-        self._build(self._counts(self.parts))
+        if sums is None:
+            self.parts = segments(text, least)
+            self._build(self._counts(self.parts))
+            return
+        self.tokens, self.chars = (np.array(x, dtype=np.int64) for x in sums)
+        self.size = len(self.tokens) // 2
+        ends = np.cumsum(self.chars[self.size :]).tolist()
+        self.parts = [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        while self.parts and not self.parts[-1]:
+            self.parts.pop()
 
     def _counts(self, parts: list[str]) -> list[int]:
         self.encoded += sum(map(len, parts))
@@ -97,77 +112,108 @@ class CountTree:
             self.chars[node] += longer
             node //= 2
 
+    def _neighbour(self, leaf: int, step: int) -> int | None:
+        """The next leaf that is not empty, in one direction."""
+        leaf += step
+        while 0 <= leaf < len(self.parts) and not self.parts[leaf]:
+            leaf += step
+        return leaf if 0 <= leaf < len(self.parts) else None
+
     def replace(self, start: int, end: int, new: str) -> None:
         """Put ``new`` in place of the characters from start to end."""
         n = int(self.chars[1])
         start = min(max(start, 0), n)
         end = min(max(end, start), n)
-        if not self.parts:
+        if not n:
             self.parts = segments(new, self.least)
             self._build(self._counts(self.parts))
             return
         first, begin = self.leaf_at(start)
-        last, tail = self.leaf_at(max(start, end - 1))
-        if first > 0:  # the segment before is context: the edit may undo the cut between them
-            first -= 1
+        last, _ = self.leaf_at(max(start, end - 1))
+        before, after = self._neighbour(first, -1), self._neighbour(last, 1)
+        if before is not None:  # the segment before is context: the edit may undo the cut between them
+            first = before
             begin -= len(self.parts[first])
-        past = tail + len(self.parts[last])
-        if last + 1 < len(self.parts):
-            last += 1
-            past += len(self.parts[last])
+        last = last if after is None else after
         old = "".join(self.parts[first : last + 1])
         fresh = segments(old[: start - begin] + new + old[end - begin :], self.least)
-        if last + 1 < len(self.parts) and fresh and not _CUT.match((fresh[-1] + self.parts[last + 1][:2]), len(fresh[-1])):
-            last += 1  # the far boundary is no longer sure: take one more segment
-            fresh = segments("".join(fresh) + self.parts[last], self.least)
-        if first > 0 and fresh and not _CUT.match(self.parts[first - 1][-1] + fresh[0][:2], 1):
-            first -= 1
-            fresh = segments(self.parts[first] + "".join(fresh), self.least)
         counts = self._counts(fresh)
-        if len(fresh) == last - first + 1:
-            for k, (part, c) in enumerate(zip(fresh, counts, strict=True)):
-                self.parts[first + k] = part
-                self._set(first + k, c, len(part))
+        slots = last - first + 1
+        if len(fresh) > 8 * slots:  # many new segments: leaves of their own, with the counts known for all
+            leaves = self.tokens[self.size : self.size + len(self.parts)].tolist()
+            self.parts[first : last + 1] = fresh
+            self._build(leaves[:first] + counts + leaves[last + 1 :])
             return
-        leaves = self.tokens[self.size : self.size + len(self.parts)].tolist()
-        self.parts[first : last + 1] = fresh
-        self._build(leaves[:first] + counts + leaves[last + 1 :])
+        for k in range(slots):
+            own = slice(k, k + 1) if k + 1 < slots else slice(k, None)  # the last leaf takes what is left
+            part = "".join(fresh[own])
+            self.parts[first + k] = part
+            self._set(first + k, sum(counts[own]), len(part))
 
 
 EDIT = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("new", T.StringType())])
+TREE = T.StructType([T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("chars", T.ArrayType(T.LongType()))])
+_TREE = pa.struct([("tokens", pa.list_(pa.int64())), ("chars", pa.list_(pa.int64()))])
 FIELDS = [
     T.StructField("n_tokens", T.LongType()),
     T.StructField("n_tokens_after", T.LongType()),
     T.StructField("chars_encoded", T.LongType()),
     T.StructField("text_after", T.StringType()),
+    T.StructField("tree_after", TREE),
 ]
 
 
-def count_edits(docs: DataFrame, *, text: str = "text", edits: str = "edits", vocabulary: str | None = None) -> DataFrame:
-    """``docs`` with token counts before and after its edits, and the characters encoded for both.
+class _Counter:
+    """Counts tokens; the encoder is loaded once a task."""
+
+    def __init__(self, vocabulary: str | None):
+        self.vocabulary, self.encoder = vocabulary, None
+
+    def __call__(self, parts: list[str]) -> list[int]:
+        if self.encoder is None:
+            self.encoder = load_encoder(self.vocabulary)
+        return [len(encode(self.encoder, p)) for p in parts]
+
+
+def _arrays(tree: CountTree) -> dict[str, np.ndarray]:
+    return {"tokens": tree.tokens, "chars": tree.chars}
 
-    ``edits`` is an array of (start, end, new), positions in the original text.
-    """
-    encoder: list = []
 
-    def count(parts: list[str]) -> list[int]:
-        return [len(encoder[0].encode_ordinary(p)) for p in parts]
+def build_trees(docs: DataFrame, *, text: str = "text", out: str = "tree", vocabulary: str | None = None) -> DataFrame:
+    """``docs`` with the column ``out``: each text's tree of token and character counts."""
+    count = _Counter(vocabulary)
+
+    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([_arrays(CountTree(v.as_py() or "", count)) for v in batch.column(batch.schema.get_field_index(text))], _TREE)]
+
+    return append_columns(docs, [T.StructField(out, TREE)], compute, needs=[text])
+
+
+def apply_edits(docs: DataFrame, *, text: str = "text", tree: str = "tree", edits: str = "edits", vocabulary: str | None = None) -> DataFrame:
+    """``docs`` with token counts before and after its edits, the characters encoded for them, and the text and tree after.
+
+    ``edits`` is an array of (start, end, new), positions in the original text; ``tree`` is what build_trees or
+    an earlier call gave for the text.
+    """
+    count = _Counter(vocabulary)
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        if not encoder:
-            encoder.append(load_encoder(vocabulary))
         rows = []
-        columns = (batch.column(batch.schema.get_field_index(c)) for c in (text, edits))
-        for value, changes in zip(*columns, strict=True):
-            tree = CountTree(value.as_py() or "", count)
-            before, shift = tree.total, 0
-            ordered = sorted((e for e in changes.as_py() or [] if e is not None), key=lambda e: (e["start"] or 0, e["end"] or 0))
-            for e in ordered:
-                size = int(tree.chars[1])
-                new = e["new"] or ""
-                tree.replace((e["start"] or 0) + shift, (e["end"] or 0) + shift, new)
-                shift += int(tree.chars[1]) - size
-            rows.append((before, tree.total, tree.encoded, tree.text))
-        return [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
-
-    return append_columns(docs, FIELDS, compute, needs=[text, edits])
+        columns = (batch.column(batch.schema.get_field_index(c)) for c in (text, tree, edits))
+        for value, known, changes in zip(*columns, strict=True):
+            sums = None if not known.is_valid else tuple(known[c].values.to_numpy(zero_copy_only=False) for c in ("tokens", "chars"))
+            own = CountTree(value.as_py() or "", count, sums)
+            own.encoded, before, shift = 0, own.total, 0
+            for e in sorted((e for e in changes.as_py() or [] if e is not None), key=lambda e: (e["start"] or 0, e["end"] or 0)):
+                size = int(own.chars[1])
+                own.replace((e["start"] or 0) + shift, (e["end"] or 0) + shift, e["new"] or "")
+                shift += int(own.chars[1]) - size
+            rows.append((before, own.total, own.encoded, own.text, _arrays(own)))
+        return [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), _TREE))]
+
+    return append_columns(docs, FIELDS, compute, needs=[text, tree, edits])
+
+
+def count_edits(docs: DataFrame, *, text: str = "text", edits: str = "edits", vocabulary: str | None = None) -> DataFrame:
+    """build_trees and apply_edits in one pass, for texts whose trees are not kept."""
+    return apply_edits(build_trees(docs, text=text, out="__tree", vocabulary=vocabulary), text=text, tree="__tree", edits=edits, vocabulary=vocabulary).drop("__tree")

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import random
+import time
 
+from pyspark.sql import functions as F
 from tessera.llm import queries
-from tessera.llm.packing import load_encoder
-from tessera.llm.tokencount import CountTree, count_edits
+from tessera.llm.packing import encode, load_encoder
+from tessera.llm.tokencount import CountTree, apply_edits, build_trees, count_edits
 
 ENCODER = load_encoder()
 PARTS = ["a", "é", " ", "\n", "1", "²", ".", "'s", "  ", "Z", "\t", "'", "の", "!!", "<|endoftext|>", "s ", "'ll", "word", " word", "e\u0301"]
 
 
 def count(parts):
-    return [len(ENCODER.encode_ordinary(p)) for p in parts]
+    return [len(encode(ENCODER, p)) for p in parts]
 
 
 def test_random_edits():
@@ -28,7 +30,11 @@ def test_random_edits():
             new = "".join(rng.choice(PARTS) for _ in range(rng.randrange(0, 6)))
             text = text[:a] + new + text[max(a, b) :]
             tree.replace(a, b, new)
-            assert tree.text == text and tree.total == count([text])[0]
+            assert tree.text == text and tree.total == count([text])[0] and tree.chars[1] == len(text)
+            for sums in (tree.tokens, tree.chars):
+                assert (sums[1 : tree.size] == sums[2:].reshape(-1, 2).sum(axis=1)).all()
+            if rng.random() < 0.3:  # kept and read again
+                tree = CountTree(text, count, (tree.tokens.tolist(), tree.chars.tolist()), least=tree.least)
 
 
 def test_edits_touch_little_of_a_long_text():
@@ -37,6 +43,33 @@ def test_edits_touch_little_of_a_long_text():
     built = tree.encoded
     tree.replace(len(text) // 2, len(text) // 2 + 5, "changed")
     assert tree.encoded - built < 1000 and tree.total == count([tree.text])[0]
+    size, sums = tree.size, tree.tokens
+    tree.replace(1000, 1010, " " + "more words " * 30)  # some more segments find room in the same leaves
+    assert tree.size == size and tree.tokens is sums and tree.total == count([tree.text])[0]
+
+
+def test_many_edits_of_a_long_text_take_little_time():
+    text = " ".join(["lorem", "ipsum", "dolor"] * 40_000)
+    tree = CountTree(text, count)
+    start, rng = time.perf_counter(), random.Random(3)
+    for _ in range(2000):
+        at = rng.randrange(int(tree.chars[1]))
+        tree.replace(at, at + rng.randrange(9), rng.choice([" x", "", "yz", " new words here "]))
+    assert time.perf_counter() - start < 10 and tree.total == count([tree.text])[0]
+
+
+def test_kept_trees(spark):
+    docs = spark.createDataFrame([(1, "some words " * 40), (2, None), (2, None), (3, "")], "doc_id long, text string")
+    kept = build_trees(docs)
+    edit = lambda a, b, new: F.array(F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"), F.lit(new).alias("new")))
+    once = apply_edits(kept.withColumn("edits", edit(3, 5, " two")))
+    again = apply_edits(once.select("doc_id", F.col("text_after").alias("text"), F.col("tree_after").alias("tree"), edit(0, 0, "first ").alias("edits")))
+    for r in again.collect():
+        text = "first " + {1: "som two" + ("some words " * 40)[5:], 2: " two", 3: " two"}[r.doc_id]
+        assert r.text_after == text and r.n_tokens_after == count([text])[0] and r.tree_after.tokens[1] == r.n_tokens_after
+        assert r.chars_encoded < 250
+    assert apply_edits(docs.withColumn("tree", F.lit(None).cast(kept.schema["tree"].dataType)).withColumn("edits", edit(0, 0, "a"))).where("doc_id = 1").first().n_tokens == count(["some words " * 40])[0]
+    assert build_trees(docs.limit(0)).count() == 0 and apply_edits(kept.limit(0).withColumn("edits", edit(0, 0, "a"))).count() == 0
 
 
 def test_frames(spark, tmp_path):
