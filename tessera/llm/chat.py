@@ -10,8 +10,9 @@ before it to any state at its end. Matrices are multiplied level by level, FAN a
 states at the borders are handed down again, so that no task holds more than a chunk or FAN matrices,
 however long a conversation is.
 
-Null texts count as empty and have no lines; a row without lines gives no turn. Rows without a
-conversation id or turn are dropped. Repeated rows (same id, turn and text) are one row with ``copies``;
+Null texts count as empty and have no lines; a row without lines gives no turn. A row without a
+conversation id is a conversation of its own; a row without a turn is ordered as turn -1. Very long texts are
+split into lines in time proportional to their length. An empty table gives no rows. Repeated rows (same id, turn and text) are one row with ``copies``;
 different texts of one turn follow in the order of their hash. A chunk of more than MOST_ROWS rows,
 which takes that many texts for a few turn numbers, is split by ranges of turn and hash, so that the order
 is the same at every size. Extra columns are not read.
@@ -49,7 +50,8 @@ MARKERS = {
     "answer": 2,
     "a": 2,
 }
-_MARKER = re.compile(r"\s*(?:[#>*\-\[<|(]*\s*)(" + "|".join(sorted(MARKERS, key=len, reverse=True)) + r")(?:\s*[\]>|)*]*\s*(?::|\||>|\]|-)\s*[*]*)\s*", re.IGNORECASE)
+#: A marker: signs, a name, closing signs, and a colon or dash. Nothing in it is tried twice.
+_MARKER = re.compile(r"[#>*\-\[<|(\s]*+(" + "|".join(sorted(MARKERS, key=len, reverse=True)) + r")(?P<close>[\]>|)*\s]*+)(?P<end>[:\-]\s*+\**+\s*+)?", re.IGNORECASE)
 #: Turn numbers of a chunk, rows a chunk may have, and matrices multiplied at a time.
 CHUNK_TURNS = 64
 MOST_ROWS = 4096
@@ -113,6 +115,14 @@ class Model:
         return out
 
 
+def marker(line: str) -> tuple[int, int] | None:
+    """The role that a line's marker tells, and where the marker ends; None without one."""
+    m = _MARKER.match(line)
+    if m is None or not (m["end"] or any(c in "]>|" for c in m["close"])):
+        return None
+    return MARKERS[m[1].lower()], m.end()
+
+
 def split_lines(text: str) -> list[tuple[str, tuple[int, int, int, int]]]:
     """Non-blank lines with (marker, asks, size, after blank)."""
     out, blank = [], 0
@@ -120,15 +130,15 @@ def split_lines(text: str) -> list[tuple[str, tuple[int, int, int, int]]]:
         if not line.strip():
             blank = 1
             continue
-        m = _MARKER.match(line)
-        out.append((line, (MARKERS[m.group(1).lower()] if m else NONE, int("?" in line), bisect_right(SIZES, len(line)), blank)))
+        m = marker(line)
+        out.append((line, (m[0] if m else NONE, int("?" in line), bisect_right(SIZES, len(line)), blank)))
         blank = 0
     return out
 
 
 def strip_marker(line: str) -> str:
-    m = _MARKER.match(line)
-    return line[m.end() :] if m else line
+    m = marker(line)
+    return line[m[1] :] if m else line
 
 
 def transfer(model: Model, lines: np.ndarray) -> np.ndarray:
@@ -195,19 +205,18 @@ def _pieces(model: Model, rows: list[dict], entry: int, last: int | None) -> lis
     return out
 
 
-def _chunks(turns: DataFrame, conversation: str, turn: str, text: str, size: int) -> DataFrame:
+def _chunks(source: DataFrame, size: int) -> DataFrame:
     """Rows (conv, block, sub, rows): the source rows of a chunk, in order."""
-    source = turns.select(F.col(conversation).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(text).alias("text")).where("conv is not null and turn is not null")
-    rows = source.groupBy("conv", "turn", "text").agg(F.count("*").alias("copies")).withColumn("block", F.floor(F.col("turn") / size) + (1 << 40))  # not negative, so that blocks meet at the root
+    rows = source.groupBy("conv", "turn", "text").agg(F.count("*").alias("copies")).withColumn("t", F.coalesce("turn", F.lit(-1).cast("long")))
+    rows = rows.withColumn("block", F.floor(F.col("t") / size) + (1 << 40))  # not negative, so that blocks meet at the root
     rows = rows.withColumn("h", F.xxhash64("text"))
-    each = rows.groupBy("conv", "block", "turn").agg(F.count("*").alias("c"))
+    each = rows.groupBy("conv", "block", "t").agg(F.count("*").alias("c"))
     large = each.groupBy("conv", "block").agg(F.sum("c").alias("all")).where(F.col("all") > MOST_ROWS).select("conv", "block")
-    parts = each.join(large, ["conv", "block"], "left_semi").select("conv", "block", "turn", F.ceil(F.col("c") * 2 / MOST_ROWS).alias("parts"))
+    parts = each.join(large, ["conv", "block"], "left_semi").select("conv", "block", "t", F.ceil(F.col("c") * 2 / MOST_ROWS).alias("parts"))
     prefix = F.floor((F.col("h") / float(1 << 64) + 0.5) * F.col("parts"))  # grows with the hash
-    sub = F.shiftleft(F.pmod("turn", F.lit(size)).cast("long"), 40) + prefix
-    rows = rows.join(parts, ["conv", "block", "turn"], "left").withColumn("sub", F.coalesce(sub, F.lit(0).cast("long")))
-    grouped = rows.groupBy("conv", "block", "sub").agg(F.sort_array(F.collect_list(F.struct("turn", "h", "text", "copies"))).alias("rows"))
-    return grouped
+    sub = F.shiftleft(F.pmod("t", F.lit(size)).cast("long"), 40) + prefix
+    rows = rows.join(parts, ["conv", "block", "t"], "left").withColumn("sub", F.coalesce(sub, F.lit(0).cast("long")))
+    return rows.groupBy("conv", "block", "sub").agg(F.sort_array(F.collect_list(F.struct("t", "h", "text", "copies", "turn"))).alias("rows"))
 
 
 def format_chats(turns: DataFrame, model: Model = Model(), *, conversation: str = "conv_id", turn: str = "turn", text: str = "text", chunk_turns: int = CHUNK_TURNS, fan: int = FAN) -> DataFrame:
@@ -218,7 +227,8 @@ def format_chats(turns: DataFrame, model: Model = Model(), *, conversation: str
     else it has the further lines as they are.
     """
     ship(turns.sparkSession)
-    chunks = stage(_chunks(turns, conversation, turn, text, chunk_turns), "chunks")
+    source = turns.select(F.col(f"`{conversation}`").alias("conv"), F.col(f"`{turn}`").cast("long").alias("turn"), F.col(f"`{text}`").alias("text"))
+    chunks = stage(_chunks(source.where("conv is not null"), chunk_turns), "chunks")
     counts = chunks.groupBy("conv").agg(F.count("*").alias("n")).where("n > 1").select("conv")
 
     def decode(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -231,7 +241,9 @@ def format_chats(turns: DataFrame, model: Model = Model(), *, conversation: str
         long = chunks.join(counts, "conv", "left_semi")
         borders = _borders(long, model, fan)
         alone = alone.unionByName(long.join(borders, ["conv", "block", "sub"]).select("conv", "rows", "entry", "last"))
-    out = append_columns(alone, [T.StructField("pieces", TURN)], decode, needs=["rows", "entry", "last"])
+    own = F.array(F.struct(F.coalesce("turn", F.lit(-1).cast("long")).alias("t"), F.xxhash64("text").alias("h"), "text", F.lit(1).cast("long").alias("copies"), "turn"))
+    nameless = source.where("conv is null").select("conv", own.alias("rows"), F.lit(OPENING).alias("entry"), F.lit(None).cast("int").alias("last"))
+    out = append_columns(alone.unionByName(nameless), [T.StructField("pieces", TURN)], decode, needs=["rows", "entry", "last"])
     return out.select("conv", F.explode("pieces").alias("p")).select("conv", "p.*")
 
 

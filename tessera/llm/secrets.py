@@ -1,17 +1,23 @@
 """Secret scans: fixed base patterns, and assignment-aware lexing that adds what the patterns miss.
 
-The lexer reads source and configuration syntax into name-literal pairs, propagates constants through
-names (``a = "..."``, then ``auth = a``) and concatenations, and scores every literal by the most
-sensitive name it reaches and by how random it looks.
+The lexer reads source and configuration syntax into name-literal pairs: assignments, mappings, keyword
+arguments, annotated names; values on the next line, inside calls, lists and braces, of several lines
+(triple quotes, block scalars). It propagates constants through names (``a = "..."``, then ``auth = a``) and
+concatenations, and scores every literal by the most sensitive name it reaches and by how random it looks.
+Private keys in armour are found by their frame.
 
-Null texts count as empty. Positions are code points, ends exclusive. A column of the input that bears
-the name of an output column is replaced.
+Texts are read whole, in time proportional to their length: no expression backtracks over a line, each
+name is visited once by the propagation, and spans are compared in order.
+
+Null texts count as empty. Positions are code points, ends exclusive. Repeated rows are scanned each on its
+own, and an empty table gives no rows. A column of the input that bears the name of an output column is replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -53,16 +59,28 @@ THRESHOLD = 0.7
 SHORTEST = 6
 
 _TOKEN = re.compile(
-    r"""(?P<comment>//[^\n]*|\#[^\n]*)
-    |(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
+    r"""(?P<line>(?:[^\S\n]*\n)+)
+    |(?P<space>[^\S\n]+)
+    |(?P<comment>(?<!\S)(?://|\#)[^\n]*)
+    |(?P<prose>[A-Za-z]++(?:[ ][A-Za-z]++(?=[ ][A-Za-z]))+)
+    |(?P<quote>\"\"\"|\'\'\'|"|`|(?<![A-Za-z0-9])')
     |(?P<op>=>|:=|\+=|==|!=|<=|>=|::|[=:+,;(){}\[\]<>])
-    |(?P<bare>[^\s"'`=:+,;(){}\[\]<>\#]+)
-    |(?P<space>[^\S\n]+)""",
-    re.VERBOSE,
+    |(?P<bare>[^\s"`'=:+,;(){}\[\]<>]+)
+    |(?P<other>.)""",
+    re.VERBOSE | re.DOTALL,
 )
+#: What ends a string, or tells that it has no end, by its quote.
+_ENDS = {
+    '"': re.compile(r'(?:[^"\\\n]++|\\.)*+"', re.DOTALL),
+    "'": re.compile(r"(?:[^'\\\n]++|\\.)*+'", re.DOTALL),
+    "`": re.compile(r"[^`]*+`"),
+    '"""': re.compile(r'(?:[^"\\]++|\\.|"(?!""))*+"""', re.DOTALL),
+    "'''": re.compile(r"(?:[^'\\]++|\\.|'(?!''))*+'''", re.DOTALL),
+}
+_ASSIGNS = ("=", ":", ":=", "=>", "+=")
 _NAME = re.compile(r"[A-Za-z_$][\w$.-]*\Z")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_LINE = re.compile(r"[^\n]*[:=][^\n]*")
+_BEGIN, _END = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----"), re.compile(r"-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----")
 
 
 def name_score(name: str) -> float:
@@ -83,81 +101,181 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4.0) * (0.4 + 0.2 * min(3, kinds))
 
 
-def _pairs(line: str, base: int):
-    """Name-value pairs of one line: (name, literal spans, names referred to)."""
-    tokens = []
-    for m in _TOKEN.finditer(line):
-        if m.lastgroup == "comment":
-            break
-        if m.lastgroup != "space":
-            tokens.append((m.lastgroup, m.group(), base + m.start(), base + m.end()))
-    i = 0
-    while i + 1 < len(tokens):
-        kind, value, _, _ = tokens[i]
-        name = value[1:-1] if kind == "string" else value
-        j = i + 1
-        if kind not in ("string", "bare") or not _NAME.match(name):
-            i += 1
+def _tokens(text: str):
+    """Tokens as (kind, text, start, end); strings without their quotes, comments and blanks left out.
+
+    A quote that is not closed (on its line, if strings of its kind end there) is no string, and no further
+    one up to there is tried.
+    """
+    at, n, dead = 0, len(text), dict.fromkeys(_ENDS, 0)
+    while at < n:
+        m = _TOKEN.match(text, at)
+        kind, value, start, at = m.lastgroup, m.group(), m.start(), m.end()
+        if kind == "quote":
+            if start < dead[value]:
+                continue
+            end = _ENDS[value].match(text, at)
+            if end is None:
+                line = text.find("\n", at) if value in "'\"" else -1
+                dead[value] = n if line < 0 else line
+                continue
+            yield "string", text[at : end.end() - len(value)], at, end.end() - len(value)
+            at = end.end()
+        elif kind not in ("space", "comment", "other"):
+            yield kind, value, start, at
+
+
+def _block(text: str, at: int) -> tuple[list[tuple[int, int]], int]:
+    """Lines of a block scalar: those after ``at`` that are indented like the first one, and where they end."""
+    out, depth = [], None
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        own = len(line) - len(line.lstrip())
+        if line.strip():
+            if depth is None:
+                if not own:
+                    break
+                depth = own
+            if own < depth:
+                break
+            out.append((at + own, at + len(line.rstrip())))
+        at = end + 1
+    return out, at
+
+
+def _bindings(text: str):
+    """What names stand for, as (name, start, end, word): a literal's place, and the word if it may be a name."""
+    stream = _tokens(text)
+    ahead: list[tuple[str, str, int, int]] = []
+
+    def peek(k: int) -> tuple[str, str, int, int]:
+        while len(ahead) <= k:
+            ahead.append(next(stream, ("end", "", len(text), len(text))))
+        return ahead[k]
+
+    frames: list[str | None] = []  # for each open bracket, the name that its contents belong to
+    name, waiting, by, skip = None, False, "", 0
+    while True:
+        kind, value, start, end = peek(0)
+        ahead.pop(0)
+        if kind == "end":
+            return
+        if start < skip:
             continue
-        if tokens[j][1] == ":" and j + 2 < len(tokens) and tokens[j + 1][0] == "bare" and tokens[j + 2][1] == "=":
-            j += 2  # an annotated name
-        if tokens[j][1] not in ("=", ":", ":=", "=>", "+="):
-            i += 1
+        if kind == "line":
+            if value.count("\n") > 1:
+                frames.clear()
+                name, waiting = None, False
+            elif not waiting:
+                name = None
+            by = "line" if waiting else ""
             continue
-        literals, names, k = [], [], j + 1
-        while k < len(tokens):
-            kind, value, a, b = tokens[k]
-            if kind == "string":
-                literals.append((a + 1, b - 1))
-            elif kind == "bare":
-                (names if _NAME.match(value) else literals).append(value if _NAME.match(value) else (a, b))
-                if _NAME.match(value):
-                    literals.append((a, b, value))  # a bare word is a literal if it names no constant
-            else:
-                break
-            k += 1
-            if k < len(tokens) and tokens[k][1] == "+":
-                k += 1
-            else:
-                break
-        if literals or names:
-            yield name, literals, names
-        i = max(k, i + 1)
+        inside = frames[-1] if frames else None
+        if kind == "prose":  # a run of words: only its first one can be a value
+            if waiting:
+                word = value.split(" ", 1)[0]
+                yield name, start, start + len(word), word
+            name, waiting = None, False
+            continue
+        after = peek(0)
+        is_name = kind in ("string", "bare") and _NAME.match(value)
+        if is_name and after[1] in _ASSIGNS and after[0] == "op":
+            tight = kind == "bare" and waiting and by != "line" and after[2] == end and peek(1)[2] == after[3]
+            if waiting and by == ":" and after[1] == "=" and not tight:  # an annotated name
+                ahead.pop(0)
+                by = "="
+                continue
+            if not tight:
+                ahead.pop(0)
+                name, waiting, by = value, True, after[1]
+                if after[1] == ":" and peek(0)[1] in ("|", ">", "|-", ">-", "|+", ">+") and (peek(1)[0] == "line" or (peek(1)[0] == "bare" and peek(1)[1] in "+-" and peek(2)[0] == "line")):
+                    spans, skip = _block(text, text.find("\n", peek(0)[3]) + 1)
+                    for a, b in spans:
+                        yield name, a, b, None
+                    name, waiting = None, False
+                continue
+        if kind == "op" and value in "([{":
+            frames.append((name if name is not None else inside) if value != "{" else None)
+            name, waiting = (frames[-1], frames[-1] is not None)
+            by = value
+        elif kind == "op" and value in ")]}":
+            if frames:
+                frames.pop()
+            name, waiting = None, False
+        elif kind == "op" and value in (",", ";"):
+            name, waiting = inside, inside is not None
+            by = value
+        elif kind == "op" and value == "+":
+            waiting = name is not None
+        elif kind == "op":
+            name, waiting = None, False
+        elif kind == "string":
+            if waiting:
+                yield name, start, end, None
+            waiting = False
+        elif kind == "bare":
+            if waiting:
+                while peek(0)[2] == end and (peek(0)[0] == "bare" or peek(0)[1] in (":", "=", "+", "==", "::", "=>")):
+                    end = ahead.pop(0)[3]  # one literal up to the next blank, quote, comma or bracket
+                whole = text[start:end]
+                words = whole.split("+")
+                if all(_NAME.match(x) for x in words):
+                    at = start
+                    for x in words:
+                        yield name, at, at + len(x), x
+                        at += len(x) + 1
+                else:
+                    yield name, start, end, None
+            waiting = False
 
 
 def literals(text: str) -> list[tuple[int, int, float]]:
     """Literals that are bound to sensitive names, by themselves or through other names."""
+    out = []
+    if "PRIVATE KEY-----" in text:
+        begins = [m.start() for m in _BEGIN.finditer(text)]
+        for m in _END.finditer(text):
+            k = bisect_right(begins, m.start()) - 1
+            if k >= 0 and (not out or begins[k] >= out[-1][1]):
+                out.append((begins[k], m.end(), 1.0))
     if "=" not in text and ":" not in text:
-        return []
-    bound: dict[str, set[tuple[int, int]]] = {}
-    links: dict[str, set[str]] = {}
-    bare: list[tuple[str, tuple[int, int, str]]] = []
-    for m in _LINE.finditer(text):
-        for name, spans, names in _pairs(m.group(), m.start()):
-            own = bound.setdefault(name, set())
-            for s in spans:
-                own.add(s) if len(s) == 2 else bare.append((name, s))
-            links.setdefault(name, set()).update(names)
-    for name, (a, b, word) in bare:
-        if word not in bound:
-            bound[name].add((a, b))
+        return out
+    bound: dict[str, list[tuple[int, int]]] = {}
+    links: dict[str, list[str]] = {}
+    bare: list[tuple[str, int, int, str]] = []
+    for name, a, b, word in _bindings(text):
+        own = bound.setdefault(name, [])
+        if word is None:
+            own.append((a, b))
+        else:
+            bare.append((name, a, b, word))
+    for name, a, b, word in bare:
+        if word in bound and word != name:
+            links.setdefault(name, []).append(word)
+        else:  # a bare word that names no constant is a literal
+            bound[name].append((a, b))
     best: dict[tuple[int, int], float] = {}
-    for target in bound:
-        score = name_score(target)
+    seen: set[str] = set()
+    for score, target in sorted(((name_score(x), x) for x in bound), key=lambda x: (-x[0], x[1])):
         if score <= 0:
+            break
+        if target in seen:  # it was reached from a name that is no less sensitive
             continue
-        seen, todo = {target}, [target]
+        seen.add(target)
+        todo = [target]
         while todo:
             name = todo.pop()
-            for span in bound.get(name, ()):
-                best[span] = max(best.get(span, 0.0), score)
+            for span in bound[name]:
+                best.setdefault(span, score)
             for other in links.get(name, ()):
-                if other in bound and other not in seen:
+                if other not in seen:
                     seen.add(other)
                     todo.append(other)
-    out = []
     for (a, b), score in best.items():
-        total = 0.6 * score + 0.4 * literal_score(text[a:b]) if literal_score(text[a:b]) > 0.3 else 0.0
+        random = literal_score(text[a:b])
+        total = 0.6 * score + 0.4 * random if random > 0.3 else 0.0
         if total >= THRESHOLD:
             out.append((a, b, round(total, 4)))
     return sorted(out)
@@ -177,10 +295,18 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
 def scan(text: str) -> list[tuple[int, int, int, int, int]]:
     """All spans of a text: the base ones, and literals that no base span overlaps."""
     spans = base_spans(text)
+    starts, ends = [], []  # the base spans' union, in order
+    for s, e, *_ in spans:
+        if starts and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s), ends.append(e)
+    added = []
     for a, b, _ in literals(text):
-        if not any(s < b and a < e for s, e, *_ in spans):
-            spans.append((a, b, 3, a, b))
-    return sorted(spans, key=lambda x: (x[0], x[2]))
+        k = bisect_left(starts, b) - 1  # the last one that begins before the literal ends
+        if k < 0 or ends[k] <= a:
+            added.append((a, b, 3, a, b))
+    return sorted(spans + added, key=lambda x: (x[0], x[2]))
 
 
 SECRET = T.StructType(

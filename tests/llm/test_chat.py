@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import numpy as np
 from tessera.llm import chat, queries
@@ -31,9 +32,18 @@ def test_viterbi_is_the_best_of_all_paths():
 def test_markers():
     assert [f[0] for _, f in chat.split_lines("User: hi\n\n**Assistant:** yes\n[System] x\nbare?")] == [1, 2, 0, chat.NONE]
     assert chat.strip_marker("### Human: hello") == "hello"
+    assert [chat.strip_marker(x) for x in ("[user] a", "<|assistant|> b", "**Q** - c", "(bot): d", "agent smith", "a b", "AI> e", "  Answer:f")] == ["a", "b", "c", "d", "agent smith", "a b", "e", "f"]
     assert chat.render("user", ["Q: what?", "more"]) == "<|user|>\nwhat?\nmore\n<|end|>\n"
 
 
+def test_long_lines_take_linear_time():
+    n = 1_000_000
+    for text in (" " * n + "x", "#" * n + "user", "user" + " " * n, "user" + "] " * n + "x", " \t" * n + "\n" + "a " * n, "* " * n + "\n" * n):
+        start = time.perf_counter()
+        chat.split_lines(text)
+        assert time.perf_counter() - start < 5
+
+
 def conversation(n):
     who = ["User", "Assistant"]
     return [(1, i, f"{who[i % 2]}: line {i}{'?' if i % 2 == 0 else ''}\nmore {i}") for i in range(n)]
@@ -42,14 +52,16 @@ def conversation(n):
 def test_chunks_agree_with_whole_conversations(spark):
     rows = [*conversation(40), (2, -3, "hi there?"), (2, 5, "sure\n\nBot: yes"), (2, 5, "other"), (2, 5, "other"), (3, 0, None), (3, 1, ""), (None, 1, "x"), (4, None, "x")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, text string")
-    key = lambda r: (r.conv, r.turn, r.copies, r.line, r.text)
+    key = lambda r: str((r.conv, r.turn, r.copies, r.line, r.text))
     whole = sorted(chat.format_chats(turns).collect(), key=key)
     assert whole == sorted(chat.format_chats(turns, chunk_turns=2, fan=2).collect(), key=key)
-    first = [r for r in whole if r.conv == 1]
+    first = sorted((r for r in whole if r.conv == 1), key=lambda r: r.turn)
     assert [r.role for r in first] == ["user", "assistant"] * 20 and all(r.begins for r in first)
     assert first[0].text == "<|user|>\nline 0?\nmore 0\n<|end|>\n"
     assert sum(r.copies for r in whole if r.conv == 2 and "other" in r.text) == 2
-    assert {r.conv for r in whole} == {1, 2}
+    assert {r.conv for r in whole} == {1, 2, 4, None}
+    assert [(r.turn, r.copies, r.line) for r in whole if r.conv == 4] == [(None, 1, 0)]
+    assert [(r.turn, r.copies, r.text) for r in whole if r.conv is None] == [(1, 1, chat.render("system", ["x"]))]
 
 
 def test_large_blocks_agree_with_whole_ones(spark, monkeypatch):
@@ -61,7 +73,7 @@ def test_large_blocks_agree_with_whole_ones(spark, monkeypatch):
     whole = sorted(chat.format_chats(turns).collect(), key=key)
     monkeypatch.setattr(chat, "MOST_ROWS", 8)
     assert sorted(chat.format_chats(turns, fan=4).collect(), key=key) == whole
-    subs = chat._chunks(turns, "conv_id", "turn", "text", chat.CHUNK_TURNS).collect()
+    subs = chat._chunks(turns.withColumnRenamed("conv_id", "conv"), chat.CHUNK_TURNS).collect()
     order = [(r.turn, r.h) for c in sorted((c for c in subs if c.conv == 1), key=lambda c: (c.block, c.sub)) for r in c.rows]
     assert order == sorted(order) and max(len(c.rows) for c in subs) <= 16
 

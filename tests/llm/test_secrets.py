@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,6 +48,57 @@ def test_assignments():
     assert secrets.literals('"unclosed = \'x\n= = : :') == []
 
 
+def test_syntax_of_sources_and_configurations():
+    key = "zX81-kdP0q7"
+    for text in (
+        f'endpoint: https://host/v1, signing_key: "{key}"',
+        f"db_pwd =\n    '{key}'",
+        f"signing_key:\n  {key}\nother: x",
+        f'client_auth = os.environ.get("NAME", "{key}")',
+        f'bearer_tokens = [\n  "{key}",\n  "x",\n]',
+        f'login(user="bob", pwd="{key}")',
+        f'{{"auth_key": ["a", "{key}"]}}',
+        f'credentials = """{key}"""',
+        f"signing_key: |\n  {key}\nnext: 1",
+        f"auth_key: >-\n\n    {key}",
+        f"don't stop, auth_key = '{key}' isn't it",
+        f'x = "{key}"; auth_key = "Bearer" + x',
+        f"see https://a.b/c # not a comment? pwd=zz\nsigning_key={key}",
+    ):
+        assert key in added(text), text
+    assert added("auth_key = QmFzZTY0+abc/def==") == ["QmFzZTY0+abc/def=="]
+    assert added("auth_key = (\n\nmuch later 'zX81-kdP0q7'") == []  # a blank line ends what was left open
+    assert added(f'# auth_key = "{key}"\n// auth_key = "{key}"') == []
+    armour = "-----BEGIN RSA PRIVATE KEY-----\nMIIEpAIB\n-----END RSA PRIVATE KEY-----"
+    assert added("-----BEGIN EC PRIVATE KEY-----\n" + armour + " x " + armour) == [armour, armour]
+
+
+def test_time_is_linear():
+    def took(text):
+        start = time.perf_counter()
+        secrets.scan(text)
+        return time.perf_counter() - start
+
+    n = 1_000_000
+    texts = {
+        "one line of code": "var a={b:1,c:'x'};" * (n // 18),
+        "no assignments but one": "a" * n + "\nb = c",
+        "words": "lorem ipsum " * (n // 12) + "\nb = c",
+        "open quotes": "x = " + '"\\' * (n // 2),
+        "single quotes": "x = " + "' \" " * (n // 4),
+        "triple quotes": "x = " + '"\"" ' * (n // 4),
+        "blanks": "password" + " " * n + "x\n" + " \t" * n,
+        "brackets": "x = " + "([{" * (n // 3),
+        "chain": "password = a0\n" + "".join(f"a{i} = a{i + 1}\n" for i in range(n // 16)),
+        "names": "".join(f"key{i} = 'v{i}xQ9'\n" for i in range(n // 20)),
+        "armour": "-----BEGIN PRIVATE KEY-----x=" * (n // 30),
+        "blocks": "a: |\n  b\n" * (n // 10),
+        "base": "token=abcdef1 " * (n // 14),
+    }
+    for name, text in texts.items():
+        assert took(text) < 8, name
+
+
 def test_cycles_end():
     assert secrets.literals("password = a\na = b\nb = a") == []
 
