@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -55,6 +57,68 @@ def test_damage():
     assert [k for k, _, _ in boxes(media)] == [b"ftyp", b"moov", b"mdat"]
 
 
+def _track(*tables: bytes, number: int = 1) -> bytes:
+    tkhd = _full(b"tkhd", 3, struct.pack(">IIIII", 0, 0, number, 0, 0), bytes(60))
+    mdhd = _full(b"mdhd", 0, struct.pack(">IIIIHH", 0, 0, 10, 0, 0, 0))
+    return _box(b"trak", tkhd, _box(b"mdia", mdhd, _full(b"hdlr", 0, bytes(4), b"vide", bytes(12), b"\0"), _box(b"minf", _box(b"stbl", *tables))))
+
+
+def test_fragments():
+    """Two fragments: sizes in the run, then defaults; the first sample of each is a keyframe."""
+    stsd = _full(b"stsd", 0, struct.pack(">I", 1), _box(b"avc1", bytes(78)))
+    empty = [_full(k, 0, struct.pack(">I", 0)) for k in (b"stts", b"stsc", b"stco")] + [_full(b"stsz", 0, struct.pack(">II", 0, 0))]
+    trex = _full(b"trex", 0, struct.pack(">5I", 7, 1, 5, 3, isomedia.NO_KEYFRAME))
+    moov = _box(b"moov", _track(stsd, *empty, number=7), _box(b"mvex", trex))
+
+    def moof(offset: int, flags: int, *rest: bytes) -> bytes:
+        trun = _full(b"trun", flags | 5, rest[0], struct.pack(">iI", offset, 0), *rest[1:])
+        return _box(b"moof", _full(b"mfhd", 0, bytes(4)), _box(b"traf", _full(b"tfhd", 0x20000, struct.pack(">I", 7)), trun))
+
+    one = lambda at: moof(at, 0x300, struct.pack(">I", 2), struct.pack(">IIII", 4, 2, 6, 4))
+    two = lambda at: moof(at, 0, struct.pack(">I", 3))
+    media = moov + one(len(one(0)) + 8) + _box(b"mdat", b"aabbbb") + two(len(two(0)) + 8) + _box(b"mdat", b"cccdddeee")
+    [track] = index(media)
+    assert read_payload(media) == b"aabbbbcccdddeee" and (track.codec, track.length()) == ("avc1", (4 + 6 + 3 * 5) * 100)
+    assert [media[a:b] for a, b in track.samples()] == [b"aa", b"bbbb", b"ccc", b"ddd", b"eee"]
+    keys = track.keyframes()
+    assert len(keys) == 2 and media[slice(*keys[0])] == b"aabbbb" and media[slice(*keys[1])] == b"cccdddeee"
+
+
+def test_compact_sizes():
+    for bits, packed in ((4, b"\x12\x30"), (8, b"\x01\x02\x03"), (16, b"\0\x01\0\x02\0\x03")):
+        tables = [_full(b"stz2", 0, struct.pack(">II", bits, 3), packed), _full(b"stsc", 0, struct.pack(">IIII", 1, 1, 3, 1)), _full(b"stco", 0, struct.pack(">II", 1, 8))]
+        media = _box(b"mdat", b"abbccc") + _box(b"moov", _track(*tables))
+        assert [media[a:b] for a, b in index(media)[0].samples()] == [b"a", b"bb", b"ccc"]
+
+
+def test_hostile_files_cost_little(spark):
+    deep = b""
+    for _ in range(20_000):
+        deep = struct.pack(">I4s", len(deep) + 8, b"moov") + deep if len(deep) < 4000 else deep
+    nested = b"".join(struct.pack(">I4s", (100_000 - k) * 8, b"moov") for k in range(100_000))
+    huge = lambda kind, *x: _box(b"moov", _track(_full(kind, 0, struct.pack(f">{len(x)}I", *x))))
+    bad = [deep, nested, huge(b"stsz", 1, 0xFFFFFFFF), huge(b"stsz", 0, 0xFFFFFFFF), huge(b"stz2", 4, 0xFFFFFFFF), huge(b"stts", 0xFFFFFFFF), huge(b"stsc", 0xFFFFFFFF), huge(b"co64", 0xFFFFFFFF), huge(b"co64", 1, 0xFFFFFFFF, 0xFFFFFFFF)]
+    bad.append(_box(b"moov", _track(_full(b"stts", 0, struct.pack(">III", 1, 0xFFFFFFFF, 0xFFFFFFFF) * 1))) + _box(b"moof", _box(b"traf", _full(b"tfhd", 0, struct.pack(">I", 1)), _full(b"trun", 0, struct.pack(">I", 0xFFFFFFFF)))))
+    table = [_full(b"stsz", 0, struct.pack(">II", 1, 2)), _full(b"stsc", 0, struct.pack(">IIII", 1, 1, 2, 1)), _full(b"stco", 0, struct.pack(">II", 1, 8))]
+    bad.append(_box(b"moov", _track(*table, _full(b"stss", 0, struct.pack(">III", 2, 2, 0)))))
+    start = time.perf_counter()
+    for data in bad:
+        assert isomedia._describe(data)[-1], data[:60]
+    assert time.perf_counter() - start < 5
+    rng = random.Random(5)
+    good = write(pad(b"payload" * 300))
+    for _ in range(400):  # any damage is told, or does not matter
+        data = bytearray(good[: rng.randrange(len(good))] if rng.random() < 0.2 else good)
+        for _ in range(rng.randrange(1, 6)):
+            if data:
+                data[rng.randrange(min(len(data), 700))] = rng.randrange(256)
+        row = isomedia._describe(bytes(data))
+        assert row[-1] is not None or row[4] >= 0
+    files = spark.createDataFrame([(1, None), (2, bytes(bad[2])), (3, good)], "id int, media binary")
+    got = {r.id: r.payload_bytes for r in isomedia.digest_payload(files).collect()}
+    assert got == {1: None, 2: None, 3: len(pad(b"payload" * 300))}
+
+
 def test_query(spark, tmp_path):
     rows = [(1, "é" * 400), (2, None), (3, ""), (4, "x" * 300_000), (4, "x" * 300_000), (None, "y")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
