@@ -18,8 +18,8 @@ from tessera.session import stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dictionaries = langid.learn(docs.where(~langid.held_out()))
-    return langid.classify(docs, dictionaries).where("not rejected").select(*docs.columns)
+    model = langid.learn(docs.where(~langid.held_out()))
+    return langid.classify(docs, model).where("not rejected").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
