@@ -150,6 +150,25 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8_url_filter decides by rules alone, for the SQL."""
+    return op8_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+URL_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+s AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+rules(rule, verdict, host, path) AS (VALUES ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'),
+  ('www.example.com/en/', 'allow', 'www.example.com', '/en/'), ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')),
+fits AS (
+  SELECT s.page_id AS page_id, s.host AS host, s.path AS path, r.rule AS rule, r.verdict AS verdict
+  FROM s LEFT JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
+)
+SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM fits GROUP BY page_id, host, path
+"""
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -164,6 +183,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def secret_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed patterns' matches of op10_secret_scan, counted, for the SQL."""
+    return op10_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+SECRET_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT doc_id,
+    regexp_extract_all(t, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) AS assign,
+    regexp_extract_all(t, 'AKIA[A-Z0-9]+') AS access, regexp_extract_all(t, '[0-9a-f]+') AS hex
+  FROM d
+)
+SELECT doc_id, CAST(len(list_filter(assign, lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+       CAST(len(list_filter(access, lambda x: length(x) >= 20)) AS BIGINT) AS n_access, CAST(len(list_filter(hex, lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
+FROM m
+"""
+
 OP3_SQL = r"""
 WITH RECURSIVE lines AS (
   SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l FROM (SELECT doc_id, string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS l FROM documents WHERE text IS NOT NULL)
@@ -221,10 +258,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "paragraph_repeats": paragraph_repeats,
     "passage_repeats": passage_repeats,
+    "url_rules": url_rules,
+    "secret_patterns": secret_patterns,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
     "paragraph_repeats": OP3_SQL,
     "passage_repeats": PASSAGE_SQL,
+    "url_rules": URL_SQL,
+    "secret_patterns": SECRET_SQL,
     "op6_minhash_near_dedup": OP6_SQL,
 }

@@ -1,13 +1,17 @@
 """URL filters: host and path rules first, then logistic regression on hashed character n-grams.
 
+The model is fit on a small table of labelled URLs, ``labelled_urls.tsv`` beside this module, or on a given one.
+
 Null URLs, and URLs without ``://``, have an empty host and path; no rule fits them and the model judges
 them by its bias. With an empty labelled table, or labels of one kind only, the model allows everything that
-no rule decides. Repeated rows are judged alike. A column of the input that bears the name of an output
-column is replaced.
+no rule decides. Repeated rows are judged alike, very long URLs are read whole, and an empty table gives no
+rows. A column of the input that bears the name of an output column is replaced.
 """
 
 from __future__ import annotations
 
+import os
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,22 +29,15 @@ SAMPLE_URLS = 1024
 
 
 #: A URL is blocked above this score. Hosts of words that the table does not know score about one half.
-BLOCK_ABOVE = 0.7
-#: Words of hosts in the labelled table.
-BLOCKED_WORDS = ("casino", "poker", "bets", "jackpot", "lottery", "pills", "pharmacy", "meds", "adult", "porn", "xxx", "escorts", "spam", "ads", "adserver", "tracker", "clicks", "loans", "payday", "replica", "torrents", "warez", "crack", "hack")
-ALLOWED_WORDS = ("news", "wiki", "library", "school", "museum", "weather", "recipes", "science", "travel", "garden", "music", "history", "city", "health", "books", "maps", "sports", "forum", "docs", "theatre", "family", "mail", "radio", "law")
+BLOCK_ABOVE = 0.65
+TABLE = os.path.join(os.path.dirname(os.path.abspath(__file__)), "labelled_urls.tsv")
 
 
-def labelled_urls() -> list[tuple[str, bool]]:
-    """The small labelled table: each word in four hosts; everything else is alike for both labels."""
-    out = []
-    for i in range(len(BLOCKED_WORDS)):
-        for word, blocked in ((BLOCKED_WORDS[i], True), (ALLOWED_WORDS[i], False)):
-            for k, host in enumerate((word, f"www.{word}-online", f"blog.free-{word}.example", f"m.{word}-world.example")):
-                place = i + k
-                path = ("/", "/en/12", "/de/345.html", "/fr/6?page=2", "/es/78/")[place % 5]
-                out.append((f"https://{host}.{('com', 'org', 'net')[place % 3]}{path}", blocked))
-    return out
+def labelled_urls(path: str = TABLE) -> list[tuple[str, bool]]:
+    """The small labelled table: URLs, and whether they are to be blocked. It is read by the driver."""
+    with open(path, encoding="utf-8") as f:
+        rows = [line.rstrip("\n").split("\t") for line in f][1:]
+    return [(url, verdict == "block") for verdict, url in rows]
 
 
 @dataclass(frozen=True)
@@ -66,6 +63,15 @@ def split(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, UPPER, LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
+_LOWERED = str.maketrans(UPPER, LOWER)
+
+
+def parts(url: str) -> tuple[str, str]:
+    """Host and path of a URL of the labelled table, which the driver reads."""
+    host, path = re.match(r"([^/?#]*)([^?#]*)", url.partition("://")[2]).groups()
+    return host.translate(_LOWERED), path
+
+
 def match(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """Text and verdict of the longest rule that fits, else null. ``rules`` is a short list."""
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -140,7 +146,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None
     """``pages`` with host, path, rule, block_score and verdict.
 
     ``labelled`` has url and verdict (allow or block); the model is fit on a bounded sample of it. By
-    default it is fit on the small table of this module.
+    default it is fit on the small table beside this module.
     """
     host, path = split(F.col(url))
     taken = {"host", "path", "rule", "verdict", "block_score"}
@@ -148,9 +154,10 @@ def filter_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None
     rule, verdict = match(F.col("host"), F.col("path"), rules)
     judged = split_up.withColumn("rule", rule).withColumn("verdict", verdict)
     if labelled is None:
-        labelled = pages.sparkSession.createDataFrame([(u, "block" if b else "allow") for u, b in labelled_urls()], "url string, verdict string")
-    h, p = split(F.col("url"))
-    known = sample(labelled.where("verdict in ('allow', 'block')").select(h.alias("host"), p.alias("path"), "verdict"))
+        known = sorted({(*parts(u), b) for u, b in labelled_urls()})
+    else:
+        h, p = split(F.col("url"))
+        known = sample(labelled.where("verdict in ('allow', 'block')").select(h.alias("host"), p.alias("path"), "verdict"))
     model = fit(*(list(x) for x in zip(*known, strict=True))) if known else fit([], [], [])
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
