@@ -19,7 +19,7 @@ from tessera.errors import TesseraError
 from tessera.functions.expr import Aggregate, Expr, Field, aggregates, children, fields, required_fields
 from tessera.operators.query import Query, Source, table_of
 from tessera.plans.columns import Val, aggregate, aggregate_type, column, comparable, condition, equal
-from tessera.sources.tables import NULLS, RecordTable
+from tessera.sources.tables import KEYS_OF_MIXED, NULLS, RecordTable
 
 SEP = "␟"
 
@@ -74,7 +74,8 @@ class _Aliases:
         null = None
         if t.has_nulls and f.name != "id":
             null = F.coalesce(F.array_contains(F.col(f"`{f.alias}{SEP}{NULLS}`"), f.name), F.lit(False))
-        return Val(F.col(f"`{_name(f)}`"), kind, null)
+        key = t.mixed(f.name, F.col(f"`{f.alias}{SEP}{KEYS_OF_MIXED}`")) if t.has_keys else None
+        return Val(F.col(f"`{_name(f)}`"), kind, null, key)
 
     def unified(self, f: Field) -> Val:
         """A field's value: that of any field it was equated with, if its own alias is absent."""
@@ -85,7 +86,8 @@ class _Aliases:
         mates = [self.own(m) for m in mates if comparable(own, self.own(m)) and self.own(m).family == own.family]
         if not mates:
             return own
-        return Val(F.coalesce(own.col, *[m.col for m in mates]), own.kind, own.null)
+        keys = [m.as_key() for m in (own, *mates)] if any(m.key is not None for m in (own, *mates)) else None
+        return Val(F.coalesce(own.col, *[m.col for m in mates]), own.kind, own.null, F.coalesce(*keys) if keys else None)
 
 
 def _needed(q: Query, aliases: _Aliases) -> dict[str, set[str]]:
@@ -161,6 +163,8 @@ class _Plan:
         cols = [t.value(n).alias(f"{s.alias}{SEP}{n}") for n in names]
         if t.has_nulls:
             cols.append(F.col(NULLS).alias(f"{s.alias}{SEP}{NULLS}"))
+        if t.has_keys:
+            cols.append(F.col(KEYS_OF_MIXED).alias(f"{s.alias}{SEP}{KEYS_OF_MIXED}"))
         return t.df.select(*cols, F.lit(True).alias(_present(s.alias)))
 
     def gate(self, alias: str) -> list[Column]:

@@ -19,16 +19,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tessera.errors import TesseraError
 from tessera.functions.expr import Aggregate, Expr, Field
+from tessera.sources.tables import key_text
 from tessera.values import MISSING
 
 
 @dataclass(frozen=True)
 class Val:
-    """A column with its Spark type and, for fields that can hold one, the mark of an explicit null."""
+    """A column with its Spark type and, for fields that can hold one, the mark of an explicit null.
+
+    A text whose stored values may be of other types has ``key``: the equality key of such a value, else null.
+    """
 
     col: Column
     kind: T.DataType
     null: Column | None = None
+    key: Column | None = None
+
+    def as_key(self) -> Column:
+        plain = key_text(self.col, self.kind)
+        return plain if self.key is None else F.coalesce(self.key, plain)
+
+    def like(self, other: Val) -> Val:
+        """A value of unknown type as one of another's type; missing where it is of a third."""
+        if self.key is None or other.key is not None or other.family == "null":
+            return self
+        own = F.coalesce(self.key, F.lit("s:"))
+        marks = {"number": ("n:", "double", DOUBLE), "boolean": ("b:", "boolean", BOOL), "time": ("n:", "timestamp", T.TimestampType()), "string": ("s:", "string", STR)}
+        if other.family not in marks:
+            return Val(F.lit(None), T.NullType())
+        mark, name, kind = marks[other.family]
+        return Val(F.when(F.startswith(own, F.lit(mark)), self.col.try_cast(name)), kind, self.null)
 
     @property
     def family(self) -> str:
@@ -99,6 +119,8 @@ def literal(value: Any) -> Val:
 
 def comparable(a: Val, b: Val) -> tuple[Column, Column] | None:
     """The two values as they compare with each other, or None if their types never do."""
+    if (a.key is not None or b.key is not None) and "null" not in (a.family, b.family):
+        return a.as_key(), b.as_key()
     if a.family == b.family and a.family != "null":
         return a.col, b.col
     if {a.family, b.family} == {"number", "time"}:
@@ -119,6 +141,7 @@ def equal(a: Val, b: Val) -> Column:
 
 
 def _ordered(op: str, a: Val, b: Val) -> Column:
+    a, b = a.like(b), b.like(a)
     pair = comparable(a, b)
     if pair is None:
         return F.lit(False)
@@ -210,6 +233,10 @@ def _arithmetic(op: str, a: Val, b: Val) -> Val:
         return Val(F.lit(None).cast("double"), DOUBLE)
     x, y = a.col, b.col
     if op == "divide":
+        if any(isinstance(v.kind, T.DecimalType) and not v.kind.scale for v in (a, b)) and all(isinstance(v.kind, (T.IntegralType, T.DecimalType)) for v in (a, b)):
+            wide = T.DecimalType(38, 0)  # large integers divide to a whole number, towards zero
+            zero = y.cast(wide) == 0
+            return Val(F.when(~zero, (x.cast(wide) - F.try_mod(x.cast(wide), y.cast(wide))) / F.when(~zero, y.cast(wide))).cast(wide), wide)
         return Val(F.try_divide(x.cast("double"), y.cast("double")), DOUBLE)
     out = {"add": F.try_add, "subtract": F.try_subtract, "multiply": F.try_multiply}[op]
     whole = isinstance(a.kind, T.IntegralType) and isinstance(b.kind, T.IntegralType)
@@ -294,6 +321,8 @@ def condition(node: Any, env: Env) -> Column:
         return out
     if isinstance(node, Expr) and node.op in ("eq", "gt", "gte", "lt", "lte"):
         a, b = (column(x, env) for x in node.args)
+        if node.op != "eq":
+            a, b = a.like(b), b.like(a)
         pair = comparable(a, b)
         given = [x for x in node.args if not isinstance(x, (Field, Expr, Aggregate))]
         if pair and not a.fractional and not b.fractional or pair and given and all(isinstance(x, (int, float)) and x == x for x in given):
@@ -309,7 +338,7 @@ def condition(node: Any, env: Env) -> Column:
                 return out
     if isinstance(node, Expr) and node.op == "in_array" and isinstance(node.args[1], tuple):
         needle, values = column(node.args[0], env), [literal(v) for v in node.args[1]]
-        if values and all(v.family == needle.family and v.family in ("string", "number") for v in values) and needle.null is None:
+        if values and all(v.family == needle.family and v.family in ("string", "number") for v in values) and needle.null is None and needle.key is None:
             return needle.col.isin(list(node.args[1]))
     if isinstance(node, Expr) and node.op in ("starts_with", "ends_with"):
         a, b = (column(x, env) for x in node.args)

@@ -100,7 +100,7 @@ class Engine:
                 if is_variable(value) and value not in out:
                     out[value] = Val(F.lit(None).cast("string"), T.StringType())
                 continue
-            v = Val(table.value(attr), kind, table.null(attr))
+            v = Val(table.value(attr), kind, table.null(attr), table.mixed(attr))
             tests.append(~v.is_missing())
             if not is_variable(value):
                 tests.append(equal(v, literal(value)) if value is None or table.has_nulls else _equal_filter(v, literal(value)))
@@ -111,13 +111,15 @@ class Engine:
         names = dict.fromkeys(out, True)
         for _, attr, value in optional:
             kind = table.kind(attr) or T.StringType()
-            out[value] = Val(table.value(attr) if table.kind(attr) is not None else F.lit(None).cast("string"), kind)
+            known = table.kind(attr) is not None
+            out[value] = Val(table.value(attr) if known else F.lit(None).cast("string"), kind, key=table.mixed(attr) if known else None)
             names[value] = False
         df = table.df
         if tests:
             df = df.where(reduce(lambda a, b: a & b, tests))
-        df = df.select(*[v.col.alias(_c(n)) for n, v in out.items()])
-        return Bindings(df, {n: Var(v.kind, names[n]) for n, v in out.items()})
+        keys = {n: v for n, v in out.items() if v.key is not None}
+        df = df.select(*[v.col.alias(_c(n)) for n, v in out.items()], *[v.as_key().alias(_k(n)) for n, v in keys.items()])
+        return Bindings(df, {n: Var(v.kind, names[n], n in keys) for n, v in out.items()})
 
     def _scan(self, pattern: tuple) -> Bindings:
         """One pattern over the tuple view."""

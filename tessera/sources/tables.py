@@ -2,7 +2,8 @@
 
 A record table has a string column ``id`` and one column per attribute (dotted names for nested ones).
 SQL NULL means that the attribute is missing; the optional column ``_nulls`` lists attributes that hold
-an explicit null.
+an explicit null. An attribute whose values have several types is text, and the optional column ``_keys``
+maps it to the equality key of its value.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NULLS = "_nulls"
+#: A map from attributes whose values have several types to the equality keys of their values.
+KEYS_OF_MIXED = "_keys"
 
 
 @dataclass(frozen=True)
@@ -27,7 +30,7 @@ class RecordTable:
 
     @property
     def columns(self) -> list[str]:
-        return [c for c in self.df.columns if c != NULLS and not (c == "id" and self.key is None)]
+        return [c for c in self.df.columns if c not in (NULLS, KEYS_OF_MIXED) and not (c == "id" and self.key is None)]
 
     @property
     def has_nulls(self) -> bool:
@@ -36,6 +39,10 @@ class RecordTable:
     def id(self) -> Column:
         return F.col("id") if self.key is None else self.key
 
+    @property
+    def has_keys(self) -> bool:
+        return KEYS_OF_MIXED in self.df.columns
+
     def kind(self, name: str) -> T.DataType | None:
         """The type of an attribute; None if no record has it."""
         if name in ("id", "_id"):
@@ -51,10 +58,17 @@ class RecordTable:
             return None
         return F.coalesce(F.array_contains(NULLS, name), F.lit(False))
 
+    def mixed(self, name: str, keys: Column | None = None) -> Column | None:
+        """The equality key of an attribute whose values may have several types; null where it is plain."""
+        if not self.has_keys or name in ("id", "_id") or not isinstance(self.kind(name), T.StringType):
+            return None
+        return F.element_at(F.col(KEYS_OF_MIXED) if keys is None else keys, name)
+
     def records(self) -> DataFrame:
         """The table with its id as an ordinary column."""
         own = [F.col(f"`{c}`") for c in self.columns if c != "id"]
-        return self.df.select(self.id().alias("id"), *own, *([F.col(NULLS)] if self.has_nulls else []))
+        marks = [F.col(c) for c in (NULLS, KEYS_OF_MIXED) if c in self.df.columns]
+        return self.df.select(self.id().alias("id"), *own, *marks)
 
 
 def table(path: str, df: DataFrame, key: Iterable[str] | str | None = None, *, keyless: bool = False) -> RecordTable:
@@ -135,7 +149,8 @@ def tuples(source: RecordTable, *, system: bool = True) -> DataFrame:
     for c in names:
         kind, col = frame.schema[c].dataType, F.col(f"`{c}`")
         null = F.array_contains(NULLS, c) if source.has_nulls else F.lit(False)
-        key = F.when(null, F.lit("z")).otherwise(key_text(col, kind))
+        typed = F.coalesce(F.element_at(KEYS_OF_MIXED, c), key_text(col, kind)) if source.has_keys else key_text(col, kind)
+        key = F.when(null, F.lit("z")).otherwise(typed)
         each.append(F.struct(F.lit(c).alias("attr"), display_text(col, kind).alias("text"), key.alias("key")))
     out = frame.select("id", F.explode(F.array(*each)).alias("t")).where("t.key is not null")
     return out.select(F.concat_ws("/", F.lit(ns), F.lit(schema), "id").alias("path"), F.lit(ns).alias("ns"), F.lit(schema).alias("schema"), "id", "t.attr", "t.text", "t.key")

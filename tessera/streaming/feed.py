@@ -1,6 +1,6 @@
 """The change feed as Structured Streaming: an append-only log of events, watched and replayed.
 
-Each commit appends one file of events. A stream over the log is filtered by scope; ``run_live`` re-runs
+Each commit appends one file of events, numbered after the log's last one, also by a process that comes later. A stream over the log is filtered by scope; ``run_live`` re-runs
 a query in ``foreachBatch`` when a batch meets its footprint. Row-level feeds fold the log by record with
 the latest version, batch or streaming alike.
 """
@@ -21,14 +21,23 @@ class ChangeLog:
     """A folder of change events that driver and executors share."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._seq = spark, folder.rstrip("/"), 0
+        self.spark, self.folder, self._seq = spark, folder.rstrip("/"), None
 
     def attach(self, store: Any, scope: str) -> Callable[[], None]:
-        """Log every event of a store in a scope."""
-        return store.watch(scope, lambda e: self.append([e]))
+        """Log every commit of a store in a scope. One process at a time writes a log."""
+        return store.watch_commits(scope, self.append)
+
+    def _last(self) -> int:
+        """The number of the last event that is logged."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return 0
+        return self.replay().agg(F.max("seq")).first()[0] or 0
 
     def append(self, events: list[Any]) -> None:
         rows = []
+        if self._seq is None:
+            self._seq = self._last()
         for e in events:
             self._seq += 1
             rows.append((self._seq, e.type, e.path, "/".join(e.path.split("/")[:2]), list(e.attrs), e.version))
@@ -52,7 +61,7 @@ def scoped(events: DataFrame, scope: str | None) -> DataFrame:
 
 def latest(events: DataFrame) -> DataFrame:
     """The last event of each record; on a stream, with update or complete output."""
-    return events.groupBy("path").agg(F.max_by("type", "seq").alias("type"), F.max("version").alias("version"), F.count("*").alias("changes"))
+    return events.groupBy("path").agg(F.max_by("type", "seq").alias("type"), F.max_by("version", "seq").alias("version"), F.count("*").alias("changes"))
 
 
 def run_live(stream: DataFrame, footprint: set[tuple[str, str]], rerun: Callable[[], None], checkpoint: str):

@@ -23,8 +23,10 @@ def overlaps(footprint: set[tuple[str, str]], changes: set[tuple[str, str]]) ->
     return any((s in (c, "*") or c == "*") and (a in (b, "*") or b == "*") for s, a in footprint for c, b in changes)
 
 
-def _digest(rows: list[dict]) -> str:
-    return hashlib.sha256(json.dumps(rows, default=str, sort_keys=True).encode()).hexdigest()
+def _digest(rows: list[dict], ordered: bool) -> str:
+    """Equal rows have equal digests; their order counts only where the query gives one."""
+    each = [json.dumps(r, default=str, sort_keys=True) for r in rows]
+    return hashlib.sha256("\n".join(each if ordered else sorted(each)).encode()).hexdigest()
 
 
 class LiveQuery:
@@ -83,7 +85,7 @@ class LiveQuery:
     def _run(self) -> None:
         self.runs += 1
         rows = self.rows()
-        self._last = (_digest(rows), rows)
+        self._last = (_digest(rows, bool(self._build().orders)), rows)
 
     def close(self) -> None:
         self._subscribers.clear()
