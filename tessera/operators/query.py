@@ -94,6 +94,7 @@ class Query:
         return replace(self, distinct_=True)
 
     def order_by(self, key: Callable[[Refs], Any], direction: str = "asc") -> Query:
+        """A sort key, after those before it. Records that no key tells apart are in the order of their ids."""
         if direction not in ("asc", "desc"):
             raise TesseraError("INVALID_QUERY", f"no direction {direction}")
         return replace(self, orders=(*self.orders, (key, direction == "desc")))
@@ -105,15 +106,15 @@ class Query:
         return replace(self, limit_=n)
 
     def fn_where(self, test: Callable) -> Query:
-        """A test of joined records as a Spark column: ``lambda row: row.post.views % 2 == 0``."""
+        """A test of joined records as a Spark column: ``lambda row: row.post.views % 2 == 0``, or ``in_python(...)``."""
         return replace(self, fn_wheres=(*self.fn_wheres, test))
 
     def fn_having(self, test: Callable) -> Query:
-        """A test of projected rows as a Spark column."""
+        """A test of projected rows as a Spark column, or ``in_python(...)``."""
         return replace(self, fn_havings=(*self.fn_havings, test))
 
     def fn_select(self, projection: Callable) -> Query:
-        """A last projection: from the row's columns to a dict of columns."""
+        """A last projection: from the row's columns to a dict of columns, or ``in_python(..., type)``."""
         return replace(self, fn_selects=(*self.fn_selects, projection))
 
     def run(self) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tessera.errors import TesseraError
+from tessera.functions.callback import Callback
 from tessera.functions.expr import Aggregate, Expr, Field, aggregates, children, fields, required_fields
 from tessera.operators.query import Query, Source, table_of
 from tessera.plans.columns import Val, aggregate, aggregate_type, column, comparable, condition, equal
@@ -140,6 +141,13 @@ class _Plan:
         self.q, self.a = q, _Aliases(q)
         self.needed = _needed(q, self.a)
         refs = q.refs()
+        templates = [q.projection(refs) if q.projection else None, *[h(refs) for h in q.having_]]
+        #: Aliases whose ids tell rows apart that the sort keys do not.
+        self.ties: list[str] = []
+        if q.orders and q.keys is None and not q.distinct_ and not any(True for _ in aggregates(templates)):
+            self.ties = [a for a, t in self.a.tables.items() if not t.keyless]
+            for a in self.ties:
+                self.needed[a].add("id")
         required = {self.a.plain(f) for c in q.conditions for f in required_fields(c)}
         if q.keys:
             required |= {self.a.plain(f) for f in fields(q.keys(refs))}
@@ -207,17 +215,20 @@ class _Plan:
             left, right = sources
             cond = self.gate(left.alias) + self.gate(right.alias) + self.keys(right.alias, {left.alias}) + [condition(p, self.a.own) for p in self.predicates]
             return self.read(left).join(self.read(right), _both(cond) if cond else F.lit(True), right.kind)
-        # an inner core, and each outer alias's records that are not in it
+        # an inner core, and each outer alias's records that are not in it: a full join by id for each such
+        # alias, so that the core is computed once
         for s in sources:  # the records are told by their ids
             self.needed[s.alias].add("id")
-        core = self.core()
+        out = self.core()
         kept = dict.fromkeys(a for i, s in enumerate(sources) if s.kind in ("right", "full") for a in ([s.alias] if s.kind == "right" else [s.alias, *[x.alias for x in sources[:i]]]))
-        out = core
         for s in sources:
             if s.alias in kept:
-                ids = core.select(F.col(f"`{s.alias}{SEP}id`").alias("__id")).where("__id is not null").distinct()
                 rows = self.read(s)
-                out = out.unionByName(rows.join(ids, rows[f"`{s.alias}{SEP}id`"] == ids["__id"], "left_anti"), allowMissingColumns=True)
+                own = rows.columns
+                rows = rows.select(*[F.col(f"`{c}`").alias(f"{SEP}{c}") for c in own])
+                joined = out.join(rows, F.col(f"`{s.alias}{SEP}id`") == F.col(f"`{SEP}{s.alias}{SEP}id`"), "full")
+                pick = lambda c, own=own: F.coalesce(F.col(f"`{c}`"), F.col(f"`{SEP}{c}`")).alias(c) if c in own else F.col(f"`{c}`")
+                out = joined.select(*[pick(c) for c in out.columns])
         return out
 
     def core(self) -> DataFrame:
@@ -283,7 +294,8 @@ def plan(q: Query) -> DataFrame:
     df = p.joined()
     refs = q.refs()
     for test in q.fn_wheres:
-        df = df.where(test(Row({a: p.struct(a) for a in p.a.tables})))
+        records = {a: p.struct(a) for a in p.a.tables}
+        df = df.where(test.column(records) if isinstance(test, Callback) else test(Row(records)))
     template = q.projection(refs) if q.projection else None
     having = [h(refs) for h in q.having_]
     orders = [(k(refs), desc) for k, desc in q.orders]
@@ -300,27 +312,34 @@ def plan(q: Query) -> DataFrame:
     else:
         rows = _projection(template, value)
     hidden = [value(k).alias(f"{SEP}o{i}") for i, (k, _) in enumerate(orders)]
+    hidden += [F.col(f"`{a}{SEP}id`").alias(f"{SEP}t{i}") for i, a in enumerate(p.ties)]
     test = _both([condition(h, env) for h in having])
     if test is not None:
         df = df.where(test)
     df = df.select(*rows, *hidden)
     visible = [c for c in df.columns if not c.startswith(SEP)]
     for f in q.fn_havings:
-        df = df.where(f(Row({c: F.col(f"`{c}`") for c in visible})))
+        own = {c: F.col(f"`{c}`") for c in visible}
+        df = df.where(f.column(own) if isinstance(f, Callback) else f(Row(own)))
     if q.distinct_:
         if hidden:
             df = df.groupBy(*[F.col(f"`{c}`") for c in visible]).agg(*[F.first(f"`{SEP}o{i}`").alias(f"{SEP}o{i}") for i in range(len(hidden))])
         else:
             df = df.distinct()
     if orders:
-        df = df.orderBy(*[F.col(f"`{SEP}o{i}`").desc_nulls_last() if desc else F.col(f"`{SEP}o{i}`").asc_nulls_last() for i, (_, desc) in enumerate(orders)])
+        df = df.orderBy(*[F.col(f"`{SEP}o{i}`").desc_nulls_last() if desc else F.col(f"`{SEP}o{i}`").asc_nulls_last() for i, (_, desc) in enumerate(orders)], *[F.col(f"`{SEP}t{i}`").asc_nulls_last() for i in range(len(p.ties))])
     if q.offset_:
         df = df.offset(q.offset_)
     if q.limit_ is not None:
         df = df.limit(q.limit_)
     df = df.select(*[F.col(f"`{c}`") for c in visible])
     for f in q.fn_selects:
-        made = f(Row({c: F.col(f"`{c}`") for c in df.columns}))
+        own = {c: F.col(f"`{c}`") for c in df.columns}
+        if isinstance(f, Callback):
+            df = df.select(f.column(own).alias("value"))
+            df = df.select("value.*") if isinstance(f.returns, T.StructType) else df
+            continue
+        made = f(Row(own))
         df = df.select(*[v.alias(k) for k, v in made.items()]) if isinstance(made, dict) else df.select(made.alias("value"))
     return df
 

@@ -3,7 +3,8 @@
 A pattern is ``(path, attr, value)``; a string that begins with ``?`` is a variable. A path is
 ``ns/schema/id``, ``ns/schema/?v`` (binds the id) or ``?v`` (binds the whole path). ``{"opt": pattern}``
 keeps rows without a match, ``{"opt_all": [patterns]}`` a group that matches as a whole or not at all.
-Strings are predicates like ``'?views > 100'``; callables get the variables' columns and give a column.
+Strings are predicates like ``'?views > 100'``; callables get the variables' columns and give a column, and
+``in_python`` wraps one that gets values. Optional groups may hold optional patterns.
 
 Patterns on one path and constant attributes are read as one scan of the wide record table. Variable or
 prefix attributes and bare path variables read the tuple view. A variable that an optional part may have
@@ -12,8 +13,8 @@ left unbound matches anything later: rows with and without it are joined apart,
 
 from __future__ import annotations
 
+import itertools
 import json
-import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -23,12 +24,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tessera.errors import TesseraError
+from tessera.functions.callback import Callback
 from tessera.functions.expr import Expr, Field
 from tessera.plans.columns import Val, comparable, condition, equal, literal
 from tessera.sources.tables import RecordTable, key_text, tuples
 
-_PREDICATE = re.compile(r"\s*(\?[\w.]+)\s*(==|!=|<=|>=|<|>)\s*(.+?)\s*\Z", re.DOTALL)
-_OPS = {"==": "eq", "!=": "ne", "<": "lt", "<=": "lte", ">": "gt", ">=": "gte"}
+_OPS = {"==": "eq", "!=": "ne", "<=": "lte", ">=": "gte", "<": "lt", ">": "gt"}  # the longer ones first
+
+
+def split_predicate(text: str) -> tuple[str, str, str]:
+    """A predicate's variable, operator and right side: ``?name op literal`` or ``?name op ?name``."""
+    rest = text.strip()
+    name = "?" + "".join(itertools.takewhile(lambda c: c.isalnum() or c in "_.", rest[1:]))
+    tail = rest[len(name) :].lstrip()
+    op = next((o for o in _OPS if tail.startswith(o)), "")
+    other = tail[len(op) :].strip()
+    if not rest.startswith("?") or len(name) < 2 or not op or not other:
+        raise TesseraError("INVALID_QUERY", f"no predicate: {text}")
+    return name, op, other
 
 
 def is_variable(x: Any) -> bool:
@@ -186,11 +199,28 @@ class Engine:
             have, lack = right.df.where(F.col(f"`{_c(v)}`").isNotNull()), right.df.where(F.col(f"`{_c(v)}`").isNull())
             sure = Bindings(have, right.vars | {v: Var(right.vars[v].kind, True, right.vars[v].mixed)})
             free = Bindings(lack.drop(_c(v), _k(v)), {k: x for k, x in right.vars.items() if k != v})
-            if how == "left":
-                raise TesseraError("UNSUPPORTED", "an optional group whose own variables may be unbound")
-            parts = [self._join(left, sure, how), self._join(left, free, how)]
+            parts = [self._join(left, sure, "inner"), self._join(left, free, "inner")]
+            if how == "left":  # what neither form of the group matches stays as it is
+                parts.append(Bindings(self._unmatched(left, right), left.vars))
         return Bindings(parts[0].df if len(parts) == 1 else _union(parts, vars_), vars_)
 
+    def _unmatched(self, left: Bindings, right: Bindings) -> DataFrame:
+        """Rows of the left side that no row of the right side is compatible with."""
+        shared = [v for v in right.vars if v in left.vars]
+        unsure = [v for v in shared if not left.vars[v].always or not right.vars[v].always]
+        if not unsure:
+            return self._hash_join(left.df, right.df, left.vars, right.vars, shared, {}, "left_anti")
+        v = unsure[0]
+        if not right.vars[v].always:
+            known = F.col(f"`{_c(v)}`").isNotNull()
+            sure = Bindings(right.df.where(known), right.vars | {v: Var(right.vars[v].kind, True, right.vars[v].mixed)})
+            free = Bindings(right.df.where(~known).drop(_c(v), _k(v)), {k: x for k, x in right.vars.items() if k != v})
+            return self._unmatched(Bindings(self._unmatched(left, sure), left.vars), free)
+        known = F.col(f"`{_c(v)}`").isNotNull()
+        bound = Bindings(left.df.where(known), left.vars | {v: Var(left.vars[v].kind, True, left.vars[v].mixed)})
+        open_ = self._unmatched(Bindings(left.df.where(~known), {k: x for k, x in left.vars.items() if k != v}), right)
+        return self._unmatched(bound, right).unionByName(open_)
+
     def _hash_join(self, left: DataFrame, right: DataFrame, lv: dict[str, Var], rv: dict[str, Var], shared: list[str], out: dict[str, Var], how: str) -> DataFrame:
         on = []
         renamed = right
@@ -211,7 +241,7 @@ class Engine:
         if on:
             joined = left.join(renamed, reduce(lambda a, b: a & b, on), how)
         else:
-            joined = left.crossJoin(renamed) if how == "inner" else left.join(renamed, F.lit(True), "left")
+            joined = left.crossJoin(renamed) if how == "inner" else left.join(renamed, F.lit(True), how)
         return joined.select(*[c for c in joined.columns if not c.startswith(("rv?", "rk?"))])
 
     # --- queries -------------------------------------------------------------------------------
@@ -252,6 +282,8 @@ class Engine:
                 out = self._join(out, inner, "left")
             elif isinstance(clause, str):
                 out = self._predicate(out, clause)
+            elif isinstance(clause, Callback):
+                out = Bindings(out.df.where(clause.column({v[1:]: F.col(f"`{_c(v)}`") for v in out.vars})), out.vars)
             elif callable(clause):
                 cols = {v: F.col(f"`{_c(v)}`") for v in out.vars}
                 out = Bindings(out.df.where(clause(cols)), out.vars)
@@ -260,10 +292,7 @@ class Engine:
         return out
 
     def _predicate(self, b: Bindings, text: str) -> Bindings:
-        m = _PREDICATE.match(text)
-        if not m:
-            raise TesseraError("INVALID_QUERY", f"no predicate: {text}")
-        name, op, other = m.groups()
+        name, op, other = split_predicate(text)
         vals = []
         for x in (name, other):
             if is_variable(x):

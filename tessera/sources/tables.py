@@ -27,6 +27,8 @@ class RecordTable:
     path: str
     df: DataFrame
     key: Column | None = None
+    #: The id is synthetic: it holds within one run only.
+    keyless: bool = False
 
     @property
     def columns(self) -> list[str]:
@@ -77,7 +79,7 @@ def table(path: str, df: DataFrame, key: Iterable[str] | str | None = None, *, k
     A keyless table gets a synthetic id, which is stable only while the input and its partitions are.
     """
     if keyless:
-        return RecordTable(path, df, F.monotonically_increasing_id().cast("string"))
+        return RecordTable(path, df, F.monotonically_increasing_id().cast("string"), keyless=True)
     if key is None:
         return RecordTable(path, df)
     names = [key] if isinstance(key, str) else list(key)

@@ -104,7 +104,7 @@ class LiveQuery:
             return RecordTable(self.path, df.withColumn("id", own.cast("string")).dropDuplicates(["id"]))
         if "id" in df.columns:
             return RecordTable(self.path, df.withColumn("id", F.col("id").cast("string")).dropDuplicates(["id"]))
-        return RecordTable(self.path, df, F.monotonically_increasing_id().cast("string"))
+        return RecordTable(self.path, df, F.monotonically_increasing_id().cast("string"), keyless=True)
 
 
 class LiveHandle:
