@@ -11,34 +11,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tessera.session import stage, unstage
 
-#: A key of at least HOT_ROWS rows may be joined by broadcast, and of such keys the MOST_HOT largest are. Any
-#: other key has at most a share of 1 / MOST_HOT of all rows, so one task can take it.
+#: Of the keys of at least HOT_ROWS rows, the MOST_HOT largest are dealt to several tasks, HOT_ROWS rows each (more
+#: rows each where that took over MOST_PARTS). Any other key has at most a share of 1 / MOST_HOT of all rows.
 HOT_ROWS = 256
 MOST_HOT = 1000
+MOST_PARTS = 4096
 
 
 def split_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], weight: str, how: str = "inner") -> DataFrame:
     """``left`` with the columns of ``right``, which has one row per key and in ``weight`` how many rows it meets.
 
-    Rows of the largest keys are joined by broadcasting those few rows of ``right``, and dealt evenly instead
-    of by their key; the others are joined by key, with an exchange of their own on either side. So no task
-    gets a hot key's rows, whatever share of all rows they are. ``weight`` is not passed on.
+    The largest keys are salted: their rows in ``left`` are dealt to parts by a hash, and their row in ``right``
+    is repeated for each part. So no task gets a hot key's rows, whatever share of all rows they are. Only
+    those keys' hashes and weights reach the driver, MOST_HOT at most. ``weight`` is not passed on.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     columns = [c for c in right.columns if c not in (*keys, weight)]
-    value = F.struct(F.lit(True).alias("__there"), *[F.col(c) for c in columns])
-    hot = right.where(F.col(weight) >= HOT_ROWS).orderBy(F.desc(weight)).limit(MOST_HOT)
-    hot = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys], value.alias("__hot"))
-    marked = left.join(F.broadcast(hot), [F.col(k) == F.col(f"__hot_{k}") for k in keys], "left").drop(*[f"__hot_{k}" for k in keys])
-    own = F.xxhash64(*keys).bitwiseXOR(F.lit(1))
-    spread = F.xxhash64(*[c for c, kind in left.dtypes if not kind.startswith("map")], F.lit(7))
-    marked = marked.withColumn("__deal", F.when(F.col("__hot").isNull(), own).otherwise(spread))
-    cold = right.select(own.alias("__own"), *[F.col(k).alias(f"__cold_{k}") for k in keys], value.alias("__cold"))
-    same = [F.col("__deal") == F.col("__own"), *[F.col(k) == F.col(f"__cold_{k}") for k in keys]]
-    out = marked.join(cold, same, "left").withColumn("__right", F.coalesce("__hot", "__cold"))
-    if how == "inner":
-        out = out.where("__right is not null")
-    return out.select(*left.columns, *[F.col(f"__right.{c}").alias(c) for c in columns])
+    marked = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *columns, F.xxhash64(*keys).alias("__mark"), F.col(weight).alias("__weight"))
+    hot = {r["__mark"]: r["__weight"] for r in marked.where(F.col("__weight") >= HOT_ROWS).orderBy(F.desc("__weight")).limit(MOST_HOT).select("__mark", "__weight").collect()}
+    own, other, mark = F.lit(0).cast("long"), F.array(F.lit(0).cast("long")), F.xxhash64(*keys)
+    if hot:
+        parts = F.create_map(*[F.lit(x).cast("long") for k, w in hot.items() for x in (k, min(-(-w // HOT_ROWS), MOST_PARTS))])
+        salt = F.xxhash64(*[c for c, kind in left.dtypes if not kind.startswith("map")], F.lit(7))
+        own = F.when(mark.isin(list(hot)), F.pmod(salt, F.element_at(parts, mark))).otherwise(own)
+        other = F.when(F.col("__mark").isin(list(hot)), F.sequence(F.lit(0).cast("long"), F.element_at(parts, F.col("__mark")) - 1)).otherwise(other)
+    dealt = marked.withColumn("__part", F.explode(other))
+    same = [mark == F.col("__mark"), own == F.col("__part"), *[F.col(k) == F.col(f"__{k}") for k in keys]]
+    return left.join(dealt, same, how).select(*left.columns, *columns)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -351,7 +351,8 @@ def _links(rows: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
     buckets = stage(_buckets(reps, settings), "buckets")
     members = buckets.groupBy("rep").agg(F.sum("size").alias("weight"))
     signed = stage(reps.join(members, "rep").select("rep", "signature", "weight"), "signed")
-    texts = stage(rows.join(signed.select(F.col("rep").alias("__row")), "__row").select(F.col("__row").alias("rep"), "text"), "texts")
+    # by merge whatever the sizes: few of the texts are asked for, but which ones only grows with the input
+    texts = stage(rows.join(signed.select(F.col("rep").alias("__row")).hint("merge"), "__row").select(F.col("__row").alias("rep"), "text"), "texts")
 
     # all pairs of small buckets, hubs of large ones
     small = buckets.where(F.col("size") <= SMALL_BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("rep", "n_shingles"))).alias("m"))
