@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tessera.errors import TesseraError
 from tessera.functions.expr import Aggregate, Expr, Field
 from tessera.sources.tables import key_text
-from tessera.values import MISSING
+from tessera.values import FLAG, MISSING, NUMBER, TEXT
 
 
 @dataclass(frozen=True)
@@ -43,8 +43,8 @@ class Val:
         """A value of unknown type as one of another's type; missing where it is of a third."""
         if self.key is None or other.key is not None or other.family == "null":
             return self
-        own = F.coalesce(self.key, F.lit("s:"))
-        marks = {"number": ("n:", "double", DOUBLE), "boolean": ("b:", "boolean", BOOL), "time": ("n:", "timestamp", T.TimestampType()), "string": ("s:", "string", STR)}
+        own = F.coalesce(self.key, F.lit(TEXT))
+        marks = {"number": (NUMBER, "double", DOUBLE), "boolean": (FLAG, "boolean", BOOL), "time": (NUMBER, "timestamp", T.TimestampType()), "string": (TEXT, "string", STR)}
         if other.family not in marks:
             return Val(F.lit(None), T.NullType())
         mark, name, kind = marks[other.family]

@@ -28,6 +28,7 @@ from tessera.functions.callback import Callback
 from tessera.functions.expr import Expr, Field
 from tessera.plans.columns import Val, comparable, condition, equal, literal
 from tessera.sources.tables import RecordTable, key_text, tuples
+from tessera.values import NULL, NUMBER, TEXT
 
 _OPS = {"==": "eq", "!=": "ne", "<=": "lte", ">=": "gte", "<": "lt", ">": "gt"}  # the longer ones first
 
@@ -154,11 +155,11 @@ class Engine:
             bound.append((value, F.col("text"), F.col("key")))
         else:
             lit = literal(value)
-            view = view.where(F.col("key") == (F.lit("z") if value is None else key_text(lit.col, lit.kind)))
+            view = view.where(F.col("key") == (F.lit(NULL) if value is None else key_text(lit.col, lit.kind)))
         out: dict[str, tuple[Column, Column | None]] = {}
         for name, col, key in bound:
             if name in out:  # a repeated variable must agree
-                as_key = lambda c, k: F.concat(F.lit("s:"), c) if k is None else k
+                as_key = lambda c, k: F.concat(F.lit(TEXT), c) if k is None else k
                 view = view.where(as_key(*out[name]) == as_key(col, key))
             else:
                 out[name] = (col, key)
@@ -336,7 +337,7 @@ def _as(a: Val, like: Val, name: str) -> Val:
     """Text of a value of unknown type as another value's type; what is of another type compares with nothing."""
     if like.family == "number":
         key = F.col(f"`{_k(name)}`")
-        return Val(F.when(F.startswith(key, F.lit("n:")), a.col.try_cast("double")), T.DoubleType())
+        return Val(F.when(F.startswith(key, F.lit(NUMBER)), a.col.try_cast("double")), T.DoubleType())
     if like.family == "boolean":
         return Val(a.col.try_cast("boolean"), T.BooleanType())
     if like.family == "time":

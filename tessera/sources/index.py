@@ -16,6 +16,7 @@ from tessera.errors import TesseraError
 from tessera.plans.columns import literal
 from tessera.sources.tables import NULLS, RecordTable, key_text, tuples
 from tessera.uri import id_of, parse, schema_of
+from tessera.values import NULL
 
 
 class TupleIndex:
@@ -63,7 +64,7 @@ class TupleIndex:
     def by_value(self, value: Any) -> DataFrame:
         """Tuples of any record that hold a value."""
         v = literal(value)
-        return self.all().where(F.col("key") == (F.lit("z") if value is None else key_text(v.col, v.kind)))
+        return self.all().where(F.col("key") == (F.lit(NULL) if value is None else key_text(v.col, v.kind)))
 
     def by_schema(self, path: str) -> DataFrame:
         return tuples(self._table(path))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tessera.values import BYTES, FLAG, LIST, NULL, NUMBER, OBJECT, TEXT
 
 NULLS = "_nulls"
 #: A map from attributes whose values have several types to the equality keys of their values.
@@ -113,22 +114,22 @@ def load(spark: SparkSession, folder: str, name: str, ns: str = "data") -> Recor
 def key_text(col: Column, kind: T.DataType) -> Column:
     """The equality key of a typed column as text; equal values of any table have equal keys."""
     if isinstance(kind, T.StringType):
-        return F.concat(F.lit("s:"), col)
+        return F.concat(F.lit(TEXT), col)
     if isinstance(kind, T.BooleanType):
-        return F.concat(F.lit("b:"), col.cast("string"))
+        return F.concat(F.lit(FLAG), col.cast("string"))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.concat(F.lit("n:"), F.unix_millis(col.cast("timestamp")).cast("string"))
+        return F.concat(F.lit(NUMBER), F.unix_millis(col.cast("timestamp")).cast("string"))
     if isinstance(kind, T.IntegralType):
-        return F.concat(F.lit("n:"), col.cast("string"))
+        return F.concat(F.lit(NUMBER), col.cast("string"))
     if isinstance(kind, T.NumericType):
         x = col.cast("double")
         whole = (x == F.floor(x)) & (F.abs(x) < 1e18)
-        return F.concat(F.lit("n:"), F.when(whole, x.cast("decimal(38,0)").cast("string")).otherwise(x.cast("string")))
+        return F.concat(F.lit(NUMBER), F.when(whole, x.cast("decimal(38,0)").cast("string")).otherwise(x.cast("string")))
     if isinstance(kind, T.BinaryType):
-        return F.concat(F.lit("x:"), F.lower(F.hex(col)))
+        return F.concat(F.lit(BYTES), F.lower(F.hex(col)))
     if isinstance(kind, T.ArrayType):
-        return F.concat(F.lit("a:"), F.to_json(F.transform(col, lambda x: key_text(x, kind.elementType))))
-    return F.concat(F.lit("j:"), F.to_json(col))
+        return F.concat(F.lit(LIST), F.to_json(F.transform(col, lambda x: key_text(x, kind.elementType))))
+    return F.concat(F.lit(OBJECT), F.to_json(col))
 
 
 def display_text(col: Column, kind: T.DataType) -> Column:
@@ -147,12 +148,12 @@ def tuples(source: RecordTable, *, system: bool = True) -> DataFrame:
     each = []
     names = [c for c in source.columns if c != "id" and (system or not c.startswith("_"))]
     if system:
-        each.append(F.struct(F.lit("_id").alias("attr"), F.col("id").alias("text"), F.concat(F.lit("s:"), F.col("id")).alias("key")))
+        each.append(F.struct(F.lit("_id").alias("attr"), F.col("id").alias("text"), F.concat(F.lit(TEXT), F.col("id")).alias("key")))
     for c in names:
         kind, col = frame.schema[c].dataType, F.col(f"`{c}`")
         null = F.array_contains(NULLS, c) if source.has_nulls else F.lit(False)
         typed = F.coalesce(F.element_at(KEYS_OF_MIXED, c), key_text(col, kind)) if source.has_keys else key_text(col, kind)
-        key = F.when(null, F.lit("z")).otherwise(typed)
+        key = F.when(null, F.lit(NULL)).otherwise(typed)
         each.append(F.struct(F.lit(c).alias("attr"), display_text(col, kind).alias("text"), key.alias("key")))
     out = frame.select("id", F.explode(F.array(*each)).alias("t")).where("t.key is not null")
     return out.select(F.concat_ws("/", F.lit(ns), F.lit(schema), "id").alias("path"), F.lit(ns).alias("ns"), F.lit(schema).alias("schema"), "id", "t.attr", "t.text", "t.key")

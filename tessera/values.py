@@ -6,6 +6,7 @@ import base64
 import json
 import math
 import re
+from collections.abc import Callable
 from datetime import UTC, datetime
 from decimal import Decimal
 from typing import Any
@@ -62,56 +63,65 @@ def infer_items(values: list[Any]) -> str:
     return kinds.pop() if len(kinds) == 1 else "json"
 
 
+def _is_number(value: Any) -> bool:
+    return isinstance(value, (int, float, Decimal)) and not isinstance(value, bool)
+
+
+def _whole(value: Any) -> int | None:
+    if _is_number(value):
+        return int(value) if math.isfinite(value) and value == int(value) else None
+    return int(value) if isinstance(value, str) and _INTEGER.fullmatch(value.strip()) else None
+
+
+def _not_negative(value: Any) -> int | None:
+    found = _whole(value)
+    return found if found is not None and found >= 0 else None
+
+
+def _real(value: Any) -> float | None:
+    if not _is_number(value) and not (isinstance(value, str) and value.strip()):
+        return None
+    try:
+        return float(value)
+    except ValueError:
+        return None
+
+
+def _moment(value: Any) -> datetime | None:
+    if _is_number(value):
+        return datetime.fromtimestamp(value / 1000, UTC) if math.isfinite(value) else None
+    if isinstance(value, str):
+        try:
+            value = datetime.fromisoformat(value)
+        except ValueError:
+            return None
+        return value if value.tzinfo else value.replace(tzinfo=UTC)
+    return value if isinstance(value, datetime) else None
+
+
+#: How each type takes a value; None where it does not.
+_TAKES: dict[str, Callable[[Any], Any]] = {
+    "string": lambda v: v if isinstance(v, str) else None,
+    "integer": _whole,
+    "unsigned": _not_negative,
+    "float": _real,
+    "boolean": lambda v: v if isinstance(v, bool) else None,
+    "time": _moment,
+    "bytes": lambda v: bytes(v) if isinstance(v, (bytes, bytearray, memoryview)) else None,
+    "json": lambda v: v if is_json(v) else None,
+}
+
+
 def coerce(value: Any, kind: str, items: str | None = None) -> Any:
     """The value as a declared type takes it; raises SCHEMA_VIOLATION otherwise. Null fits any type."""
     if value is None:
         return None
-
-    def refuse() -> TesseraError:
-        return TesseraError("SCHEMA_VIOLATION", f"{value!r} is not of type {kind}")
-
-    number = isinstance(value, (int, float, Decimal)) and not isinstance(value, bool)
-    if kind == "string" and isinstance(value, str):
-        return value
-    if kind == "boolean" and isinstance(value, bool):
-        return value
-    if kind in ("integer", "unsigned"):
-        if number and math.isfinite(value) and value == int(value):
-            out = int(value)
-        elif isinstance(value, str) and _INTEGER.fullmatch(value.strip()):
-            out = int(value.strip())
-        else:
-            raise refuse()
-        if kind == "unsigned" and out < 0:
-            raise refuse()
-        return out
-    if kind == "float":
-        if number:
-            return float(value)
-        if isinstance(value, str) and value.strip():
-            try:
-                return float(value)
-            except ValueError:
-                raise refuse() from None
-    if kind == "time":
-        if isinstance(value, datetime):
-            return value
-        if number and math.isfinite(value):
-            return datetime.fromtimestamp(value / 1000, UTC)
-        if isinstance(value, str):
-            try:
-                parsed = datetime.fromisoformat(value)
-            except ValueError:
-                raise refuse() from None
-            return parsed if parsed.tzinfo else parsed.replace(tzinfo=UTC)
-    if kind == "bytes" and isinstance(value, (bytes, bytearray, memoryview)):
-        return bytes(value)
     if kind == "array" and isinstance(value, (list, tuple)):
-        own = items or infer_items(list(value))
-        return [coerce(v, own) for v in value]
-    if kind == "json" and is_json(value):
-        return value
-    raise refuse()
+        return [coerce(v, items or infer_items(list(value))) for v in value]
+    found = _TAKES[kind](value) if kind in _TAKES else None
+    if found is None:
+        raise TesseraError("SCHEMA_VIOLATION", f"{value!r} is not of type {kind}")
+    return found
 
 
 def is_json(value: Any) -> bool:
@@ -124,29 +134,33 @@ def is_json(value: Any) -> bool:
     return isinstance(value, dict) and all(isinstance(k, str) and is_json(v) for k, v in value.items())
 
 
+#: What the equality keys of each kind of value begin with; numbers of all kinds and times share one.
+ABSENT, NULL, TEXT, NUMBER, FLAG, BYTES, LIST, OBJECT = "missing", "null", "text=", "number=", "flag=", "bytes=", "list=", "object="
+
+
+def _number_key(value: Any) -> str:
+    if isinstance(value, float) and math.isnan(value):
+        return "NaN"
+    return str(int(value)) if math.isfinite(value) and value == int(value) else repr(float(value))
+
+
+#: Kinds of values with their keys; the first that fits counts.
+_KEYS: tuple[tuple[tuple[type, ...], str, Callable[[Any], str]], ...] = (
+    ((Missing,), ABSENT, lambda v: ""),
+    ((type(None),), NULL, lambda v: ""),
+    ((bool,), FLAG, lambda v: str(v).lower()),
+    ((str,), TEXT, str),
+    ((int, float, Decimal), NUMBER, _number_key),
+    ((datetime,), NUMBER, lambda v: str(millis(v))),
+    ((bytes, bytearray), BYTES, lambda v: bytes(v).hex()),
+    ((list, tuple), LIST, lambda v: json.dumps([key(x) for x in v])),
+    ((object,), OBJECT, lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"), default=key)),
+)
+
+
 def key(value: Any) -> str:
-    """Equal values, and only those, have equal keys: numbers of all kinds and times unite."""
-    if value is MISSING:
-        return "u"
-    if value is None:
-        return "z"
-    if isinstance(value, bool):
-        return "b:true" if value else "b:false"
-    if isinstance(value, datetime):
-        return f"n:{millis(value)}"
-    if isinstance(value, (int, float, Decimal)):
-        if isinstance(value, float) and math.isnan(value):
-            return "n:NaN"
-        if math.isfinite(value) and value == int(value):
-            return f"n:{int(value)}"
-        return f"n:{float(value)!r}"
-    if isinstance(value, str):
-        return "s:" + value
-    if isinstance(value, (bytes, bytearray)):
-        return "x:" + bytes(value).hex()
-    if isinstance(value, (list, tuple)):
-        return "a:" + json.dumps([key(v) for v in value])
-    return "j:" + json.dumps(value, sort_keys=True, separators=(",", ":"), default=key)
+    """Equal values, and only those, have equal keys."""
+    return next(tag + make(value) for kinds, tag, make in _KEYS if isinstance(value, kinds))
 
 
 def same(a: Any, b: Any) -> bool:
