@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tessera.llm.text import append_columns
@@ -56,6 +56,9 @@ _MARKER = re.compile(r"[#>*\-\[<|(\s]*+(" + "|".join(sorted(MARKERS, key=len, re
 CHUNK_TURNS = 64
 MOST_ROWS = 4096
 FAN = 64
+#: The block of turn 0: large, so that no block is negative and all meet at one root, and in the middle of its
+#: group at the first levels, so that turns around 0 meet early.
+FIRST_BLOCK = (1 << 40) + 33 + 32 * 64 + 32 * 64**2
 #: Characters from which a line is of some or of many characters.
 SIZES = (60, 160)
 NONE = len(ROLES)  # marker value of a line without one
@@ -66,7 +69,7 @@ OPENING = STATES - 1
 
 @dataclass(frozen=True)
 class Model:
-    """Log probabilities. States 0-2 begin a turn of a role, states 3-5 go on with it."""
+    """Chances, here those of a guess; ``learn`` counts them. States 0-2 begin a turn of a role, states 3-5 go on with it."""
 
     #: How turns follow each other: from role, to role.
     follow: tuple = ((0.02, 0.93, 0.05), (0.02, 0.08, 0.90), (0.02, 0.93, 0.05))
@@ -123,6 +126,65 @@ def marker(line: str) -> tuple[int, int] | None:
     return MARKERS[m[1].lower()], m.end()
 
 
+#: Bounds of the labelled sample: hash buckets, of each of which one conversation is taken, its turns, and their characters.
+SAMPLE_CONVERSATIONS = 512
+SAMPLE_TURNS = 64
+SAMPLE_CHARACTERS = 4000
+
+
+def learn(turns: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", text: str = "text", role: str = "role") -> Model:
+    """A model counted from a bounded sample of labelled turns, each count begun with a half of the guess's chances.
+
+    ``turns`` has a role per row. Without labelled turns the guess stays.
+    """
+    source = turns.select(F.col(conversation).cast("string").alias("c"), F.col(turn).cast("long").alias("t"), F.col(role).alias("r"), F.substring(F.col(text), 1, SAMPLE_CHARACTERS).alias("x"))
+    source = source.where(F.col("c").isNotNull() & F.col("t").between(0, SAMPLE_TURNS - 1) & F.col("r").isin(list(ROLES)) & F.col("x").isNotNull()).withColumn("m", F.xxhash64("c", F.lit(13)))
+    least = source.groupBy(F.pmod("m", F.lit(SAMPLE_CONVERSATIONS)).alias("b")).agg(F.min("m").alias("m")).collect()
+    if not least:
+        return Model()
+    rows = source.where(F.col("m").isin([r.m for r in least])).groupBy("m", "t").agg(F.min(F.struct("x", "r")).alias("v")).orderBy("m", "t").collect()
+    return counted([(r.m, r.v.r, r.v.x) for r in rows])
+
+
+def counted(rows: list[tuple[object, str, str]]) -> Model:
+    """A model counted from turns (conversation, role, text) in order."""
+    guess = Model()
+    half = lambda x: 0.5 * np.array(x, dtype=float)
+    follow, first, marked, sizes = half(guess.follow), half(guess.first), half(guess.marked), half(guess.sizes)
+    pair = lambda p: np.stack([half(1 - np.array(p)), half(p)], axis=-1)
+    go_on, asks, blank, fresh = pair(guess.go_on), pair(guess.asks), pair(guess.after_blank), pair(guess.new_row)
+    marked_on = half([1 - guess.marked_on, guess.marked_on])
+    before, last = object(), 0
+    for own, name, text in rows:
+        lines, role = split_lines(text), ROLES.index(name)
+        if not lines:
+            continue
+        if own == before:
+            follow[last, role] += 1
+        else:
+            first[role] += 1
+        before, last = own, role
+        go_on[role] += (1, len(lines) - 1)
+        for k, (_, (marker, ask, size, after)) in enumerate(lines):
+            further = int(k > 0)
+            if further:
+                marked_on[int(marker != NONE)] += 1
+            else:
+                marked[2 if marker == NONE else 0 if marker == role else 1] += 1
+            asks[role, ask] += 1
+            sizes[role, size] += 1
+            blank[further, after] += 1
+            fresh[further, int(k == 0)] += 1
+    share = lambda x: tuple(map(tuple, x / x.sum(axis=-1, keepdims=True))) if x.ndim > 1 else tuple(x / x.sum())
+    least = lambda x: tuple(np.clip(x[:, 1] / x.sum(axis=1), 1e-3, 1 - 1e-3))
+    return Model(share(follow), share(first), least(go_on), share(marked), float(np.clip(marked_on[1] / marked_on.sum(), 1e-3, 0.5)), least(asks), share(sizes), least(blank), least(fresh))
+
+
+def held_out(key: str = "conv_id", folds: int = 5) -> Column:
+    """Conversations kept from learning: the crc32 of the id as text is divisible by ``folds``."""
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
+
+
 def split_lines(text: str) -> list[tuple[str, tuple[int, int, int, int]]]:
     """Non-blank lines with (marker, asks, size, after blank)."""
     out, blank = [], 0
@@ -208,7 +270,7 @@ def _pieces(model: Model, rows: list[dict], entry: int, last: int | None) -> lis
 def _chunks(source: DataFrame, size: int) -> DataFrame:
     """Rows (conv, block, sub, rows): the source rows of a chunk, in order."""
     rows = source.groupBy("conv", "turn", "text").agg(F.count("*").alias("copies")).withColumn("t", F.coalesce("turn", F.lit(-1).cast("long")))
-    rows = rows.withColumn("block", F.floor(F.col("t") / size) + (1 << 40))  # not negative, so that blocks meet at the root
+    rows = rows.withColumn("block", F.floor(F.col("t") / size) + FIRST_BLOCK)
     rows = rows.withColumn("h", F.xxhash64("text"))
     each = rows.groupBy("conv", "block", "t").agg(F.count("*").alias("c"))
     large = each.groupBy("conv", "block").agg(F.sum("c").alias("all")).where(F.col("all") > MOST_ROWS).select("conv", "block")

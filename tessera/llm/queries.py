@@ -50,8 +50,10 @@ FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.do
 """
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = chat.format_chats(_table(spark, sf_dir, "conversations"))
-    return turns.withColumnRenamed("conv", "conv_id")
+    """Roles recovered from text alone, by a model learned from the roles of other conversations (chat.held_out)."""
+    turns = _table(spark, sf_dir, "conversations")
+    model = chat.learn(turns.where(~chat.held_out()))
+    return chat.format_chats(turns.select("conv_id", "turn", "text"), model).withColumnRenamed("conv", "conv_id")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,14 +79,31 @@ def test_large_blocks_agree_with_whole_ones(spark, monkeypatch):
 
 
 def test_query_and_empty_table(spark, tmp_path):
-    spark.createDataFrame(conversation(4), "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = [(*r, "assistant" if r[1] % 2 else "user") for r in conversation(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string, role string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert queries.op2_chat_format(spark, str(tmp_path)).count() == 4
     empty = spark.createDataFrame([], "conv_id long, turn long, text string")
     assert chat.format_chats(empty).count() == 0
 
 
-def test_accuracy_on_the_sample(spark):
+def test_held_out_accuracy(spark):
+    """Roles of conversations that were not learned, from text alone, and without any marker."""
     turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
-    role = {(r.conv_id, r.turn): r.role for r in turns.collect()}
-    rows = [r for r in chat.format_chats(turns).collect() if r.line == 0]
-    assert len(rows) == len(role) and np.mean([role[r.conv, r.turn] == r.role for r in rows]) > 0.95
+    model = chat.learn(turns.where(~chat.held_out()))
+    own = turns.where(chat.held_out())
+    role = {(r.conv_id, r.turn): r.role for r in own.collect()}
+    rows = [r for r in chat.format_chats(own, model).collect() if r.line == 0]
+    right = np.mean([role[r.conv, r.turn] == r.role for r in rows])
+    assert len(rows) == len(role) and right > 0.95, right
+    assert chat.learn(turns.limit(0)) == chat.Model()
+
+
+def test_counts():
+    """Chances are counts, each begun with a half of the guess."""
+    rows = [(1, "user", "User: a?"), (1, "assistant", "Bot: b\n\nmore"), (1, "user", "c"), (2, "system", "x" * 200), (2, "user", "Assistant: odd"), (2, "user", "")]
+    guess, model = chat.Model(), chat.counted(rows)
+    assert np.allclose(model.first, (np.array([1, 1, 0]) + 0.5 * np.array(guess.first)) / 2.5)
+    assert np.allclose(model.follow[1], (np.array([0, 0, 1]) + 0.5 * np.array(guess.follow[1])) / 1.5)
+    assert np.allclose(model.marked, (np.array([2, 1, 2]) + 0.5 * np.array(guess.marked)) / 5.5)
+    assert np.isclose(model.go_on[2], (1 + 0.5 * guess.go_on[2]) / 2.5) and np.isclose(model.asks[1], (1 + 0.5 * guess.asks[1]) / 3.5)
+    assert np.isfinite(model.emissions(np.array([[3, 0, 0, 0, 0]]))[:, :6]).all()
