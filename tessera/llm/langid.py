@@ -4,7 +4,7 @@ A text is encoded once per language, in one way whatever its length; the languag
 smallest frame wins. The margin between the two smallest frames tells how sure that is. Texts of a narrow
 margin are rejected: they may be of a language that was not learned. How narrow is found on learning rows
 that are not in the dictionaries: their margins are clean ones, and their margins without their own
-language's dictionary are those of a language that was not learned.
+language's dictionary, those of a language that was not learned, tell how many such texts it catches.
 
 Null texts and texts without a letter get ``und``, score 0 and are rejected. With nothing to learn from
 every text gets ``und``. Texts whose first encoding ties are rejected. Ties that other encodings of the text
@@ -16,7 +16,6 @@ is replaced.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -30,7 +29,8 @@ from tessera.llm.text import append_columns
 SAMPLE_ROWS = 96
 MARGIN_ROWS = 64
 DICTIONARY_BYTES = 192 << 10
-#: Of the sampled clean texts at least this share is kept, whatever that lets through.
+#: The margin is half of the one that this share of the sampled clean texts exceeds, so that clean texts which the
+#: sample does not show are kept as well.
 COVERAGE = 0.99
 
 UNDETERMINED = "und"
@@ -97,7 +97,7 @@ def _shares(texts: list[bytes], size: int) -> list[bytes]:
 
 
 def calibrate(dictionaries: dict[str, bytes], held: list[tuple[str, bytes]], *, coverage: float = COVERAGE) -> Model:
-    """The margin that best parts clean texts from foreign ones, among those that keep ``coverage`` of the clean.
+    """Half the margin that ``coverage`` of the clean texts exceed, and what it does to clean and foreign ones.
 
     Ties are narrow whatever the margin, so it only weighs texts that do not tie. Of fewer than three languages none
     can be left out, so that nothing tells a foreign margin: only ties are rejected.
@@ -114,16 +114,13 @@ def calibrate(dictionaries: dict[str, bytes], held: list[tuple[str, bytes]], *,
         rest = [sizes[i] for i in order if names[i] != own]
         if len(rest) > 1:
             foreign.append(rest[1] / rest[0] - 1)
-    apart, strange = sorted(x for x in clean if x > 0), sorted(x for x in foreign if x > 0)
-    if not apart or not strange:
+    apart = sorted(x for x in clean if x > 0)
+    if not apart or not foreign:
         return Model(dictionaries)
-    best = (-1.0, 0.0)
-    for k in range(int((1 - coverage) * len(apart)) + 1):  # up to the margin of the k-th text from below, that one kept
-        margin = (apart[k] + (apart[k - 1] if k else 0.0)) / 2
-        best = max(best, ((len(apart) - k) / len(apart) + bisect_right(strange, margin) / len(strange), margin))
-    kept = [r for x, r in zip(clean, right, strict=True) if x > best[1]]
-    caught = sum(x <= best[1] for x in foreign) / len(foreign) if foreign else 0.0
-    return Model(dictionaries, best[1], len(kept) / len(clean), sum(kept) / max(1, len(kept)), caught)
+    margin = apart[int((1 - coverage) * len(apart))] / 2
+    kept = [r for x, r in zip(clean, right, strict=True) if x > margin]
+    caught = sum(x <= margin for x in foreign) / len(foreign)
+    return Model(dictionaries, margin, len(kept) / len(clean), sum(kept) / max(1, len(kept)), caught)
 
 
 def _coder(dictionary: bytes):
