@@ -94,7 +94,7 @@ class Query:
         return replace(self, distinct_=True)
 
     def order_by(self, key: Callable[[Refs], Any], direction: str = "asc") -> Query:
-        """A sort key, after those before it. Records that no key tells apart are in the order of their ids."""
+        """A sort key, after those before it. What no key tells apart is in the order of the first source's ids."""
         if direction not in ("asc", "desc"):
             raise TesseraError("INVALID_QUERY", f"no direction {direction}")
         return replace(self, orders=(*self.orders, (key, direction == "desc")))

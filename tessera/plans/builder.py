@@ -142,12 +142,16 @@ class _Plan:
         self.needed = _needed(q, self.a)
         refs = q.refs()
         templates = [q.projection(refs) if q.projection else None, *[h(refs) for h in q.having_]]
-        #: Aliases whose ids tell rows apart that the sort keys do not.
+        #: The first alias, if its ids tell rows apart that the sort keys do not.
         self.ties: list[str] = []
         if q.orders and q.keys is None and not q.distinct_ and not any(True for _ in aggregates(templates)):
-            self.ties = [a for a, t in self.a.tables.items() if not t.keyless]
-            for a in self.ties:
-                self.needed[a].add("id")
+            first = q.sources[0].alias
+            sorted_by = {f.name for f in (k(refs) for k, _ in q.orders) if isinstance(f, Field) and f.alias == first}
+            own = self.a.tables[first]
+            told = sorted_by & {"id", "_id"} or (own.key_names and set(own.key_names) <= sorted_by)
+            if not own.keyless and not told:
+                self.ties = [first]
+                self.needed[first].add("id")
         required = {self.a.plain(f) for c in q.conditions for f in required_fields(c)}
         if q.keys:
             required |= {self.a.plain(f) for f in fields(q.keys(refs))}

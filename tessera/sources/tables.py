@@ -30,6 +30,8 @@ class RecordTable:
     key: Column | None = None
     #: The id is synthetic: it holds within one run only.
     keyless: bool = False
+    #: The attributes that the id is made of, where it is.
+    key_names: tuple[str, ...] = ()
 
     @property
     def columns(self) -> list[str]:
@@ -84,7 +86,7 @@ def table(path: str, df: DataFrame, key: Iterable[str] | str | None = None, *, k
     if key is None:
         return RecordTable(path, df)
     names = [key] if isinstance(key, str) else list(key)
-    return RecordTable(path, df, F.concat_ws("-", *[F.col(f"`{k}`").cast("string") for k in names]))
+    return RecordTable(path, df, F.concat_ws("-", *[F.col(f"`{k}`").cast("string") for k in names]), key_names=tuple(names))
 
 
 #: Key columns of the sample tables; lineitem has none.
