@@ -56,14 +56,24 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
+#: Whether a finished query's shuffle files are deleted at once, and not when their plan is collected as garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back, which cuts its lineage.
 
-    The files are deleted when the driver process ends.
+    Nothing reads the write's shuffle files afterwards, so they are deleted with it. The table's files are
+    deleted when the driver process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     _STAGED.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
