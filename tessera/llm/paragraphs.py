@@ -12,8 +12,10 @@ A passage can also repeat inside paragraphs that differ. Such passages are found
 of PASSAGE_WORDS words: of every PASSAGE_WINDOW fingerprints in a row one is chosen by its value, so that
 two documents that share PASSAGE_WORDS + PASSAGE_WINDOW - 1 = 50 words in a row share a chosen one, and
 each run of PASSAGE_WORDS of these words begins less than PASSAGE_WINDOW words from a shared chosen one (an
-anchor). All runs that near to anchors are compared by a 128-bit BLAKE2b digest of their words, so that spans
-cover all words that agree, and no others. Of each run the smallest id's first one stays.
+anchor). Anchors, and the runs around them where what is shared may end, are compared by a 128-bit BLAKE2b
+digest of their words, so that spans cover all words that agree, and no others. Between two anchors that the
+same documents have, and that meet, nothing can end. Of each run the smallest id's first one stays. Equal texts
+are one here: each copy is a span as a whole.
 
 Null texts have no paragraph. Rows with a null id are left alone. Rows that share an id and differ in text
 are documents of their own, told apart by ``text_hash``; repeated rows share what is decided for them. Ids are any
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 from tessera.llm.components import split_join
 from tessera.llm.neardup import Settings, cluster_rows, number_rows
 from tessera.llm.text import NON_SPACE, append_columns, grams, lowered, slices, utf8, winnow, words
-from tessera.session import stage
+from tessera.session import stage, unstage
 
 PASSAGE_WORDS, PASSAGE_WINDOW = 24, 27
 SETTINGS = Settings(band_miss=1e-3, hashes=30)
@@ -75,6 +77,7 @@ def _list_of(*names: str) -> tuple[T.ArrayType, pa.DataType]:
 
 
 PRINTS, _PRINTS = _list_of("h", "at")
+ANCHORS, _ = _list_of("at", "sharing")
 GRAMS, _GRAMS = _list_of("h", "h2", "at", "start", "end")
 SPANS, _SPANS = _list_of("first", "start", "end")
 
@@ -87,22 +90,43 @@ def _lists(counts: list[int], found: list[tuple[np.ndarray, ...]], kind: pa.Data
 
 
 def _prints(batch: pa.RecordBatch) -> list[pa.Array]:
-    """Chosen fingerprints of each text, with the numbers of their first words."""
+    """Chosen fingerprints of each text, with the numbers of their first words, and where its words begin and end."""
     data, offsets = utf8(batch.column(batch.schema.get_field_index("body")))
-    counts, found = [], []
+    counts, found, begins, ends = [], [], [], []
     for a, b in slices(offsets):
-        w = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NON_SPACE)
+        own, first = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        w = words(own, first, NON_SPACE)
         hashes = grams(w.hashes, PASSAGE_WORDS)
+        points = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
         for d in range(b - a):
             lo, hi = w.first[d], w.first[d + 1] - PASSAGE_WORDS + 1
             at = winnow(hashes[lo:hi], PASSAGE_WINDOW) if hi > lo else np.zeros(0, dtype=np.int64)
             counts.append(len(at))
             found.append((hashes[at + lo].view(np.int64), at))
-    return [_lists(counts, found, _PRINTS)]
+            base = points[first[d]]
+            begins.append(int(points[w.starts[lo]] - base) if hi > lo else 0)
+            ends.append(int(points[w.ends[w.first[d + 1] - 1]] - base) if hi > lo else 0)
+    return [_lists(counts, found, _PRINTS), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())]
+
+
+def _edges(at: np.ndarray, sharing: np.ndarray, n: int) -> np.ndarray:
+    """Anchors, and the places around them at which something shared may begin or end, of n places."""
+    order = np.argsort(at)
+    at, sharing = at[order], sharing[order]
+    met = (np.diff(at) <= PASSAGE_WORDS) & (sharing[1:] == sharing[:-1])
+    change = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + 1, -1)
+    left, right = at[np.concatenate([[True], ~met])], at[np.concatenate([~met, [True]])]
+    np.add.at(change, np.maximum(left - PASSAGE_WINDOW + 1, 0), 1)
+    np.add.at(change, left, -1)
+    np.add.at(change, right + 1, 1)
+    np.add.at(change, np.minimum(right + PASSAGE_WINDOW, n), -1)
+    return np.flatnonzero(np.cumsum(change)[:n])
 
 
 def _near_anchors(batch: pa.RecordBatch) -> list[pa.Array]:
-    """All runs of PASSAGE_WORDS words that begin less than PASSAGE_WINDOW words from an anchor.
+    """Anchors and the runs of PASSAGE_WORDS words at the edges of what is shared.
 
     Each has the digest of its words (lower-cased, one space between them) and its place in code points.
     """
@@ -116,11 +140,8 @@ def _near_anchors(batch: pa.RecordBatch) -> list[pa.Array]:
         plain, begin, end = lowered(own, w)
         for d in range(b - a):
             lo, n = w.first[d], w.first[d + 1] - w.first[d] - PASSAGE_WORDS + 1
-            places = anchors[a + d].values.to_numpy(zero_copy_only=False)
-            change = np.zeros(n + 1, dtype=np.int64)
-            np.add.at(change, np.maximum(places - PASSAGE_WINDOW + 1, 0), 1)
-            np.add.at(change, np.minimum(places + PASSAGE_WINDOW, n), -1)
-            at = np.flatnonzero(np.cumsum(change)[:n])
+            places, sharing = (anchors[a + d].values.field(x).to_numpy(zero_copy_only=False) for x in ("at", "sharing"))
+            at = _edges(places, sharing, n)
             counts.append(len(at))
             base = points[first[d]]
             runs = zip(begin[at + lo].tolist(), end[at + lo + PASSAGE_WORDS - 1].tolist(), strict=True)
@@ -129,15 +150,35 @@ def _near_anchors(batch: pa.RecordBatch) -> list[pa.Array]:
     return [_lists(counts, found, _GRAMS)]
 
 
+def _uncovered(first: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Spans (in words) that those of smaller first documents do not cover together.
+
+    A run at an edge in one document may lie between anchors in another, which does not tell it; the anchors cover it.
+    """
+    keep = np.ones(len(first), dtype=bool)
+    if not len(first):
+        return keep
+    low = int(begin.min())
+    covered = np.zeros(int(end.max()) - low, dtype=bool)
+    for own in np.unique(first):
+        mine = np.flatnonzero(first == own)
+        for i in mine.tolist():
+            keep[i] = not covered[begin[i] - low : end[i] - low].all()
+        for i in mine.tolist():
+            covered[begin[i] - low : end[i] - low] = True
+    return keep
+
+
 def _joined_spans(batch: pa.RecordBatch) -> list[pa.Array]:
-    """Runs of a text that follow each other in their first document as well, as spans."""
+    """Runs of a text that meet, in their first document as here, as spans."""
     out = []
     for row in batch.column(batch.schema.get_field_index("grams")):
         g = row.values
         at, start, end, first, first_t, first_at = (g.field(n).to_numpy(zero_copy_only=False) for n in ("at", "start", "end", "first", "first_t", "first_at"))
-        cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(first) != 0) | (np.diff(first_t) != 0) | (np.diff(first_at) != 1))
+        cut = np.flatnonzero((np.diff(at) > PASSAGE_WORDS) | (first[1:] != first[:-1]) | (first_t[1:] != first_t[:-1]) | (np.diff(first_at) != np.diff(at)))
         heads, tails = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(at) - 1]])
-        out.append((first[heads], start[heads], end[tails]))
+        keep = _uncovered(first[heads], at[heads], at[tails] + PASSAGE_WORDS)
+        out.append((first[heads][keep], start[heads][keep], end[tails][keep]))
     return [_lists([len(x[0]) for x in out], out, _SPANS)]
 
 
@@ -146,15 +187,25 @@ def find_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
 
     Every passage of 50 words or more that repeats is covered whole, and none of fewer than PASSAGE_WORDS
     is found. A span is a run of words that stands in the cluster's document as it is, which is the first
-    that has its runs of PASSAGE_WORDS words; where that document or the place in it changes, another span
+    that tells its runs of PASSAGE_WORDS words; where that document or the place in it changes, another span
     begins, which overlaps the last one by up to PASSAGE_WORDS - 1 words. Since a word is only removed where
     a smaller document has the run it belongs to, each word that is removed is left in some document.
     """
     source = _source(docs, key, text)
-    each = append_columns(source, [T.StructField("p", PRINTS)], _prints, needs=["body"]).select("own", "t", F.explode("p").alias("p")).select("own", "t", "p.*")
-    each = stage(each, "prints")
-    shared = each.groupBy("h").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("w")).where("lo < hi").select("h", "w")
-    anchors = split_join(each, shared, "h", "w").groupBy("own", "t").agg(F.collect_set("at").alias("anchors"))
+    made = [T.StructField("p", PRINTS), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]
+    printed = append_columns(source.withColumn("m", F.md5(F.encode("body", "UTF-8"))), made, _prints, needs=["body"]).where("size(p) > 0")
+    printed = stage(printed.select("own", "t", "m", "lo", "hi", "p"), "prints")
+    # equal texts are one, with its first document's id
+    texts = printed.groupBy("m").agg(F.min(F.struct("own", "t", "p")).alias("f"), F.max("own").alias("last"), F.count("*").alias("w"))
+    texts = stage(texts.select("m", F.col("f.own").alias("own"), F.col("f.t").alias("t"), F.col("f.p").alias("p"), "last", "w"), "texts")
+    copied = texts.where("own < last").select("m", F.col("own").alias("first"), "w")
+    whole = split_join(printed.select("own", "t", "m", "lo", "hi"), copied, "m", "w").select("own", "t", F.col("lo").alias("start"), F.col("hi").alias("end"), "first").distinct()
+    whole = stage(whole, "copies")
+    unstage(printed)
+    each = texts.select("own", "t", F.explode("p").alias("p")).select("own", "t", "p.*")
+    sharing = F.xxhash64(F.min("own"), F.max("own"), F.count("*"), F.bit_xor(F.xxhash64("own", "t")))
+    shared = each.groupBy("h").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("w"), sharing.alias("sharing")).where("lo < hi").select("h", "w", "sharing")
+    anchors = split_join(each, shared, "h", "w").groupBy("own", "t").agg(F.collect_set(F.struct("at", "sharing")).alias("anchors"))
     near = append_columns(source.join(anchors, ["own", "t"]), [T.StructField("g", GRAMS)], _near_anchors, needs=["body", "anchors"])
     near = stage(near.select("own", "t", F.explode("g").alias("g")).select("own", "t", "g.*"), "grams")
     firsts = near.groupBy("h", "h2").agg(F.min(F.struct("own", "t", "at")).alias("f"), F.max("own").alias("hi"), F.count("*").alias("w")).where("f.own < hi")
@@ -162,7 +213,8 @@ def find_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     again = split_join(near, firsts, ["h", "h2"], "w")
     again = again.groupBy("own", "t").agg(F.sort_array(F.collect_set(F.struct("at", "start", "end", "first", "first_t", "first_at"))).alias("grams"))
     spans = append_columns(again, [T.StructField("s", SPANS)], _joined_spans, needs=["grams"]).select("own", "t", F.explode("s").alias("s"))
-    return spans.select(F.col("own").alias("doc_id"), F.col("t").alias("text_hash"), "s.start", "s.end", F.col("s.first").alias("cluster_doc_id"), (F.col("own") != F.col("s.first")).alias("removed"))
+    spans = spans.select("own", "t", "s.start", "s.end", "s.first").unionByName(whole)
+    return spans.select(F.col("own").alias("doc_id"), F.col("t").alias("text_hash"), "start", "end", F.col("first").alias("cluster_doc_id"), (F.col("own") != F.col("first")).alias("removed"))
 
 
 def remove_repeats(docs: DataFrame, found: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
