@@ -12,10 +12,11 @@ A passage can also repeat inside paragraphs that differ. Such passages are found
 of PASSAGE_WORDS words: of every PASSAGE_WINDOW fingerprints in a row one is chosen by its value, so that
 two documents that share PASSAGE_WORDS + PASSAGE_WINDOW - 1 = 50 words in a row share a chosen one, and
 each run of PASSAGE_WORDS of these words begins less than PASSAGE_WINDOW words from a shared chosen one (an
-anchor). Anchors, and the runs around them where what is shared may end, are compared by a 128-bit BLAKE2b
-digest of their words, so that spans cover all words that agree, and no others. Between two anchors that the
-same documents have, and that meet, nothing can end. Of each run the smallest id's first one stays. Equal texts
-are one here: each copy is a span as a whole.
+anchor), with no smaller fingerprint between. Anchors, and the runs around them where what is shared may end,
+are compared by a 128-bit BLAKE2b digest of their words, so that spans cover all words that agree, and no
+others. Nothing can end between two neighbours of which each, wherever it stands in any text, has the other at
+the same distance (and the same words between). Of each run the smallest id's first one stays. Equal texts are
+one here: each copy is a span as a whole.
 
 Null texts have no paragraph. Rows with a null id are left alone. Rows that share an id and differ in text
 are documents of their own, told apart by ``text_hash``; repeated rows share what is decided for them. Ids are any
@@ -28,12 +29,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tessera.llm.components import split_join
 from tessera.llm.neardup import Settings, cluster_rows, number_rows
-from tessera.llm.text import NON_SPACE, append_columns, grams, lowered, slices, utf8, winnow, words
+from tessera.llm.text import NON_SPACE, append_columns, grams, lowered, mix, slices, utf8, winnow, words
 from tessera.session import stage, unstage
 
 PASSAGE_WORDS, PASSAGE_WINDOW = 24, 27
@@ -76,8 +77,7 @@ def _list_of(*names: str) -> tuple[T.ArrayType, pa.DataType]:
     return T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in names])), pa.list_(pa.struct([(n, pa.int64()) for n in names]))
 
 
-PRINTS, _PRINTS = _list_of("h", "at")
-ANCHORS, _ = _list_of("at", "sharing")
+PRINTS, _PRINTS = _list_of("h", "at", "between")
 GRAMS, _GRAMS = _list_of("h", "h2", "at", "start", "end")
 SPANS, _SPANS = _list_of("first", "start", "end")
 
@@ -90,7 +90,10 @@ def _lists(counts: list[int], found: list[tuple[np.ndarray, ...]], kind: pa.Data
 
 
 def _prints(batch: pa.RecordBatch) -> list[pa.Array]:
-    """Chosen fingerprints of each text, with the numbers of their first words, and where its words begin and end."""
+    """Chosen fingerprints of each text, with the numbers of their first words, and where its words begin and end.
+
+    ``between`` tells the words that lie between one's run and the next one's, if there are any.
+    """
     data, offsets = utf8(batch.column(batch.schema.get_field_index("body")))
     counts, found, begins, ends = [], [], [], []
     for a, b in slices(offsets):
@@ -102,27 +105,47 @@ def _prints(batch: pa.RecordBatch) -> list[pa.Array]:
             lo, hi = w.first[d], w.first[d + 1] - PASSAGE_WORDS + 1
             at = winnow(hashes[lo:hi], PASSAGE_WINDOW) if hi > lo else np.zeros(0, dtype=np.int64)
             counts.append(len(at))
-            found.append((hashes[at + lo].view(np.int64), at))
+            between = np.zeros(len(at), dtype=np.uint64)
+            gap = np.diff(at)
+            for k in range(PASSAGE_WORDS, PASSAGE_WINDOW):
+                apart = np.flatnonzero(gap > k)
+                between[apart] = mix(between[apart] ^ w.hashes[at[apart] + lo + k])
+            found.append((hashes[at + lo].view(np.int64), at, between.view(np.int64)))
             base = points[first[d]]
             begins.append(int(points[w.starts[lo]] - base) if hi > lo else 0)
             ends.append(int(points[w.ends[w.first[d + 1] - 1]] - base) if hi > lo else 0)
     return [_lists(counts, found, _PRINTS), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())]
 
 
-def _edges(at: np.ndarray, sharing: np.ndarray, n: int) -> np.ndarray:
-    """Anchors, and the places around them at which something shared may begin or end, of n places."""
+def _edges(at: np.ndarray, fixed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Anchors, and the places around them at which something shared may begin or end.
+
+    ``fixed`` tells whether an anchor has the same left (1) and right (2) neighbour wherever it stands, and
+    ``hashes`` are all fingerprints of the text. An anchor is the least of what is shared around it, so that nothing
+    is looked for beyond a smaller one, nor up to the last of those that always follow one another. Where the runs
+    of neighbours do not overlap, one more between them does, with both.
+    """
+    n = len(hashes)
     order = np.argsort(at)
-    at, sharing = at[order], sharing[order]
-    met = (np.diff(at) <= PASSAGE_WORDS) & (sharing[1:] == sharing[:-1])
+    at, fixed = at[order], fixed[order]
+    reach = np.arange(1, PASSAGE_WINDOW)
     change = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(change, at, 1)
-    np.add.at(change, at + 1, -1)
-    left, right = at[np.concatenate([[True], ~met])], at[np.concatenate([~met, [True]])]
-    np.add.at(change, np.maximum(left - PASSAGE_WINDOW + 1, 0), 1)
-    np.add.at(change, left, -1)
-    np.add.at(change, right + 1, 1)
-    np.add.at(change, np.minimum(right + PASSAGE_WINDOW, n), -1)
-    return np.flatnonzero(np.cumsum(change)[:n])
+    right, left = at[:, None] + reach, at[:, None] - reach
+    own = hashes[at][:, None]
+    after = np.logical_and.accumulate((right < n) & (hashes[np.minimum(right, n - 1)] >= own), axis=1).sum(axis=1)
+    before = np.logical_and.accumulate((left >= 0) & (hashes[np.maximum(left, 0)] >= own), axis=1).sum(axis=1)
+    met = (fixed[:-1] & 2 > 0) & (fixed[1:] & 1 > 0)
+    heads, tails = np.flatnonzero(np.concatenate([[True], ~met])), np.flatnonzero(np.concatenate([~met, [True]]))
+    each = np.arange(len(at))
+    first, last = at[heads[np.searchsorted(heads, each, "right") - 1]], at[tails[np.searchsorted(tails, each)]]
+    for start, end in ((at - before, first), (last + 1, at + after + 1)):
+        some = start < end
+        np.add.at(change, start[some], 1)
+        np.add.at(change, end[some], -1)
+    looked = np.cumsum(change)[:n] > 0
+    apart = np.flatnonzero(met & (np.diff(at) >= PASSAGE_WORDS))
+    looked[at] = looked[at[apart] + PASSAGE_WORDS // 2] = True
+    return np.flatnonzero(looked)
 
 
 def _near_anchors(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -136,12 +159,13 @@ def _near_anchors(batch: pa.RecordBatch) -> list[pa.Array]:
     for a, b in slices(offsets):
         own, first = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         w = words(own, first, NON_SPACE)
+        hashes = grams(w.hashes, PASSAGE_WORDS)
         points = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
         plain, begin, end = lowered(own, w)
         for d in range(b - a):
             lo, n = w.first[d], w.first[d + 1] - w.first[d] - PASSAGE_WORDS + 1
-            places, sharing = (anchors[a + d].values.field(x).to_numpy(zero_copy_only=False) for x in ("at", "sharing"))
-            at = _edges(places, sharing, n)
+            places, fixed = (anchors[a + d].values.field(x).to_numpy(zero_copy_only=False) for x in ("at", "fixed"))
+            at = _edges(places, fixed, hashes[lo : lo + n])
             counts.append(len(at))
             base = points[first[d]]
             runs = zip(begin[at + lo].tolist(), end[at + lo + PASSAGE_WORDS - 1].tolist(), strict=True)
@@ -151,7 +175,7 @@ def _near_anchors(batch: pa.RecordBatch) -> list[pa.Array]:
 
 
 def _uncovered(first: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Spans (in words) that those of smaller first documents do not cover together.
+    """Spans (in words) that those of smaller first documents do not cover together, from word to word without a break.
 
     A run at an edge in one document may lie between anchors in another, which does not tell it; the anchors cover it.
     """
@@ -159,13 +183,14 @@ def _uncovered(first: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     if not len(first):
         return keep
     low = int(begin.min())
-    covered = np.zeros(int(end.max()) - low, dtype=bool)
+    lo, hi = 2 * (begin - low), 2 * (end - low) - 1  # words have even places, and what lies between two has an odd one
+    covered = np.zeros(int(hi.max()), dtype=bool)
     for own in np.unique(first):
         mine = np.flatnonzero(first == own)
         for i in mine.tolist():
-            keep[i] = not covered[begin[i] - low : end[i] - low].all()
+            keep[i] = not covered[lo[i] : hi[i]].all()
         for i in mine.tolist():
-            covered[begin[i] - low : end[i] - low] = True
+            covered[lo[i] : hi[i]] = True
     return keep
 
 
@@ -174,14 +199,20 @@ def _joined_spans(batch: pa.RecordBatch) -> list[pa.Array]:
     out = []
     for row in batch.column(batch.schema.get_field_index("grams")):
         g = row.values
-        at, start, end, first, first_t, first_at = (g.field(n).to_numpy(zero_copy_only=False) for n in ("at", "start", "end", "first", "first_t", "first_at"))
-        cut = np.flatnonzero((np.diff(at) > PASSAGE_WORDS) | (first[1:] != first[:-1]) | (first_t[1:] != first_t[:-1]) | (np.diff(first_at) != np.diff(at)))
+        at, start, end, first, first_d, first_at = (g.field(n).to_numpy(zero_copy_only=False) for n in ("at", "start", "end", "first", "first_d", "first_at"))
+        cut = np.flatnonzero((np.diff(at) > PASSAGE_WORDS) | (first[1:] != first[:-1]) | (first_d[1:] != first_d[:-1]) | (np.diff(first_at) != np.diff(at)))
         heads, tails = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(at) - 1]])
         keep = _uncovered(first[heads], at[heads], at[tails] + PASSAGE_WORDS)
         out.append((first[heads][keep], start[heads][keep], end[tails][keep]))
     return [_lists([len(x[0]) for x in out], out, _SPANS)]
 
 
+def _neighbour(i: Column) -> Column:
+    """What tells the print at ``i`` of ``p``, the next one, and how they lie; 0 if one of them is not there."""
+    x, y = F.get("p", i), F.get("p", i + 1)
+    return F.when((i < 0) | (i + 1 >= F.size("p")), F.lit(0).cast("long")).otherwise(F.xxhash64(x["h"], y["h"], y["at"] - x["at"], x["between"]))
+
+
 def find_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, text_hash, start, end, cluster_doc_id, removed): passages that other documents have as well.
 
@@ -197,23 +228,33 @@ def find_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     printed = stage(printed.select("own", "t", "m", "lo", "hi", "p"), "prints")
     # equal texts are one, with its first document's id
     texts = printed.groupBy("m").agg(F.min(F.struct("own", "t", "p")).alias("f"), F.max("own").alias("last"), F.count("*").alias("w"))
-    texts = stage(texts.select("m", F.col("f.own").alias("own"), F.col("f.t").alias("t"), F.col("f.p").alias("p"), "last", "w"), "texts")
+    texts = texts.select("m", F.col("f.own").alias("own"), F.col("f.t").alias("t"), F.col("f.p").alias("p"), "last", "w")
+    texts = stage(texts.withColumn("d", F.monotonically_increasing_id()), "texts")
     copied = texts.where("own < last").select("m", F.col("own").alias("first"), "w")
     whole = split_join(printed.select("own", "t", "m", "lo", "hi"), copied, "m", "w").select("own", "t", F.col("lo").alias("start"), F.col("hi").alias("end"), "first").distinct()
     whole = stage(whole, "copies")
     unstage(printed)
-    each = texts.select("own", "t", F.explode("p").alias("p")).select("own", "t", "p.*")
-    sharing = F.xxhash64(F.min("own"), F.max("own"), F.count("*"), F.bit_xor(F.xxhash64("own", "t")))
-    shared = each.groupBy("h").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("w"), sharing.alias("sharing")).where("lo < hi").select("h", "w", "sharing")
-    anchors = split_join(each, shared, "h", "w").groupBy("own", "t").agg(F.collect_set(F.struct("at", "sharing")).alias("anchors"))
+    # each print with what tells its neighbours; 0 if it has none
+    told = F.transform("p", lambda x, i: F.struct(x["h"].alias("h"), x["at"].alias("at"), _neighbour(i - 1).alias("left"), _neighbour(i).alias("right")))
+    each = texts.select("own", "d", F.inline(told))
+    same = lambda side: (F.min(side) == F.max(side)) & (F.min(side) != 0)
+    fixed = (F.when(same("left"), 1).otherwise(0) + F.when(same("right"), 2).otherwise(0)).cast("long")
+    shared = each.groupBy("h").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("w"), fixed.alias("fixed")).where("lo < hi")
+    shared = stage(shared.select("h", "w", "fixed"), "shared")
+    places = texts.select("d", F.inline("p")).select("d", "h", "at")
+    anchors = split_join(places, shared, "h", "w").groupBy("d").agg(F.collect_list(F.struct("at", "fixed")).alias("anchors"))
+    anchors = stage(texts.select("own", "t", "d").join(anchors, "d"), "anchors")
+    unstage(texts, shared)
     near = append_columns(source.join(anchors, ["own", "t"]), [T.StructField("g", GRAMS)], _near_anchors, needs=["body", "anchors"])
-    near = stage(near.select("own", "t", F.explode("g").alias("g")).select("own", "t", "g.*"), "grams")
-    firsts = near.groupBy("h", "h2").agg(F.min(F.struct("own", "t", "at")).alias("f"), F.max("own").alias("hi"), F.count("*").alias("w")).where("f.own < hi")
-    firsts = firsts.select("h", "h2", "w", F.col("f.own").alias("first"), F.col("f.t").alias("first_t"), F.col("f.at").alias("first_at"))
-    again = split_join(near, firsts, ["h", "h2"], "w")
-    again = again.groupBy("own", "t").agg(F.sort_array(F.collect_set(F.struct("at", "start", "end", "first", "first_t", "first_at"))).alias("grams"))
-    spans = append_columns(again, [T.StructField("s", SPANS)], _joined_spans, needs=["grams"]).select("own", "t", F.explode("s").alias("s"))
-    spans = spans.select("own", "t", "s.start", "s.end", "s.first").unionByName(whole)
+    near = stage(near.select("own", "d", F.inline("g")), "grams")
+    firsts = near.groupBy("h", "h2").agg(F.min(F.struct("own", "d", "at")).alias("f"), F.max("own").alias("hi"), F.count("*").alias("w")).where("f.own < hi")
+    firsts = stage(firsts.select("h", "h2", "w", F.col("f.own").alias("first"), F.col("f.d").alias("first_d"), F.col("f.at").alias("first_at")), "firsts")
+    again = split_join(near.drop("own"), firsts, ["h", "h2"], "w")
+    again = again.groupBy("d").agg(F.sort_array(F.collect_set(F.struct("at", "start", "end", "first", "first_d", "first_at"))).alias("grams"))
+    spans = append_columns(again, [T.StructField("s", SPANS)], _joined_spans, needs=["grams"]).select("d", F.inline("s"))
+    spans = stage(spans, "spans")
+    unstage(near, firsts)
+    spans = spans.join(anchors.select("own", "t", "d"), "d").select("own", "t", "start", "end", "first").unionByName(whole)
     return spans.select(F.col("own").alias("doc_id"), F.col("t").alias("text_hash"), "start", "end", F.col("first").alias("cluster_doc_id"), (F.col("own") != F.col("first")).alias("removed"))
 
 

@@ -244,6 +244,25 @@ def test_passages_are_covered_whole_and_one_copy_stays(spark):
     assert clean[90] is None and clean[None] == docs[0][1]
 
 
+def test_passages_in_another_order_and_in_periods(spark, tmp_path):
+    """The same documents share neighbouring passages, but not as neighbours; lines repeat within texts."""
+    rng = random.Random(19)
+    some = lambda n: " ".join("w%d" % rng.randrange(10**6) for _ in range(n))
+    docs = []
+    for i in range(0, 120, 3):
+        pool = [some(rng.randrange(5, 70)) for _ in range(3)]
+        docs += [(i + k, " ".join(rng.choice([*pool, *pool, some(3)]) for _ in range(rng.randrange(2, 9)))) for k in range(3)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    runs = {}
+    for i, t in docs:
+        w = t.split()
+        for j in range(len(w) - 49):
+            runs.setdefault(" ".join(w[j : j + 50]), []).append(i)
+    shared = [i for own in runs.values() if len(set(own)) > 1 for i in own]
+    got = {r.doc_id: r.n_shared for r in queries.passage_repeats(spark, str(tmp_path)).collect()}
+    assert got == {i: shared.count(i) for i in set(shared)} and len(got) > 60
+
+
 def test_no_word_is_lost_where_first_documents_change(spark):
     """5 = "B C", 10 = "A B C", 20 = "A B": what is cut from one stands in another."""
     rng = random.Random(17)
