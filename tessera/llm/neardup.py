@@ -2,7 +2,8 @@
 
 1. Each text becomes a set of hashed word shingles, a fingerprint of the set, and a MinHash signature.
 2. Texts of equal sets collapse to one representative (the smallest row number).
-3. Signatures are cut into bands; representatives that share a band value form a bucket.
+3. Signatures are cut into bands; representatives that share a band value form a bucket. Exact settings take
+   the sets' least hashes in place of bands.
 4. Of small buckets all pairs are candidates. Of a large one, the member that shares most bands with
    others (the hub) is paired with every other member; links found join components, and buckets whose
    other members still lie in several components go another round with another hub. What is left after
@@ -53,13 +54,18 @@ _MULTIPLIERS, _MASKS = _SEEDS[:HASHES] | np.uint64(1), _SEEDS[HASHES:]
 
 @dataclass(frozen=True)
 class Settings:
-    """Shingle size, threshold, miss probabilities of banding and of pruning, and signature length."""
+    """Shingle size, threshold, miss probabilities of banding and of pruning, and signature length.
+
+    With ``exact``, buckets are not of bands but of the least hashes of a set (its bottom sketch), as many of n as can be
+    without a partner in a set that reaches the threshold, and one more: no link is missed before pruning.
+    """
 
     words: int = 5
     threshold: Fraction = Fraction(4, 5)
     band_miss: float = 1e-6
     miss: float = 1e-7
     hashes: int = HASHES
+    exact: bool = False
 
     @property
     def rows(self) -> int:
@@ -92,6 +98,15 @@ FIELDS = [
     T.StructField("signature", T.BinaryType()),
 ]
 SET = ["f1", "f2", "n_shingles"]
+LEAST = T.StructField("least", T.ArrayType(T.LongType()))
+
+
+def _least(sets: np.ndarray, first: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set's ascending hashes so many that two sets that reach the threshold share one; and how many."""
+    n, t = np.diff(first), settings.threshold
+    count = np.where(n > 0, n + 1 + -n * t.numerator // t.denominator, 0)
+    at = np.arange(count.sum()) + np.repeat(first[:-1] - np.cumsum(count) + count, count)
+    return sets[at].view(np.int64), count
 
 
 def _signatures(sets: np.ndarray, first: np.ndarray, hashes: int) -> np.ndarray:
@@ -118,7 +133,7 @@ def sketch(docs: DataFrame, settings: Settings, *, text: str = "text") -> DataFr
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         data, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
-        counts, f1, f2, signatures = [], [], [], []
+        counts, f1, f2, signatures, least, sizes = [], [], [], [], [], [0]
         for a, b in slices(offsets):
             w = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NON_SPACE)
             sets, others, first = shingles(w, settings.words)
@@ -131,10 +146,14 @@ def sketch(docs: DataFrame, settings: Settings, *, text: str = "text") -> DataFr
             signed = iter(_signatures(sets, first, settings.hashes))
             counts.append(n.astype(np.int64)), f1.append(s1.view(np.int64)), f2.append(s2.view(np.int64))
             signatures += [next(signed).tobytes() if x else None for x in n.tolist()]
+            if settings.exact:
+                values, many = _least(sets, first, settings)
+                least.append(values), sizes.extend(many.tolist())
         none = np.zeros(0, dtype=np.int64)
-        return [pa.array(np.concatenate([none, *x])) for x in (counts, f1, f2)] + [pa.array(signatures, pa.binary())]
+        made = [pa.array(np.concatenate([none, *x])) for x in (counts, f1, f2)] + [pa.array(signatures, pa.binary())]
+        return made + ([pa.ListArray.from_arrays(np.cumsum(sizes).astype(np.int32), np.concatenate([none, *least]))] if settings.exact else [])
 
-    return append_columns(docs, FIELDS, compute, needs=[text])
+    return append_columns(docs, [*FIELDS, LEAST] if settings.exact else FIELDS, compute, needs=[text])
 
 
 def _bands(signature: np.ndarray, rows: int) -> np.ndarray:
@@ -161,7 +180,7 @@ def _buckets(reps: DataFrame, settings: Settings) -> DataFrame:
         values = _bands(_matrix(batch.column(batch.schema.get_field_index("signature"))), rows)
         return [pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], values.ravel())]
 
-    banded = append_columns(reps, [T.StructField("bands", T.ArrayType(T.LongType()))], compute, needs=["signature"])
+    banded = reps.withColumnRenamed("least", "bands") if settings.exact else append_columns(reps, [T.StructField("bands", T.ArrayType(T.LongType()))], compute, needs=["signature"])
     each = banded.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     sizes = each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").withColumn("w", F.col("size"))
     return split_join(each, sizes, "bucket", "w")
@@ -397,10 +416,10 @@ def cluster_rows(rows: DataFrame, settings: Settings, *, order: Column, same: st
     ship(rows.sparkSession)
     plain = rows.select("__row", "text", order.alias("order"), *([F.col(same).alias("same")] if same else []))
     sketches = stage(sketch(plain, settings).drop("text"), "sketches")
-    sets = sketches.where("n_shingles > 0").groupBy(*SET).agg(F.min("__row").alias("rep"), F.first("signature").alias("signature"), F.count("*").alias("w"))
+    sets = sketches.where("n_shingles > 0").groupBy(*SET).agg(F.min("__row").alias("rep"), F.first("signature").alias("signature"), F.count("*").alias("w"), *([F.first("least").alias("least")] if settings.exact else []))
     reps = stage(sets, "reps")
     links = _links(rows, reps, settings)
-    told = split_join(sketches.drop("signature"), reps.select(*SET, "rep", "w"), SET, "w", "left").withColumn("rep", F.coalesce("rep", "__row"))
+    told = split_join(sketches.drop("signature", "least"), reps.select(*SET, "rep", "w"), SET, "w", "left").withColumn("rep", F.coalesce("rep", "__row"))
     told = stage(told, "told")
     if same:  # the texts of one document are linked
         pairs = told.select("same", "rep").distinct()

@@ -2,9 +2,9 @@
 
 Paragraphs are a text's lines; those of fewer than ``min_words`` words are left alone (with 1, the default,
 blank lines only). A paragraph of fewer words than a shingle has one shingle, all of it, so that it repeats
-by exact equality. Equal paragraphs collapse to one before banding. The bands are tuned for recall: three
-rows each, so that ten bands find a pair at the threshold with probability 0.999 and one at 0.9 with
-probability 0.999998. Paragraphs that share a band value are joined, their exact Jaccard similarity on word
+by exact equality. Equal paragraphs collapse to one first. Of each one's shingles, those of the least hashes are
+its MinHash sketch: of n shingles n - ceil(0.8 n) + 1, which is so many that two paragraphs at the threshold share
+one for certain. Paragraphs that share one are joined, their exact Jaccard similarity on word
 shingles is verified, and the verified links make clusters, of which the paragraph of the smallest document
 id stays (of one document, the first).
 
@@ -38,7 +38,7 @@ from tessera.llm.text import NON_SPACE, append_columns, grams, lowered, mix, sli
 from tessera.session import stage, unstage
 
 PASSAGE_WORDS, PASSAGE_WINDOW = 24, 27
-SETTINGS = Settings(band_miss=1e-3, hashes=30)
+SETTINGS = Settings(band_miss=1e-3, miss=1e-12, hashes=30, exact=True)
 
 
 def _source(docs: DataFrame, key: str, text: str) -> DataFrame:

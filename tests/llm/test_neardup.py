@@ -176,6 +176,27 @@ def test_short_paragraphs_against_brute_force(spark, tmp_path):
     assert n_words >= {1, 2, 5, 8, 15, 20} and sum(len(sets[u]) > 0 for u in want) == len(want)
 
 
+def test_no_paragraph_at_the_threshold_is_missed(spark):
+    """6,000 pairs of 36 and 45 shingles, 36 of them shared: 0.8 exactly."""
+    words = [f"w{i}" for i in range(49 * 6000)]
+    lines = [" ".join(words[49 * i : 49 * i + n]) for i in range(6000) for n in (40, 49)]
+    found = paragraphs.find_repeats(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert {(r.doc_id, r.cluster_doc_id) for r in found.collect()} == {(i, i - i % 2) for i in range(12000)}
+
+
+def test_least_hashes_meet():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        x = rng.integers(0, 1 << 60, n).astype(np.uint64)
+        cut = n - int(rng.integers(0, n // 5 + 1))
+        more = rng.integers(0, 1 << 60, int(rng.integers(0, max(1, 5 * cut // 4 - n + 1)))).astype(np.uint64)
+        pair = [np.sort(x), np.sort(np.concatenate([x[:cut], more]))]
+        if 5 * cut >= 4 * (n + len(more)):
+            values, count = neardup._least(np.concatenate(pair), np.array([0, n, n + cut + len(more)]), paragraphs.SETTINGS)
+            assert {*values[: count[0]].tolist()} & {*values[count[0] :].tolist()}
+
+
 def test_repeated_passages(spark, tmp_path):
     rng = random.Random(11)
     line = lambda n: " ".join("wé%d" % rng.randrange(10**6) for _ in range(n))
