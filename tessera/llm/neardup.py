@@ -173,7 +173,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _buckets(reps: DataFrame, settings: Settings) -> DataFrame:
-    """Rows (bucket, rep, n_shingles, size) of buckets of two members or more."""
+    """A staged table (bucket, rep, n_shingles, size) of buckets of two members or more."""
     rows = settings.rows
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -183,7 +183,10 @@ def _buckets(reps: DataFrame, settings: Settings) -> DataFrame:
     banded = reps.withColumnRenamed("least", "bands") if settings.exact else append_columns(reps, [T.StructField("bands", T.ArrayType(T.LongType()))], compute, needs=["signature"])
     each = banded.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     sizes = each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").withColumn("w", F.col("size"))
-    return split_join(each, sizes, "bucket", "w")
+    sizes = stage(sizes, "sizes")
+    out = stage(split_join(each, sizes, "bucket", "w"), "buckets")
+    unstage(sizes)
+    return out
 
 
 def _near(a: str, b: str, settings: Settings) -> Column:
@@ -367,7 +370,7 @@ def number_rows(docs: DataFrame) -> DataFrame:
 
 def _links(rows: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
     """Components (node, component) of the representatives' links."""
-    buckets = stage(_buckets(reps, settings), "buckets")
+    buckets = _buckets(reps, settings)
     members = buckets.groupBy("rep").agg(F.sum("size").alias("weight"))
     signed = stage(reps.join(members, "rep").select("rep", "signature", "weight"), "signed")
     # by merge whatever the sizes: few of the texts are asked for, but which ones only grows with the input
@@ -403,24 +406,27 @@ def _links(rows: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
         still = first_hubs.join(open_rows.select("rep").distinct(), "rep", "left_semi").select("hub").distinct()
         groups = groups.join(still, "hub", "left_semi")
         links = _joined(stage(_block_links(groups, signed, texts, settings), "links"), links)
-    unstage(*passing, first_hubs, open_rows)  # what follows reads reps, sketches and links
+    unstage(*passing, first_hubs, open_rows)  # what follows reads links
     return links
 
 
-def cluster_rows(rows: DataFrame, settings: Settings, *, order: Column, same: str | None = None) -> DataFrame:
+def cluster_rows(rows: DataFrame, settings: Settings, *, order: Column, same: str | None = None, passing: list[DataFrame] | None = None) -> DataFrame:
     """Rows (__row, n_shingles, order, first): for each numbered row, its ``order`` and the least one of its component.
 
     ``rows`` comes from number_rows and has ``text``, and ``same``, if given: rows of one such value are one
-    document. Rows without words are components of their own, unless ``same`` joins them to others.
+    document. Rows without words are components of their own, unless ``same`` joins them to others. To ``passing``
+    come the staged tables that the result reads, which the caller may delete after it.
     """
     ship(rows.sparkSession)
     plain = rows.select("__row", "text", order.alias("order"), *([F.col(same).alias("same")] if same else []))
     sketches = stage(sketch(plain, settings).drop("text"), "sketches")
     sets = sketches.where("n_shingles > 0").groupBy(*SET).agg(F.min("__row").alias("rep"), F.first("signature").alias("signature"), F.count("*").alias("w"), *([F.first("least").alias("least")] if settings.exact else []))
     reps = stage(sets, "reps")
-    links = _links(rows, reps, settings)
     told = split_join(sketches.drop("signature", "least"), reps.select(*SET, "rep", "w"), SET, "w", "left").withColumn("rep", F.coalesce("rep", "__row"))
     told = stage(told, "told")
+    unstage(sketches)
+    links = _links(rows, reps, settings)
+    unstage(reps)
     if same:  # the texts of one document are linked
         pairs = told.select("same", "rep").distinct()
         least = pairs.groupBy("same").agg(F.min("rep").alias("least"), F.count("*").alias("w")).where("w > 1")
@@ -430,6 +436,9 @@ def cluster_rows(rows: DataFrame, settings: Settings, *, order: Column, same: st
     sizes = told.groupBy("rep").agg(F.min("order").alias("order"), F.count("*").alias("w"))
     least = sizes.join(links.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = stage(least, "least")
+    unstage(links)
+    if passing is not None:
+        passing += [told, least]
     firsts = least.groupBy("component").agg(F.min("order").alias("first"), F.count("*").alias("w"))
     by_rep = split_join(least.select("rep", "component", F.col("w").alias("rows")), firsts, "component", "w").select("rep", "first", F.col("rows").alias("w"))
     return split_join(told.select("__row", "n_shingles", "order", "rep"), by_rep, "rep", "w").select("__row", "n_shingles", "order", "first")

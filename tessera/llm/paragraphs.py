@@ -58,8 +58,10 @@ def find_repeats(docs: DataFrame, settings: Settings = SETTINGS, *, key: str = "
     One row for each paragraph that repeats; the cluster's columns name its first copy, which stays.
     """
     rows = number_rows(paragraphs(docs, key=key, text=text, min_words=min_words))
-    judged = cluster_rows(rows, settings, order=F.struct("own", "i", "t"))
-    judged = stage(judged.select("order", "first").where("order <> first"), "repeats").distinct()
+    passing = [rows]
+    judged = cluster_rows(rows, settings, order=F.struct("own", "i", "t"), passing=passing)
+    judged = stage(judged.select("order", "first").where("order <> first").distinct(), "repeats")
+    unstage(*passing)
     firsts = judged.select(F.col("first").alias("order"), "first").distinct()
     shown = judged.unionByName(firsts)
     return shown.select(
