@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tessera.session import stage, unstage
 
-#: Of the keys of at least HOT_ROWS rows, the MOST_HOT largest are dealt to several tasks, HOT_ROWS rows each (more
-#: rows each where that took over MOST_PARTS). Any other key has at most a share of 1 / MOST_HOT of all rows.
+#: Of the keys of more than HOT_ROWS rows, the MOST_HOT largest are dealt to several tasks, at most HOT_ROWS rows each
+#: (more rows each where that took over MOST_PARTS). Any other key has at most a share of 1 / MOST_HOT of all rows.
 HOT_ROWS = 256
 MOST_HOT = 1000
 MOST_PARTS = 4096
@@ -23,23 +23,37 @@ def split_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], wei
 
     The largest keys are salted: their rows in ``left`` are dealt to parts by a hash, and their row in ``right``
     is repeated for each part. So no task gets a hot key's rows, whatever share of all rows they are. Only
-    those keys' hashes and weights reach the driver, MOST_HOT at most. ``weight`` is not passed on.
+    those keys' hashes and weights reach the driver, MOST_HOT at most. No row of another key is repeated or
+    salted, and without hot keys this is a plain join. ``weight`` is not passed on.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     columns = [c for c in right.columns if c not in (*keys, weight)]
-    marked = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *columns, F.xxhash64(*keys).alias("__mark"), F.col(weight).alias("__weight"))
-    hot = {r["__mark"]: r["__weight"] for r in marked.where(F.col("__weight") >= HOT_ROWS).orderBy(F.desc("__weight")).limit(MOST_HOT).select("__mark", "__weight").collect()}
-    own, other, mark = F.lit(0).cast("long"), F.array(F.lit(0).cast("long")), F.xxhash64(*keys)
-    if hot:
-        parts = F.create_map(*[F.lit(x).cast("long") for k, w in hot.items() for x in (k, min(-(-w // HOT_ROWS), MOST_PARTS))])
+    dealt = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *columns, F.col(weight).alias("__weight"))
+    same = [F.col(k) == F.col(f"__{k}") for k in keys]
+    mark, own = F.xxhash64(*[f"__{k}" for k in keys]), F.xxhash64(*keys)
+    largest = dealt.where(F.col("__weight") > HOT_ROWS).select(mark.alias("mark"), "__weight").orderBy(F.desc("__weight")).limit(MOST_HOT)
+    by_parts: dict[int, list[int]] = {}
+    for r in largest.collect():
+        # powers of two, so that a row is looked up among a dozen numbers of parts, not among all hot keys
+        by_parts.setdefault(min(1 << (-(-r["__weight"] // HOT_ROWS) - 1).bit_length(), MOST_PARTS), []).append(r["mark"])
+    if by_parts:
+        hot = [x for marks in by_parts.values() for x in marks]
         salt = F.xxhash64(*[c for c, kind in left.dtypes if not kind.startswith("map")], F.lit(7))
-        own = F.when(mark.isin(list(hot)), F.pmod(salt, F.element_at(parts, mark))).otherwise(own)
-        other = F.when(F.col("__mark").isin(list(hot)), F.sequence(F.lit(0).cast("long"), F.element_at(parts, F.col("__mark")) - 1)).otherwise(other)
-    dealt = marked.withColumn("__part", F.explode(other))
-    same = [mark == F.col("__mark"), own == F.col("__part"), *[F.col(k) == F.col(f"__{k}") for k in keys]]
+        none = F.lit(0).cast("long")
+        repeated = dealt.where(mark.isin(hot)).withColumn("__part", F.explode(F.sequence(none + 1, _parts(mark, by_parts) - 1)))
+        dealt = dealt.withColumn("__part", none).unionByName(repeated)
+        same.append(F.when(own.isin(hot), F.pmod(salt, _parts(own, by_parts))).otherwise(none) == F.col("__part"))
     return left.join(dealt, same, how).select(*left.columns, *columns)
 
 
+def _parts(mark: Column, by_parts: dict[int, list[int]]) -> Column:
+    """The number of parts of a hot key's hash."""
+    out = F.lit(max(by_parts)).cast("long")
+    for n in sorted(by_parts)[-2::-1]:
+        out = F.when(mark.isin(by_parts[n]), F.lit(n).cast("long")).otherwise(out)
+    return out
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("w"))

@@ -257,6 +257,16 @@ class Verifier:
             self._known[i] = frozenset(tuple(w[j : j + self.k]) for j in range(max(1, len(w) - self.k + 1))) if w else frozenset()
         return self._known[i]
 
+    def likely(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Of ``others``, in their order, those that pass the test on hashed sets with ``i``."""
+        x, sizes = self.sets[i], np.array([len(self.sets[j]) for j in others.tolist()], dtype=np.int64)
+        others, sizes = others[sizes > 0], sizes[sizes > 0]
+        if not len(x) or not len(others):
+            return others[:0]
+        y = np.concatenate([self.sets[j] for j in others.tolist()])
+        common = np.add.reduceat(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y, np.cumsum(sizes) - sizes, dtype=np.int64)
+        return others[common * self.den >= self.num * (len(x) + sizes - common)]
+
     def linked(self, i: int, j: int) -> bool:
         x, y = self.sets[i], self.sets[j]
         if len(x) > len(y):
@@ -312,13 +322,24 @@ def _partners(table: pa.Table, settings: Settings):
     rep, component, place, sizes = (table.column(c).to_numpy() for c in ("rep", "component", "place", "n_shingles"))
     signature, steps = _matrix(table.column("signature").combine_chunks()), settings.least_matches()
     num, den = settings.threshold.numerator, settings.threshold.denominator
-    others = np.flatnonzero(place == left)
-    for x in np.flatnonzero(place == right).tolist():
-        y = others[(rep[others] > rep[x]) if left == right else slice(None)]
-        y = y[(component[y] != component[x]) & (np.minimum(sizes[y], sizes[x]) * den >= np.maximum(sizes[y], sizes[x]) * num)]
-        y = y[_survives(np.broadcast_to(signature[x], (len(y), signature.shape[1])), signature[y], steps)]
-        if len(y):
-            yield x, y[np.argsort(-(signature[y] == signature[x]).sum(axis=1), kind="stable")]
+    rows, others = np.flatnonzero(place == right), np.flatnonzero(place == left)
+    columns = np.ascontiguousarray(signature[others].T)
+    for part in (rows[i : i + BLOCK] for i in range(0, len(rows), BLOCK)):
+        x, y = part[:, None], others[None, :]
+        alive = (component[y] != component[x]) & (np.minimum(sizes[y], sizes[x]) * den >= np.maximum(sizes[y], sizes[x]) * num)
+        if left == right:
+            alive &= rep[y] > rep[x]
+        equal, done = np.zeros(alive.shape, dtype=np.int16), 0
+        for n, least in steps:
+            if not alive.any():
+                break
+            for k in range(done, n):
+                equal += columns[k] == signature[part, k][:, None]
+            alive &= equal >= least
+            done = n
+        for i in np.flatnonzero(alive.any(axis=1)).tolist():
+            found = np.flatnonzero(alive[i])
+            yield int(part[i]), others[found[np.argsort(-equal[i, found], kind="stable")]]
 
 
 _PAIR = "hub bigint, left int, right int, place int, rep bigint, n_shingles bigint, component bigint"
@@ -346,7 +367,7 @@ def _block_links(groups: DataFrame, signed: DataFrame, texts: DataFrame, setting
 
         found: list[tuple[int, int]] = []
         for x, y in _partners(table, settings):
-            for z in y.tolist():  # one link with a component is enough
+            for z in test.likely(x, y).tolist():  # one link with a component is enough
                 a, b = find(component[x]), find(component[z])
                 if a != b and test.linked(x, z):
                     root[max(a, b)] = min(a, b)
@@ -404,7 +425,8 @@ def _links(rows: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
         to = lambda c: links.select(F.col("node").alias(c), F.col("component").alias(f"{c}_to"))
         groups = first_hubs.join(to("rep"), "rep", "left").join(to("hub"), "hub", "left").select("hub", "rep", "n_shingles", at("rep").alias("component"), at("hub").alias("hub_c"))
         still = first_hubs.join(open_rows.select("rep").distinct(), "rep", "left_semi").select("hub").distinct()
-        groups = groups.join(still, "hub", "left_semi")
+        groups = stage(groups.join(still, "hub", "left_semi"), "groups")
+        passing.append(groups)
         links = _joined(stage(_block_links(groups, signed, texts, settings), "links"), links)
     unstage(*passing, first_hubs, open_rows)  # what follows reads links
     return links
@@ -437,10 +459,12 @@ def cluster_rows(rows: DataFrame, settings: Settings, *, order: Column, same: st
     least = sizes.join(links.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = stage(least, "least")
     unstage(links)
-    if passing is not None:
-        passing += [told, least]
     firsts = least.groupBy("component").agg(F.min("order").alias("first"), F.count("*").alias("w"))
     by_rep = split_join(least.select("rep", "component", F.col("w").alias("rows")), firsts, "component", "w").select("rep", "first", F.col("rows").alias("w"))
+    by_rep = stage(by_rep, "firsts")
+    unstage(least)
+    if passing is not None:
+        passing += [told, by_rep]
     return split_join(told.select("__row", "n_shingles", "order", "rep"), by_rep, "rep", "w").select("__row", "n_shingles", "order", "first")
 
 
@@ -476,6 +500,9 @@ def _joined(found: DataFrame, links: DataFrame | None) -> DataFrame:
 def _still_open(rows: DataFrame, links: DataFrame) -> DataFrame | None:
     """Rows of buckets whose members lie in more than one component, with their components; None if none."""
     rows = rows.drop("component").join(links.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = stage(rows, "judged")
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("w")).where("lo <> hi").select("bucket", "w")
-    rows = stage(split_join(rows, mixed, "bucket", "w"), "open")
-    return None if rows.isEmpty() else rows
+    mixed = stage(mixed, "mixed")
+    left = stage(split_join(rows, mixed, "bucket", "w"), "open")
+    unstage(rows, mixed)
+    return None if left.isEmpty() else left

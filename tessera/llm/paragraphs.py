@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tessera.llm.components import split_join
 from tessera.llm.neardup import Settings, cluster_rows, number_rows
-from tessera.llm.text import NON_SPACE, append_columns, grams, lowered, mix, slices, utf8, winnow, words
+from tessera.llm.text import NON_SPACE, append_columns, grams, lowered, mix, slices, utf8, winnow_parts, words
 from tessera.session import stage, unstage
 
 PASSAGE_WORDS, PASSAGE_WINDOW = 24, 27
@@ -49,6 +49,8 @@ def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
 def paragraphs(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 1) -> DataFrame:
     """Rows (own, t, i, text): every paragraph that counts, with its document and its line's number."""
     lines = _source(docs, key, text).select("own", "t", F.posexplode(F.split("body", "\n", -1)).alias("i", "text"))
+    if min_words == 1:  # the first word tells, whatever follows
+        return lines.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return lines.where(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= min_words)
 
 
@@ -103,19 +105,22 @@ def _prints(batch: pa.RecordBatch) -> list[pa.Array]:
         w = words(own, first, NON_SPACE)
         hashes = grams(w.hashes, PASSAGE_WORDS)
         points = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
-        for d in range(b - a):
-            lo, hi = w.first[d], w.first[d + 1] - PASSAGE_WORDS + 1
-            at = winnow(hashes[lo:hi], PASSAGE_WINDOW) if hi > lo else np.zeros(0, dtype=np.int64)
-            counts.append(len(at))
-            between = np.zeros(len(at), dtype=np.uint64)
-            gap = np.diff(at)
-            for k in range(PASSAGE_WORDS, PASSAGE_WINDOW):
-                apart = np.flatnonzero(gap > k)
-                between[apart] = mix(between[apart] ^ w.hashes[at[apart] + lo + k])
-            found.append((hashes[at + lo].view(np.int64), at, between.view(np.int64)))
-            base = points[first[d]]
-            begins.append(int(points[w.starts[lo]] - base) if hi > lo else 0)
-            ends.append(int(points[w.ends[w.first[d + 1] - 1]] - base) if hi > lo else 0)
+        lo, hi = w.first[:-1], np.maximum(w.first[1:] - PASSAGE_WORDS + 1, w.first[:-1])
+        at = winnow_parts(hashes, lo, hi, PASSAGE_WINDOW)
+        doc = np.searchsorted(lo, at, "right") - 1
+        counts += np.bincount(doc, minlength=b - a).tolist()
+        between = np.zeros(len(at), dtype=np.uint64)
+        gap = np.where(doc[1:] == doc[:-1], np.diff(at), 0)
+        for k in range(PASSAGE_WORDS, PASSAGE_WINDOW):
+            apart = np.flatnonzero(gap > k)
+            between[apart] = mix(between[apart] ^ w.hashes[at[apart] + k])
+        found.append((hashes[at].view(np.int64), at - lo[doc], between.view(np.int64)))
+        begin, end = np.zeros((2, b - a), dtype=np.int64)
+        full = np.flatnonzero(hi > lo)
+        begin[full] = points[w.starts[lo[full]]] - points[first[full]]
+        end[full] = points[w.ends[w.first[full + 1] - 1]] - points[first[full]]
+        begins += begin.tolist()
+        ends += end.tolist()
     return [_lists(counts, found, _PRINTS), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())]
 
 
@@ -197,11 +202,12 @@ def _uncovered(first: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def _joined_spans(batch: pa.RecordBatch) -> list[pa.Array]:
-    """Runs of a text that meet, in their first document as here, as spans."""
+    """Runs of a text that meet, in their first document as here, as spans. They come in any order, and again for repeated rows."""
     out = []
     for row in batch.column(batch.schema.get_field_index("grams")):
         g = row.values
-        at, start, end, first, first_d, first_at = (g.field(n).to_numpy(zero_copy_only=False) for n in ("at", "start", "end", "first", "first_d", "first_at"))
+        at, one = np.unique(g.field("at").to_numpy(zero_copy_only=False), return_index=True)
+        start, end, first, first_d, first_at = (g.field(n).to_numpy(zero_copy_only=False)[one] for n in ("start", "end", "first", "first_d", "first_at"))
         cut = np.flatnonzero((np.diff(at) > PASSAGE_WORDS) | (first[1:] != first[:-1]) | (first_d[1:] != first_d[:-1]) | (np.diff(first_at) != np.diff(at)))
         heads, tails = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(at) - 1]])
         keep = _uncovered(first[heads], at[heads], at[tails] + PASSAGE_WORDS)
@@ -209,10 +215,10 @@ def _joined_spans(batch: pa.RecordBatch) -> list[pa.Array]:
     return [_lists([len(x[0]) for x in out], out, _SPANS)]
 
 
-def _neighbour(i: Column) -> Column:
-    """What tells the print at ``i`` of ``p``, the next one, and how they lie; 0 if one of them is not there."""
-    x, y = F.get("p", i), F.get("p", i + 1)
-    return F.when((i < 0) | (i + 1 >= F.size("p")), F.lit(0).cast("long")).otherwise(F.xxhash64(x["h"], y["h"], y["at"] - x["at"], x["between"]))
+def _neighbours(x: str, y: str) -> Column:
+    """What tells the prints ``x`` and ``y``, one after the other, and how they lie; 0 if one of them is not there."""
+    x, y = F.col(x), F.col(y)
+    return F.when(x.isNull() | y.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(x["h"], y["h"], y["at"] - x["at"], x["between"]))
 
 
 def find_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,8 +243,9 @@ def find_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     whole = stage(whole, "copies")
     unstage(printed)
     # each print with what tells its neighbours; 0 if it has none
-    told = F.transform("p", lambda x, i: F.struct(x["h"].alias("h"), x["at"].alias("at"), _neighbour(i - 1).alias("left"), _neighbour(i).alias("right")))
-    each = texts.select("own", "d", F.inline(told))
+    none = F.array(F.lit(None).cast(PRINTS.elementType))
+    told = F.arrays_zip(F.col("p").alias("x"), F.concat(none, "p").alias("before"), F.slice("p", F.lit(2), F.size("p")).alias("after"))
+    each = texts.select("own", F.inline(told)).where("x is not null").select("own", F.col("x.h").alias("h"), _neighbours("before", "x").alias("left"), _neighbours("x", "after").alias("right"))
     same = lambda side: (F.min(side) == F.max(side)) & (F.min(side) != 0)
     fixed = (F.when(same("left"), 1).otherwise(0) + F.when(same("right"), 2).otherwise(0)).cast("long")
     shared = each.groupBy("h").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("w"), fixed.alias("fixed")).where("lo < hi")
@@ -252,7 +259,7 @@ def find_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     firsts = near.groupBy("h", "h2").agg(F.min(F.struct("own", "d", "at")).alias("f"), F.max("own").alias("hi"), F.count("*").alias("w")).where("f.own < hi")
     firsts = stage(firsts.select("h", "h2", "w", F.col("f.own").alias("first"), F.col("f.d").alias("first_d"), F.col("f.at").alias("first_at")), "firsts")
     again = split_join(near.drop("own"), firsts, ["h", "h2"], "w")
-    again = again.groupBy("d").agg(F.sort_array(F.collect_set(F.struct("at", "start", "end", "first", "first_d", "first_at"))).alias("grams"))
+    again = again.groupBy("d").agg(F.collect_list(F.struct("at", "start", "end", "first", "first_d", "first_at")).alias("grams"))
     spans = append_columns(again, [T.StructField("s", SPANS)], _joined_spans, needs=["grams"]).select("d", F.inline("s"))
     spans = stage(spans, "spans")
     unstage(near, firsts)

@@ -218,11 +218,31 @@ def winnow(x: np.ndarray, width: int) -> np.ndarray:
 
     Two sequences that share ``width`` values in a row share a place chosen in both.
     """
-    if len(x) <= width:
-        return np.flatnonzero(x == x.min()) if len(x) else np.zeros(0, dtype=np.int64)
-    low = _sliding(x, width, np.minimum)
-    edge = np.zeros(width - 1, dtype=x.dtype)
-    return np.flatnonzero(x == _sliding(np.concatenate([edge, low, edge]), width, np.maximum))
+    return winnow_parts(x, np.zeros(1, dtype=np.int64), np.full(1, len(x)), width)
+
+
+def winnow_parts(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> np.ndarray:
+    """The places that ``winnow`` chooses in each of the parts ``x[lo:hi]``, which are in order and do not overlap."""
+    chosen = np.zeros(len(x), dtype=bool)
+    long = hi - lo > width
+    if long.any():
+        low = _sliding(x, width, np.minimum)
+        within = np.zeros(len(low) + 1, dtype=np.int8)  # runs that lie inside a part
+        within[lo[long]] += 1
+        np.subtract.at(within, hi[long] - width + 1, 1)
+        low[np.cumsum(within[:-1]) == 0] = 0
+        edge = np.zeros(width - 1, dtype=x.dtype)
+        inside = np.zeros(len(x) + 1, dtype=np.int8)
+        inside[lo[long]] += 1
+        np.subtract.at(inside, hi[long], 1)
+        chosen = (x == _sliding(np.concatenate([edge, low, edge]), width, np.maximum)) & (np.cumsum(inside[:-1]) > 0)
+    short = np.flatnonzero((hi > lo) & ~long)
+    if len(short):
+        size = hi[short] - lo[short]
+        at = np.arange(size.sum()) + np.repeat(lo[short] - np.cumsum(size) + size, size)
+        least = np.minimum.reduceat(x[at], np.cumsum(size) - size)
+        chosen[at] = x[at] == np.repeat(least, size)
+    return np.flatnonzero(chosen)
 
 
 def append_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list[pa.Array]], *, needs: list[str]) -> DataFrame:

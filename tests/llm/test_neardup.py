@@ -9,9 +9,9 @@ from fractions import Fraction
 import numpy as np
 import pytest
 from tessera.llm import neardup, paragraphs, queries
-from tessera.llm.components import components
+from tessera.llm.components import components, split_join
 from tessera.llm.neardup import Settings
-from tessera.llm.text import winnow
+from tessera.llm.text import winnow, winnow_parts
 from test_text import alike_under_powers
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -330,3 +330,91 @@ def test_winnowing_keeps_its_promise():
         assert {*x[winnow(x, 27)].tolist()} & {*y[winnow(y, 27)].tolist()} & {*shared.tolist()}
         low = [min(x[i : i + 27].tolist()) for i in range(len(x) - 26)]
         assert {*x[winnow(x, 27)].tolist()} == set(low)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_hot_keys_are_repeated(spark):
+    """Rows of other keys are joined as they are: no row of theirs is made again, whatever other keys are hot."""
+    rng = random.Random(17)
+    sizes = {"cold %d" % i: rng.randrange(1, 5) for i in range(300)} | {"edge": 256, "hot a": 257, "hot b": 600, "hot c": 3000, None: 400}
+    rows = [(k, i) for k, n in sizes.items() for i in range(n)] + [("alone", 1)] * 300
+    left = spark.createDataFrame(rows, "k string, i long")
+    right = lambda keys: spark.createDataFrame([(k, len(str(k)), sizes[k]) for k in keys], "k string, v long, w long")
+    for keys in (sizes, [k for k in sizes if k and k.startswith("cold")]):
+        for how in ("inner", "left"):
+            want = [(k, i, len(k) if k and k in keys else None) for k, i in rows if how == "left" or k and k in keys]
+            got = split_join(left, right(keys), "k", "w", how)
+            assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert "Generate" not in plan_of(got)
+    hot = split_join(left, right(sizes), "k", "w")
+    made = hot._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("Generate") == 1 and "Union" in made  # the rows of hot keys alone are repeated
+
+
+def test_blank_lines_are_told_without_counting_words(spark):
+    texts = ["", " ", "\t\x0b\x0c\r ", "a", " \u00a0", "\u2003", "a " * 50, "\x1f", " . "]
+    docs = spark.createDataFrame([(1, "\n".join(texts))], "doc_id long, text string")
+    found = paragraphs.paragraphs(docs)
+    assert [texts[r.i] for r in found.orderBy("i").collect()] == [x for x in texts if WORD.search(x)]
+    assert "regexp_count" not in plan_of(found)
+    assert [r.i for r in paragraphs.paragraphs(docs, min_words=2).collect()] == [6]
+
+
+def test_prints_of_many_texts_at_once():
+    rng = np.random.default_rng(8)
+    for width in (1, 2, 27):
+        sizes = rng.integers(0, 4 * width, 60)
+        gaps = rng.integers(0, 5, 60)
+        lo = np.cumsum(sizes + gaps) - sizes
+        x = rng.integers(1, 40, int(lo[-1] + sizes[-1]) + 3).astype(np.uint64)
+        want = []
+        for a, b in zip(lo.tolist(), (lo + sizes).tolist(), strict=True):
+            part = x[a:b]
+            runs = [part] if 0 < len(part) <= width else [part[i : i + width] for i in range(len(part) - width + 1)]
+            least = {a + (i if len(runs) > 1 else 0) + int(j) for i, r in enumerate(runs) for j in np.flatnonzero(r == r.min())}
+            want += sorted(least)
+        assert winnow_parts(x, lo, lo + sizes, width).tolist() == want
+
+
+def test_partners_of_blocks_are_those_of_pairs():
+    """Blocks are compared as matrices, batch by batch of hashes, with the partners and the order of a loop over pairs."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    for settings in (Settings(), paragraphs.SETTINGS):
+        base = rng.integers(0, 1 << 16, (6, settings.hashes)).astype(np.uint16)
+        n, steps = 700, settings.least_matches()
+        signature = base[rng.integers(0, 6, n)]
+        change = rng.random(signature.shape) < rng.choice([0.02, 0.2, 0.5], (n, 1))
+        signature[change] = rng.integers(0, 1 << 16, change.sum())
+        sizes, component, rep = rng.integers(8, 13, n), rng.integers(0, 9, n), rng.permutation(n)
+        for place in (np.zeros(n, dtype=np.int32), (np.arange(n) >= 100).astype(np.int32)):
+            right = int(place.max())
+            table = pa.table({"left": np.zeros(n, dtype=np.int32), "right": np.full(n, right, dtype=np.int32), "rep": rep, "component": component, "place": place, "n_shingles": sizes, "signature": [x.tobytes() for x in signature]})
+            got = {x: y.tolist() for x, y in neardup._partners(table, settings)}
+            want = {}
+            for x in np.flatnonzero(place == right).tolist():
+                y = np.array([y for y in np.flatnonzero(place == 0).tolist() if (right or rep[y] > rep[x]) and component[y] != component[x] and 5 * min(sizes[x], sizes[y]) >= 4 * max(sizes[x], sizes[y])], dtype=np.int64)
+                equal = signature[y] == signature[x]
+                fit = np.all([equal[:, :m].sum(axis=1) >= least for m, least in steps], axis=0)
+                if fit.any():
+                    want[x] = y[fit][np.argsort(-equal[fit].sum(axis=1), kind="stable")].tolist()
+            assert got == want and want
+
+
+def test_likely_partners_are_those_of_the_set_test():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [" ".join(near_copies(rng, " ".join("w%d" % rng.randrange(30) for _ in range(20)), 1, 3)) for _ in range(40)] + ["", None, "one", "one", "two words"]
+    test = neardup.Verifier(pa.array(texts), Settings(words=1, threshold=Fraction(1, 2)))
+    for i in range(len(texts)):
+        others = np.array([j for j in range(len(texts)) if j != i])
+        rng.shuffle(others)
+        likely = test.likely(i, others)
+        assert [j for j in others.tolist() if test.linked(i, j)] == [j for j in likely.tolist() if test.linked(i, j)]
+        share = lambda j: len({*test.sets[i].tolist()} & {*test.sets[j].tolist()}) * 2 >= len({*test.sets[i].tolist()} | {*test.sets[j].tolist()}) and len(test.sets[j]) > 0
+        assert likely.tolist() == [j for j in others.tolist() if share(j)]
